@@ -33,8 +33,8 @@ def first_or_null(items: Column) -> Column:
 
 def best_by_confidence(detections: Column) -> Column:
     """The detection of highest confidence; the earliest one on ties."""
-    top = F.array_max(F.transform(detections, lambda d: d["confidence"]))
-    return let(top, lambda t: F.try_element_at(F.filter(detections, lambda d: d["confidence"] == t), F.lit(1)))
+    better = lambda best, d: F.when(d["confidence"] > best["confidence"], d).otherwise(best)
+    return F.aggregate(detections, F.try_element_at(detections, F.lit(1)), better)
 
 
 def argmax(values: Column) -> Column:

@@ -133,6 +133,12 @@ VIEWS: dict[str, str] = {
             else case when l_linenumber % 2 = 0 then 'right' else 'tail' end end as orientation,
           l_tax * 10 + 0.0e0 as orientation_score
         from {lineitem}""",
+    "album_media": "select l_suppkey % 50 as album_id, l_orderkey as mediafile_id from {lineitem}",
+    "album_shares": "select s_suppkey % 50 as album_id, cast(s_nationkey as bigint) as user_id from {supplier}",
+    "notifications": """
+        select event_id as id, user_id, event_id % 3 as level, event_id % 2 = 0 as read, ts as created_at,
+          concat('Notice ', event_type, ' ', cast(event_id % 50 as varchar)) as message
+        from {events}""",
     # text tags and reading times of files whose capture time is not known yet
     "tagged": """
         select event_id as media_id,
@@ -176,13 +182,38 @@ class Tables:
         return df
 
 
+# Views used by the checking SQL only: joins that the Spark side builds with operators.
+ORACLE_VIEWS: dict[str, str] = {
+    "owned": """
+        select m.*, a.owner_id, u.workgroup_id as owner_workgroup_id, a.contains_single_taxon, a.contains_identities,
+          a.taxon_for_identification_id, a.taxon_status, a.identification_status
+        from media m left join archives a on a.id = m.parent_id left join users u on u.id = a.owner_id""",
+    "valid_obs": """
+        select o.* from observations o join taxa x on x.id = o.taxon_id
+        where x.name <> 'Not Classified' and not (x.name = 'Animalia' and coalesce(o.taxon_verified = false, false))""",
+    "missing_taxon": """
+        select * from owned where not contains_single_taxon and id not in (select mediafile_id from valid_obs)""",
+    "missing_verification": """
+        select * from owned where not contains_single_taxon
+          and id in (select mediafile_id from observations where coalesce(taxon_verified, false) = false)""",
+}
+
+
 def with_views(sql: str) -> str:
     """Prefix ``sql`` with the views it names, as common table expressions."""
-    used = [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
-    ctes = [f"{name} as ({re.sub(r'[{}]', '', VIEWS[name]).strip()})" for name in used]
+    texts = {**{k: re.sub(r"[{}]", "", v) for k, v in VIEWS.items()}, **ORACLE_VIEWS}
     body = sql.strip()
+    used: set[str] = set()
+    pending = [body]
+    while pending:
+        text = pending.pop()
+        for name in texts:
+            if name not in used and re.search(rf"\b{name}\b", text):
+                used.add(name)
+                pending.append(texts[name])
+    ctes = ",\n".join(f"{name} as ({texts[name].strip()})" for name in texts if name in used)
     if not ctes:
         return body
     if body.lower().startswith("with "):
-        return "with " + ",\n".join(ctes) + ",\n" + body[5:]
-    return "with " + ",\n".join(ctes) + "\n" + body
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from trapline.plans import scalars  # noqa: F401
+from trapline.plans import relational, scalars  # noqa: F401
 from trapline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -444,10 +444,13 @@ def _(t):
 
 # ---- arrays ---------------------------------------------------------------------------------
 
-DETECTION_TEXT = (
-    "concat('[{''bbox'': [', cast(det_no as varchar), ', 2.0, 9.0, 8.0], ''confidence'': 0.', cast(det_no as varchar), "
-    "', ''class'': ''', class, ''', ''size'': [400, 600], ''orientation'': ''left'', ''orientation_score'': None}]')"
-)
+
+def detection_text():
+    """A detection list as the text of a list of dicts, as model outputs are stored in CSV."""
+    no = F.col("det_no").cast("string")
+    pieces = ("[{'bbox': [", no, ", 2.0, 9.0, 8.0], 'confidence': 0.", no, ", 'class': '", F.col("class"))
+    tail = "', 'size': [400, 600], 'orientation': 'left', 'orientation_score': None}]"
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in (*pieces, tail)])
 
 
 @query(
@@ -456,7 +459,7 @@ DETECTION_TEXT = (
       cast(det_no as double) as first_x, cast(null as double) as first_score from detections""",
 )
 def _(t):
-    parsed = t.detections.select(*KEY, A.parse_detections(F.expr(DETECTION_TEXT.replace("varchar", "string").replace("''", "\\'"))).alias("d"))
+    parsed = t.detections.select(*KEY, A.parse_detections(detection_text()).alias("d"))
     first = A.first_or_null(F.col("d"))
     return parsed.select(
         *KEY, F.size("d").alias("n"), first["class"].alias("first_class"), first["confidence"].alias("first_confidence"),
