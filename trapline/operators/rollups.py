@@ -50,7 +50,8 @@ def _zero_filled(base: DataFrame, counted: list[DataFrame], key: str, other: str
     for counts in counted:
         renamed = counts.withColumnRenamed(other, "_key")
         base = base.join(renamed, F.col(key) == F.col("_key"), "left").drop("_key")
-    return base.fillna(0)
+        base = base.fillna(0, [c for c in counts.columns if c != other])
+    return base
 
 
 def user_dashboard(users: DataFrame, owned_archives: DataFrame, owned_media: DataFrame, missing: DataFrame, identities: DataFrame) -> DataFrame:
