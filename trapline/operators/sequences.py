@@ -146,7 +146,8 @@ def unlocated_as_minus_one(numbered: DataFrame, location: str = "location", out:
 def sequence_entities(numbered: DataFrame, archive: str, number: str, key: str) -> DataFrame:
     """Local sequence id of every media file: its number, or a new one after the known ones.
 
-    Files without a number get ``known count + position - 1`` in key order.
+    Files without a number get ``known count + position - 1`` in key order; they are entities of
+    their own (``is_new``) even where that id is taken.
     """
     from trapline.operators.ordered import row_number_in_group
 
@@ -157,4 +158,5 @@ def sequence_entities(numbered: DataFrame, archive: str, number: str, key: str)
         "local_id", F.coalesce("_known", F.lit(0)) + F.col("_position") - 1
     )
     kept = numbered.filter(F.col(number).isNotNull()).withColumn("local_id", F.col(number))
-    return kept.select(archive, key, "local_id").unionByName(fresh.select(archive, key, "local_id"))
+    pick = lambda df, new: df.select(archive, key, "local_id", F.lit(new).alias("is_new"))
+    return pick(kept, False).unionByName(pick(fresh, True))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from trapline.plans import relational, scalars, timelines  # noqa: F401
+from trapline.plans import curation, matching, relational, scalars, timelines  # noqa: F401
 from trapline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -302,8 +302,8 @@ def _(t):
 
 @query(
     "jn3_spreadsheet_overlay",
-    """with u as (select original_path, 'updated' as read_error, cast(null as varchar) as lang, media_id * 2 as extra from uploads where media_id % 3 = 0
-         union all select original_path, null, 'xx', null from uploads where media_id % 30 = 0)
+    """with u as (select original_path, 'updated' as read_error, cast(null as varchar) as lang, media_id * 2 as extra from uploads where lang <> 'fr'
+         union all select original_path, null, 'xx', null from uploads where lang = 'de')
        select m.media_id, coalesce(u.read_error, m.read_error) as read_error, coalesce(u.lang, m.lang) as lang, u.extra
        from uploads m left join u on u.original_path = m.original_path""",
 )
@@ -311,8 +311,8 @@ def _(t):
     from trapline.operators.merge import overlay
 
     rows = t.uploads
-    base = rows.filter("media_id % 3 = 0").selectExpr("original_path", "'updated' as read_error", "string(null) as lang", "media_id * 2 as extra")
-    more = rows.filter("media_id % 30 = 0").selectExpr("original_path", "string(null) as read_error", "'xx' as lang", "bigint(null) as extra")
+    base = rows.filter("lang != 'fr'").selectExpr("original_path", "'updated' as read_error", "string(null) as lang", "media_id * 2 as extra")
+    more = rows.filter("lang = 'de'").selectExpr("original_path", "string(null) as read_error", "'xx' as lang", "bigint(null) as extra")
     merged = overlay(rows.select("media_id", "original_path", "read_error", "lang"), base.unionByName(more), "original_path")
     return merged.select("media_id", "read_error", "lang", "extra")
 

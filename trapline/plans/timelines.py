@@ -73,7 +73,8 @@ def _(t):
     from s join k using (archive_id)""",
 )
 def _(t):
-    return sequences.sequence_entities(sequences.number_sequences(t.shots), "archive_id", "sequence_number", "media_id")
+    entities = sequences.sequence_entities(sequences.number_sequences(t.shots), "archive_id", "sequence_number", "media_id")
+    return entities.select("archive_id", "media_id", "local_id")
 
 
 HASHED = """with h as (select *, sha256(content) as content_hash, case when media_id % 5 = 0 then null else concat('name', cast(media_id % 30 as varchar)) end as unique_name from uploads)"""
@@ -121,12 +122,12 @@ def _(t):
 
 
 SUGGESTED = """select ref_id as id, ref_id * 10 + n as suggestion_id, (ref_id + n * 7) % 40 as identity_id, (ref_id * 3 + n) % 500 as hit_id, cast(embedding[n + 1] as double) as score
-  from gallery, (select unnest([0, 1, 2]) as n) where ref_id % 9 <> 0"""
+  from gallery, (select unnest([0, 1, 2]) as n) where is_query"""
 
 
 def suggestions(t):
     n = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")
-    return t.gallery.filter("ref_id % 9 <> 0").select("ref_id", "embedding", n).select(
+    return t.gallery.filter("is_query").select("ref_id", "embedding", n).select(
         F.col("ref_id").alias("for_id"), (F.col("ref_id") * 10 + F.col("n")).alias("suggestion_id"),
         ((F.col("ref_id") + F.col("n") * 7) % 40).alias("identity_id"), ((F.col("ref_id") * 3 + F.col("n")) % 500).alias("hit_id"),
         F.element_at("embedding", F.col("n") + 1).cast("double").alias("score"),
@@ -278,10 +279,10 @@ def _(t):
     "top6_remaining_identities",
     f"""with s as ({SUGGESTED}), m as (select identity_id, id as media_id, row_number() over (partition by identity_id order by captured_at, id) as position from media where identity_id is not null)
     select i.id, i.name, m.media_id, m.position from identities i left join m on m.identity_id = i.id and m.position <= 3
-    where i.name <> 'nan' and i.id not in (select identity_id from s where identity_id < 30)""",
+    where i.name <> 'nan' and i.id not in (select identity_id from s where score > 0)""",
 )
 def _(t):
-    left = ranking.remaining_identities(t.identities.select("id", "name"), suggestions(t).filter("identity_id < 30"), t.media)
+    left = ranking.remaining_identities(t.identities.select("id", "name"), suggestions(t).filter("score > 0"), t.media)
     return left.select("id", "name", "media_id", F.col("position").cast("long").alias("position")).orderBy("name", "id", "position")
 
 
