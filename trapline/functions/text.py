@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,30 +128,31 @@ def identity_of_third_part(path: Column) -> Column:
     return F.when(~sorted_tree & (F.size(p) > 2), F.try_element_at(p, F.lit(3)))
 
 
+# year 1900-2100, month, day; a day may carry leading zeros
+DATE_DIGITS = r"^(19\d\d|20\d\d|2100)(0[1-9]|1[0-2])0*([1-9]|[12]\d|3[01])$"
+
+
 def is_date_text(text: Column) -> Column:
     """``YYYY-MM-DD`` or ``YYYYMMDD`` with year 1900-2100, month 1-12 and day 1-31 (any month)."""
-    digits = F.when(F.length(text) == 10, F.replace(text, F.lit("-"))).otherwise(text)
-    year, month, day = (
-        F.substring(digits, 1, 4).try_cast("int"),
-        F.substring(digits, 5, 2).try_cast("int"),
-        F.substring(digits, 7, 10).try_cast("int"),
-    )
-    sane = year.between(1900, 2100) & month.between(1, 12) & day.between(1, 31)
-    return F.length(text).isin(8, 10) & F.coalesce(sane, F.lit(False))
-
-
-def split_date_and_locality(name: Column) -> tuple[Column, Column]:
-    """Date and locality of ``{date}_{locality}`` or ``{locality}_{date}``, both null if neither."""
-    p = F.split(name, "_")
-    n = F.size(p)
-    first, last = F.element_at(p, 1), F.element_at(p, -1)
-    date = F.when(n < 2, None).when(is_date_text(first), first).when(is_date_text(last), last)
-    locality = (
-        F.when(n < 2, None)
-        .when(is_date_text(first), F.array_join(F.slice(p, F.lit(2), n - 1), "_"))
-        .when(is_date_text(last), F.array_join(F.slice(p, F.lit(1), n - 1), "_"))
-    )
-    return date, locality
+    digits = F.when(F.length(text) == 10, F.replace(text, F.lit("-"))).when(F.length(text) == 8, text)
+    return F.coalesce(digits.rlike(DATE_DIGITS), F.lit(False))
+
+
+def split_date_and_locality(df: DataFrame, name: str, date: str = "date", locality: str = "locality") -> DataFrame:
+    """Add date and locality of ``{date}_{locality}`` or ``{locality}_{date}``, both null if neither.
+
+    The parts are columns of their own first, so that each test is evaluated once.
+    """
+    pieces = df.withColumn("_pieces", F.split(F.col(name), "_"))
+    pieces = pieces.withColumns({"_n": F.size("_pieces"), "_head": F.element_at("_pieces", 1), "_tail": F.element_at("_pieces", -1)})
+    tested = pieces.withColumns({"_at_head": (F.col("_n") >= 2) & is_date_text(F.col("_head")), "_at_tail": (F.col("_n") >= 2) & is_date_text(F.col("_tail"))})
+    rest = lambda start: F.array_join(F.slice("_pieces", F.lit(start), F.col("_n") - 1), "_")
+    return tested.withColumns(
+        {
+            date: F.when(F.col("_at_head"), F.col("_head")).when(F.col("_at_tail"), F.col("_tail")),
+            locality: F.when(F.col("_at_head"), rest(2)).when(F.col("_at_tail"), rest(1)),
+        }
+    ).drop("_pieces", "_n", "_head", "_tail", "_at_head", "_at_tail")
 
 
 def dashed_date(text: Column) -> Column:

@@ -1,11 +1,236 @@
-"""Similarity of embeddings: search, shortlists, fusion, re-identification."""
+"""Similarity of embeddings: search, shortlists, fusion, re-identification.
+
+Searching compares every query with every gallery vector, as the task demands, but never as a
+join of rows: both sides are cut into blocks of bounded size, each pair of blocks is one matrix
+product in one task, and only the best ``k`` references per query and block leave it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trapline.functions import arrays as A
+from trapline.functions.text import swap_variant
+from trapline.operators.ranking import top_per_group
+from trapline.operators.rollups import vector_per_group
+from trapline.operators.skew import attach, keys_of
+from trapline.session import pin
+
+BLOCK_ROWS = 4096
+
+Matcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def cosine_matrix(left: np.ndarray, right: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), eps)
+    return unit(left) @ unit(right).T
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def block_count(rows: int, block_rows: int) -> int:
+    return max(1, math.ceil(rows / block_rows))
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
+def _best(scores: np.ndarray, query_ids: np.ndarray, ref_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best references of every row, the smaller id first on ties."""
+    k = min(k, scores.shape[1])
+    bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero(scores >= bar[:, None])
+    value = scores[row, column]
+    order = np.lexsort((ref_ids[column], -value, row))
+    row, column, value = row[order], column[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    return pd.DataFrame({"query_id": query_ids[row[kept]], "ref_id": ref_ids[column[kept]], "score": value[kept]})
+
+
+def block_shortlists(
+    query: DataFrame, gallery: DataFrame, k: int, vector: str = "embedding", key: str = "ref_id",
+    block_rows: int = BLOCK_ROWS, matcher: Matcher = cosine_matrix,
+) -> DataFrame:
+    """Best ``k`` references per query within each gallery block (the cheap first phase)."""
+    query_blocks, gallery_blocks = block_count(query.count(), block_rows), block_count(gallery.count(), block_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = query.select(F.col(key).alias("id"), F.col(vector).alias("vector"), _block(F.col(key), query_blocks).alias("qb")).withColumn("gb", every(gallery_blocks))
+    right = gallery.select(F.col(key).alias("id"), F.col(vector).alias("vector"), _block(F.col(key), gallery_blocks).alias("gb")).withColumn("qb", every(query_blocks))
+
+    def compare(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or g.empty:
+            return pd.DataFrame({"query_id": [], "ref_id": [], "score": []}).astype({"query_id": "int64", "ref_id": "int64"})
+        scores = matcher(_matrix(q["vector"]), _matrix(g["vector"]))
+        return _best(scores, q["id"].to_numpy(), g["id"].to_numpy(), k)
+
+    return left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(compare, "query_id long, ref_id long, score double")
+
+
+def shortlist(query: DataFrame, gallery: DataFrame, k: int, **options) -> DataFrame:
+    """Best ``k`` references per query over the whole gallery, with their ``position``."""
+    partial = block_shortlists(query, gallery, k, **options)
+    return top_per_group(partial, ["query_id"], [F.col("score").desc(), F.col("ref_id")], k)
+
+
+def cosine(left: Column, right: Column, eps: float = 1e-12) -> Column:
+    """Cosine of two arrays, inside the JVM."""
+    size = lambda a: F.greatest(A.norm(a), F.lit(eps))
+    return A.dot(left, right) / size(left) / size(right)
+
+
+def with_features(pairs: DataFrame, query: DataFrame, gallery: DataFrame, features: list[str], key: str = "ref_id") -> DataFrame:
+    """Pairs with the features of both sides, as ``q_*`` and ``r_*``.
+
+    Only shortlisted references are looked up; one that is shortlisted by very many queries is
+    spread over several tasks.
+    """
+    used = gallery.join(keys_of(pairs, "ref_id").withColumnRenamed("ref_id", "_used"), F.col(key) == F.col("_used"), "left_semi")
+    refs = used.select(F.col(key).alias("ref_id"), *[F.col(f).alias(f"r_{f}") for f in features])
+    queries = query.select(F.col(key).alias("_qid"), *[F.col(f).alias(f"q_{f}") for f in features])
+    joined = pairs.join(queries, F.col("query_id") == F.col("_qid")).drop("_qid")
+    return attach(joined, refs, ["ref_id"], F.col("query_id"), how="inner")
+
+
+def row_cosine(left: np.ndarray, right: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    size = np.maximum(np.linalg.norm(left, axis=1), eps) * np.maximum(np.linalg.norm(right, axis=1), eps)
+    return np.einsum("ij,ij->i", left, right) / size
+
+
+def matcher_column(matcher: Matcher, left: Column, right: Column) -> Column:
+    """Score of given pairs by a caller's matcher: two matrices of paired rows in, one score per row out."""
+
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        if len(a) == 0:
+            return pd.Series([], dtype="float64")
+        return pd.Series(np.asarray(matcher(_matrix(a), _matrix(b)), dtype=np.float64))
+
+    return F.pandas_udf(score, T.DoubleType())(left, right)
+
+
+def hits(left_label: str, right_label: str) -> Column:
+    """Whether the labels of a pair agree, compared as text."""
+    return F.coalesce(F.col(left_label).cast("string") == F.col(right_label).cast("string"), F.lit(False))
+
+
+def fused(scores: list[Column]) -> Column:
+    """Mean over matchers; null (not scored) if one of them has not scored the pair."""
+    total = scores[0]
+    for other in scores[1:]:
+        total = total + other
+    return total / len(scores)
+
+
+def identify(
+    query: DataFrame, gallery: DataFrame, matchers: list[Callable[[Column, Column], Column]], calibrations: list, depth: int, k: int,
+    vector: str = "embedding", label: str = "identity", key: str = "ref_id",
+) -> DataFrame:
+    """Re-identification: shortlist by cosine, score the shortlist with every matcher, fuse, best ``k`` identities.
+
+    A matcher maps the two embeddings of a pair to a score column; its calibration (or None)
+    turns the score into a probability. The shortlist is written once, as several readers follow.
+    """
+    pairs = pin(shortlist(query, gallery, depth, vector=vector, key=key))
+    rows = with_features(pairs.select("query_id", "ref_id"), query, gallery, [label, vector], key)
+    left, right = F.col(f"q_{vector}").cast("array<double>"), F.col(f"r_{vector}").cast("array<double>")
+    scores = []
+    for matcher, model in zip(matchers, calibrations):
+        raw = matcher(left, right)
+        scores.append(raw if model is None else model.predict(raw))
+    scored = rows.select("query_id", "ref_id", F.col(f"r_{label}").alias("identity"), fused(scores).alias("score"))
+    return top_identities(scored.filter("score is not null"), k)
+
+
+def top_identities(pairs: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` distinct identities per query, each with its best reference.
+
+    ``pairs`` has ``query_id``, ``ref_id``, ``identity``, ``score``.
+    """
+    best = F.max_by(F.struct("ref_id", "score"), F.struct(F.col("score"), -F.col("ref_id")))
+    rows = pairs.groupBy("query_id", "identity").agg(best.alias("_best")).select("query_id", "identity", "_best.*")
+    return top_per_group(rows, ["query_id"], [F.col("score").desc(), F.col("ref_id")], k)
 
-from trapline.operators.skew import attach
+
+def result_arrays(top: DataFrame, paths: DataFrame, k: int) -> DataFrame:
+    """One row per query with parallel arrays of ``k`` identities, paths and scores in [0, 1].
+
+    Short lists repeat their last entry. ``top`` has at most ``k`` rows per query.
+    """
+    located = attach(top, paths.select("ref_id", "path"), ["ref_id"], F.col("query_id"))
+    entry = F.struct("position", "identity", "ref_id", A.clip01(F.col("score")).alias("score"), swap_variant(F.col("path")).alias("path"), F.col("path").alias("masked"))
+    ranked = located.groupBy("query_id").agg(A.pad_with_last(F.sort_array(F.collect_list(entry)), k).alias("_e"))
+    take = lambda f: F.transform("_e", lambda e: e[f])
+    return ranked.select(
+        "query_id", take("identity").alias("class_ids"), take("path").alias("paths"), take("masked").alias("masked_paths"), take("score").alias("scores"), take("ref_id").alias("ref_ids")
+    )
+
+
+def first_distinct(ranked: DataFrame, group: str, name: str, rank: str, k: int) -> DataFrame:
+    """First ``k`` distinct names of each ranked list, at their first rank."""
+    firsts = ranked.groupBy(group, name).agg(F.min(rank).alias(rank))
+    return top_per_group(firsts, [group], [F.col(rank)], k)
+
+
+def rerank(pairs: DataFrame, k: int, threshold: float = 100.0) -> DataFrame:
+    """Local scores over the threshold override the cosine order, position by position.
+
+    ``pairs`` has ``query_id``, ``ref_id``, ``identity``, ``cosine`` and ``local``. The best
+    reference of each of the ``k`` best identities by cosine is also ordered by its local score;
+    where the local score at a position is over the threshold its reference is taken.
+    """
+    best = F.max_by(F.struct("ref_id", "cosine", "local"), F.struct(F.col("cosine"), -F.col("ref_id")))
+    per_identity = pairs.groupBy("query_id", "identity").agg(best.alias("_b")).select("query_id", "identity", "_b.*")
+    top = top_per_group(per_identity, ["query_id"], [F.col("cosine").desc(), F.col("ref_id")], k, "position")
+    by_local = Window.partitionBy("query_id").orderBy(F.col("local").desc(), F.col("position"))  # k rows per query
+    places = top.withColumn("_local_place", F.row_number().over(by_local))
+    other = places.select(
+        F.col("query_id").alias("_q"), F.col("_local_place").alias("_p"), F.col("ref_id").alias("_local_ref"), F.col("local").alias("_local_score")
+    )
+    joined = places.join(other, (F.col("query_id") == F.col("_q")) & (F.col("position") == F.col("_p")))
+    chosen = F.when(F.col("_local_score") > threshold, F.col("_local_ref")).otherwise(F.col("ref_id"))
+    return joined.select("query_id", "position", chosen.alias("ref_id"))
+
+
+def nearest_label(pairs: DataFrame, k: int = 1) -> DataFrame:
+    """Label of each query by its ``k`` nearest references (``k`` = 1: the nearest one).
+
+    Votes are counted per label; on a tie the label with the nearer reference wins.
+    """
+    near = top_per_group(pairs, ["query_id"], [F.col("score").desc(), F.col("ref_id")], k)
+    votes = near.groupBy("query_id", "identity").agg(F.count(F.lit(1)).alias("_n"), F.min("position").alias("_p"))
+    return votes.groupBy("query_id").agg(F.max_by("identity", F.struct(F.col("_n"), -F.col("_p"))).alias("predicted"))
+
+
+def angle(left: Column, right: Column) -> Column:
+    """Angle of two vectors in degrees."""
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(left, right, 0.0)))))
+
+
+def calibration_rows(gallery: DataFrame, rows: int = 50, key: str = "ref_id") -> DataFrame:
+    """The first gallery rows in key order: the size of the calibration set is a parameter."""
+    return gallery.orderBy(key).limit(rows)
+
+
+def identification_input(named_media: DataFrame) -> DataFrame:
+    """One row per media file with its label, locality and sequence."""
+    return named_media.select(
+        F.col("id").alias("mediafile_id"), F.col("identity_id").alias("class_id"), F.col("identity_name").alias("label"), "locality_id",
+        F.coalesce("locality_name", F.lit("")).alias("locality_name"), F.nullif("locality_location", F.lit("")).alias("locality_coordinates"),
+        F.col("sequence_id").alias("sequence_number"),
+    )
+
+
+# ---- one vector per sequence ----------------------------------------------------------------
 
 
 def best_of_sequence(rows: DataFrame, sequence: str, vector: str, score: str, ref: str, key: str, method: str) -> DataFrame:
@@ -22,3 +247,133 @@ def best_of_sequence(rows: DataFrame, sequence: str, vector: str, score: str, re
         per_ref = rows.groupBy(sequence, ref).agg(F.count(F.lit(1)).alias("_n"), pick.alias("_v"))
         chosen = per_ref.groupBy(sequence).agg(F.max_by("_v", F.struct(F.col("_n"), -F.col(ref))).alias("_vector"))
     return attach(rows.drop(vector), chosen, [sequence], F.col(key)).withColumnRenamed("_vector", vector)
+
+
+def _angles(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.degrees(np.arccos(np.clip(cosine_matrix(left, right), -1.0, 1.0)))
+
+
+def _components(linked: np.ndarray) -> np.ndarray:
+    """Smallest row number reachable from every row."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.where(linked, label[None, :], len(linked)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def cluster_one(keys: np.ndarray, vectors: np.ndarray, scores: np.ndarray, limit: float, multiplier: float) -> np.ndarray:
+    """The vector that stands for one sequence of bounded size."""
+    order = np.argsort(keys, kind="stable")
+    vectors, scores = vectors[order], scores[order]
+    if len(vectors) == 1:
+        return vectors[0]
+    angles = _angles(vectors, vectors)
+    np.fill_diagonal(angles, 361.0)
+    closest = angles.min()
+    if closest > limit:
+        return vectors[np.argmax(scores)]
+    label = _components((angles <= multiplier * closest) | np.eye(len(angles), dtype=bool))
+    best, chosen = None, None
+    for group in np.unique(label):
+        members = np.flatnonzero(label == group)
+        if len(members) < 2:
+            continue
+        inside = angles[np.ix_(members, members)][np.tril_indices(len(members), -1)]
+        mean = inside.sum() / max((inside > 0).sum(), 1)
+        if best is None or mean < best:
+            best, chosen = mean, members
+    return vectors[chosen].sum(axis=0)
+
+
+def cluster_sequences(
+    rows: DataFrame, sequence: str = "sequence_id", key: str = "ref_id", vector: str = "embedding", score: str = "score",
+    limit: float = 45.0, multiplier: float = 2.0, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """One vector per sequence: the sum of its tightest cluster of similar views.
+
+    If no two vectors are within ``limit`` degrees the vector of the best score stands for the
+    sequence. Otherwise vectors are linked while they are within ``multiplier`` times the
+    smallest angle (closest pairs first, groups being as close as their closest members, which
+    makes the groups the connected components of that graph) and the group with the smallest
+    mean angle is summed.
+
+    Sequences of at most ``block_rows`` rows are one small task each. Longer ones are compared
+    block by block: smallest angle, labels and mean angles are reduced inside the tasks.
+    """
+    sizes = rows.groupBy(F.col(sequence).alias("seq")).agg(F.count(F.lit(1)).alias("n"))
+    base = rows.select(F.col(sequence).alias("seq"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(score).alias("score"))
+    sized = attach(base, sizes, ["seq"], F.col("key"))
+    schema = "seq long, vector array<double>"
+
+    def small(pdf: pd.DataFrame) -> pd.DataFrame:
+        vec = cluster_one(pdf["key"].to_numpy(), _matrix(pdf["vector"]), pdf["score"].to_numpy(), limit, multiplier)
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "vector": [vec]})
+
+    short = sized.filter(F.col("n") <= block_rows).groupBy("seq").applyInPandas(small, schema)
+    long_rows = sized.filter(F.col("n") > block_rows).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    if long_rows.isEmpty():
+        chosen = short
+    else:
+        chosen = short.unionByName(_cluster_long(pin(long_rows), limit, multiplier))
+    return chosen.select(F.col("seq").alias(sequence), F.col("vector").alias(vector))
+
+
+def _compare_blocks(rows: DataFrame, columns: list[str], compare, schema: str) -> DataFrame:
+    """Run ``compare(left, right)`` on every pair of blocks of every sequence."""
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocked = rows.select("seq", "key", "vector", *columns, "blocks", own.alias("own"))
+    left = blocked.withColumnRenamed("own", "a").withColumn("b", every)
+    right = blocked.withColumnRenamed("own", "b").withColumn("a", every)
+    return left.groupBy("seq", "a", "b").cogroup(right.groupBy("seq", "a", "b")).applyInPandas(compare, schema)
+
+
+def _cluster_long(rows: DataFrame, limit: float, multiplier: float) -> DataFrame:
+    def block_angles(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        angles = _angles(_matrix(a["vector"]), _matrix(b["vector"]))
+        angles[a["key"].to_numpy()[:, None] == b["key"].to_numpy()[None, :]] = 361.0
+        return angles
+
+    def closest(a, b):
+        if a.empty or b.empty:
+            return pd.DataFrame({"seq": [], "angle": []}).astype({"seq": "int64", "angle": "float64"})
+        return pd.DataFrame({"seq": [a["seq"].iloc[0]], "angle": [block_angles(a, b).min()]})
+
+    nearest = pin(_compare_blocks(rows, [], closest, "seq long, angle double").groupBy("seq").agg(F.min("angle").alias("closest")))
+    apart = attach(rows, nearest.filter(F.col("closest") > limit), ["seq"], F.col("key"), how="inner")
+    by_score = apart.groupBy("seq").agg(F.max_by("vector", F.struct(F.col("score"), -F.col("key"))).alias("vector"))
+    linked = pin(attach(rows, nearest.filter(F.col("closest") <= limit), ["seq"], F.col("key"), how="inner").withColumn("label", F.col("key")))
+
+    def smallest_label(a, b):
+        if a.empty or b.empty:
+            return pd.DataFrame({"key": [], "label": []}).astype("int64")
+        near = block_angles(a, b) <= multiplier * a["closest"].iloc[0]
+        label = np.where(near, b["label"].to_numpy()[None, :], a["label"].to_numpy()[:, None]).min(axis=1)
+        return pd.DataFrame({"key": a["key"].to_numpy(), "label": np.minimum(label, a["label"].to_numpy())})
+
+    while True:
+        spread = _compare_blocks(linked, ["label", "closest"], smallest_label, "key long, label long").groupBy("key").agg(F.min("label").alias("new"))
+        onward = spread.select(F.col("key").alias("new"), F.col("new").alias("jump"))
+        jumped = attach(spread, onward, ["new"], F.col("key")).select(F.col("key").alias("_k"), F.least("new", "jump").alias("new"))
+        moved = pin(linked.join(jumped, F.col("key") == F.col("_k")).drop("_k"))
+        changed = not moved.filter("new != label").isEmpty()
+        linked = moved.withColumn("label", F.col("new")).drop("new")
+        if not changed:
+            break
+
+    def spread_of(a, b):
+        if a.empty or b.empty:
+            return pd.DataFrame({"seq": [], "label": [], "total": [], "pairs": []}).astype({"seq": "int64", "label": "int64", "total": "float64", "pairs": "int64"})
+        angles = block_angles(a, b)
+        same = (a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]) & (a["key"].to_numpy()[:, None] > b["key"].to_numpy()[None, :])
+        row, column = np.nonzero(same)
+        sums = pd.DataFrame({"label": a["label"].to_numpy()[row], "total": angles[row, column], "pairs": (angles[row, column] > 0).astype("int64")})
+        return sums.groupby("label", as_index=False).sum().assign(seq=a["seq"].iloc[0])[["seq", "label", "total", "pairs"]]
+
+    partial = _compare_blocks(linked, ["label"], spread_of, "seq long, label long, total double, pairs long")
+    groups = partial.groupBy("seq", "label").agg((F.sum("total") / F.greatest(F.sum("pairs"), F.lit(1))).alias("mean"))
+    best = groups.groupBy("seq").agg(F.min_by("label", F.struct("mean", "label")).alias("best"))
+    members = attach(linked, best, ["seq"], F.col("key"), how="inner").filter("label = best")
+    return by_score.unionByName(vector_per_group(members, "seq", "vector", "sum"))

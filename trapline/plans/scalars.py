@@ -138,8 +138,7 @@ FOLDER_SQL = """case media_id % 4 when 0 then concat('2021-0', cast(1 + media_id
 )
 def _(t):
     named = t.uploads.withColumn("name", F.expr(FOLDER_SQL.replace("varchar", "string")))
-    date, locality = X.split_date_and_locality(F.col("name"))
-    return named.select("media_id", "name", date.alias("date"), locality.alias("locality"))
+    return X.split_date_and_locality(named, "name").select("media_id", "name", "date", "locality")
 
 
 CODE_SQL = "concat(name, ' B', cast(id as varchar), 'x')"

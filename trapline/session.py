@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,19 +39,32 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder so that every reader sees the same rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only where that is unset, and only
-    on a single machine, a scratch folder is used.
+    Only where that is unset, and only on a single machine, a scratch folder is used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        shared = _local_folder()
+    return shared
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="trapline-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for tables that a job writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder so that every reader sees the same rows, also after a lost executor."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            shared = tempfile.mkdtemp(prefix="trapline-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
