@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trapline.operators.ranking import top_per_group
 from trapline.operators.skew import attach
+from trapline.session import pin
 
 
 def metadata_order(key: str) -> list[Column]:
@@ -14,13 +15,25 @@ def metadata_order(key: str) -> list[Column]:
     return [F.col("annotated").desc_nulls_last(), F.col("location").desc_nulls_last(), F.col("captured_at").asc_nulls_last(), F.col(key)]
 
 
-def split_duplicates(files: DataFrame, content: str, key: str, order_by: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """First file of every content, and the others.
+def first_copies(files: DataFrame, content: str, key: str, order_by: list[Column]) -> DataFrame:
+    """Key of the first file of every content.
 
     One candidate per content and task survives the map side, so a content that a third of all
-    files share costs as little as any other. The two parts are told apart by the unique key.
+    files share costs as little as any other.
     """
-    keepers = top_per_group(files, [content], order_by, 1, "_position").select(F.col(key).alias("_keeper"))
+    return top_per_group(files, [content], order_by, 1, "_position").select(F.col(key).alias("_keeper"))
+
+
+def mark_duplicates(files: DataFrame, content: str, key: str, order_by: list[Column]) -> DataFrame:
+    """Flag every file but the first of its content; joined by the unique key, so without skew."""
+    keepers = first_copies(files, content, key, order_by)
+    marked = files.join(keepers, F.col(key) == F.col("_keeper"), "left")
+    return marked.withColumn("duplicate", F.col("_keeper").isNull()).drop("_keeper")
+
+
+def split_duplicates(files: DataFrame, content: str, key: str, order_by: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """First file of every content, and the others (the kept keys are written once for both)."""
+    keepers = pin(first_copies(files, content, key, order_by))
     same = F.col(key) == F.col("_keeper")
     return files.join(keepers, same, "left_semi"), files.join(keepers, same, "left_anti")
 

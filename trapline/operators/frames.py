@@ -46,6 +46,5 @@ def capture_trace(points: DataFrame, ts: str, key: str, value: str) -> DataFrame
     """Points in time order with their step, the value of the next point, and the last two flagged."""
     order = [F.col(ts), F.col(key)]
     ahead = next_over_all(points, order, F.col(value), "next")
-    total = points.agg(F.count(F.lit(1)).alias("_points"))
-    stepped = row_number_over_all(ahead, order, "step").join(F.broadcast(total), F.lit(True))  # one row
-    return stepped.withColumn("last_segment", F.col("step") > F.col("_points") - 2).drop("_points")
+    total = points.agg(F.count(F.lit(1))).scalar()
+    return row_number_over_all(ahead, order, "step").withColumn("last_segment", F.col("step") > total - 2)

@@ -182,6 +182,11 @@ def merge_localities(localities: DataFrame, resolved: DataFrame) -> DataFrame:
 # ---- get or create --------------------------------------------------------------------------
 
 
+def greatest_id(table: DataFrame) -> Column:
+    """The greatest id of a table as a scalar subquery; -1 for an empty one."""
+    return table.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
+
+
 def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], caps: dict[str, int] | None = None) -> DataFrame:
     """Existing dimension rows plus one new row per key that is not there yet.
 
@@ -197,8 +202,7 @@ def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], cap
         match = match & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
     fresh = wanted.join(have, match, "left_anti")
     numbered = row_number_over_all(fresh, [F.col(k).asc_nulls_first() for k in keys], "_new")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-    created = numbered.join(F.broadcast(top), F.lit(True)).select((F.col("_top") + F.col("_new")).alias("id"), *keys)  # one row
+    created = numbered.select((greatest_id(existing) + F.col("_new")).alias("id"), *keys)
     return existing.unionByName(created, allowMissingColumns=True)
 
 
@@ -363,8 +367,7 @@ def import_identities(existing: DataFrame, sheet: DataFrame, position: str) -> t
         F.when(F.col("_hit").isNotNull(), "updated").otherwise("unchanged").alias("status"),
     )
     fresh = row_number_over_all(usable.filter("_hits is null"), [F.col("_by_code").desc(), F.col("_key")], "_new")
-    top = existing.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-    created = fresh.join(F.broadcast(top), F.lit(True)).select((F.col("_top") + F.col("_new")).alias("id"), *fields, F.lit("created").alias("status"))  # one row
+    created = fresh.select((greatest_id(existing) + F.col("_new")).alias("id"), *fields, F.lit("created").alias("status"))
     return kept.unionByName(created, allowMissingColumns=True), rejected
 
 

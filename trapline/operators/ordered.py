@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapline.operators.skew import attach
 from trapline.session import pin
 
 RANGE = "_range"
@@ -53,14 +52,29 @@ def row_number_over_all(df: DataFrame, order_by: list[Column], out: str = "row_n
 def row_number_in_group(df: DataFrame, group: str, order_by: list[Column], out: str = "row_no") -> DataFrame:
     """``row_number`` per group that also holds when one group has most of the rows.
 
-    Also gives ``{out}_count``, the size of the group.
+    Also gives ``{out}_count``, the size of the group. A range has at most two groups that go on
+    in another range (its first and its last), so what is broadcast has at most twice as many
+    rows as there are ranges.
     """
-    numbered = row_number_over_all(df, [F.col(group).asc_nulls_first(), *order_by], "_global")
-    bounds = numbered.groupBy(group).agg(F.min("_global").alias("_first"), F.count(F.lit(1)).alias(f"{out}_count"))
+    ranges = ordered_ranges(df, [F.col(group).asc_nulls_first(), *order_by])
+    parts = ranges.groupBy(RANGE, group).agg(F.count(F.lit(1)).alias("_n"))
+    same = Window.partitionBy(group)
+    earlier = same.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    spans = (
+        parts.withColumns(
+            {"_pieces": F.count(F.lit(1)).over(same), "_span": F.sum("_n").over(same), "_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0))}
+        )
+        .filter("_pieces > 1")
+        .select(F.col(RANGE).alias("_r"), F.col(group).alias("_g"), "_span", "_before")
+    )
+    local = Window.partitionBy(RANGE, group)
+    numbered = ranges.withColumns({"_local": F.row_number().over(local.orderBy(*order_by)), "_size": F.count(F.lit(1)).over(local)})
+    here = (F.col(RANGE) == F.col("_r")) & F.col(group).eqNullSafe(F.col("_g"))
     return (
-        attach(numbered, bounds, [group], F.col("_global"))
-        .withColumn(out, F.col("_global") - F.col("_first") + 1)
-        .drop("_global", "_first")
+        numbered.join(F.broadcast(spans), here, "left")
+        .withColumn(out, F.col("_local") + F.coalesce("_before", F.lit(0)))
+        .withColumn(f"{out}_count", F.coalesce("_span", "_size"))
+        .drop("_local", "_size", "_r", "_g", "_span", "_before", RANGE)
     )
 
 

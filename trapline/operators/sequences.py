@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trapline.operators.ordered import ordered_ranges, previous_over_all, running_sum
 from trapline.operators.skew import attach
+from trapline.session import pin
 
 LOCATION_ORDER = "location desc, nulls last"
 
@@ -80,6 +81,8 @@ def number_sequences(
     """
     limit_us = _limit_us(limit_s)
     cells = sequence_cells(shots, location, ts, limit_s).withColumn("_number", F.col("_local"))
+    if mode == "reference" or with_delta:
+        cells = pin(cells)  # several readers follow
     if mode == "reference":
         offsets = location_offsets(cells, location, limit_s)
         cells = attach(cells, offsets, [location], F.col("_cell")).withColumn("_number", F.col("_local") + F.col("_offset_breaks"))
@@ -103,17 +106,16 @@ def _sort_keys(key: str, location: str, ts: str, annotated: str | None) -> list[
 
 
 def _leading_row_rule(rows: DataFrame, shots: DataFrame, key: str, location: str, ts: str, annotated: str | None, out: str) -> DataFrame:
+    """Only a frame that starts with a shot without time is special; its two rows are looked up."""
     order = _sort_keys(key, location, ts, annotated)
-    first = shots.orderBy(*order).limit(1).select(F.col(key).alias("_head"), F.col(ts).isNull().alias("_head_untimed"))
-    timed = shots.filter(F.col(ts).isNotNull()).orderBy(*order).limit(1).select(F.col(key).alias("_first_timed"))
-    heads = first.join(F.broadcast(timed), F.lit(True), "left")  # one row each
-    ruled = rows.join(F.broadcast(heads), F.lit(True), "left")
-    number = (
-        F.when(F.col("_head_untimed") & (F.col(key) == F.col("_head")), F.lit(0))
-        .when(F.col("_head_untimed") & (F.col(key) == F.col("_first_timed")), F.lit(None))
-        .otherwise(F.col(out))
-    )
-    return ruled.withColumn(out, number.cast("long")).drop("_head", "_head_untimed", "_first_timed")
+    head = shots.orderBy(*order).select(F.col(key), F.col(ts)).first()
+    if head is None or head[1] is not None:
+        return rows
+    timed = shots.filter(F.col(ts).isNotNull()).orderBy(*order).select(key).first()
+    number = F.when(F.col(key) == F.lit(head[0]), F.lit(0))
+    if timed is not None:
+        number = number.when(F.col(key) == F.lit(timed[0]), F.lit(None))
+    return rows.withColumn(out, number.otherwise(F.col(out)).cast("long"))
 
 
 def _deltas(timed: DataFrame, numbers: DataFrame, key: str, location: str, annotated: str | None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trapline.operators.ordered import row_number_in_group, row_number_over_all
 from trapline.operators.skew import attach
+from trapline.session import pin
 
 
 def repeated_only(rows: DataFrame, identity: str) -> DataFrame:
@@ -29,7 +30,7 @@ def split_ratio(rows: DataFrame, identity: str, observation: str, key: str, trai
     joined = attach(counted, first, [observation], F.col(key))
     follows = F.col(observation).isNotNull() & (F.col(key) > F.col("_first_test"))
     test = F.col("_counted") | F.coalesce(follows, F.lit(False))
-    placed = joined.withColumn("_test", test)
+    placed = pin(joined.withColumn("_test", test).select(*rows.columns, "_test"))
     trained = placed.groupBy(identity).agg(F.bool_or(~F.col("_test")).alias("_trained"))
     known = attach(placed, trained, [identity], F.col(key))
     split = F.when(~F.col("_test"), "train").when(F.col("_trained"), "test")
@@ -55,8 +56,7 @@ def factorize(rows: DataFrame, label: str, key: str) -> DataFrame:
 def chunks(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Cut the rows in key order into ``n`` consecutive chunks, the first ones longer by one if need be."""
     numbered = row_number_over_all(rows, [F.col(key)], "_rn")
-    total = rows.agg(F.count(F.lit(1)).alias("_total"))
-    sized = numbered.join(F.broadcast(total), F.lit(True))  # one row
+    sized = numbered.withColumn("_total", rows.agg(F.count(F.lit(1))).scalar())
     place, size, rest = F.col("_rn") - 1, F.expr(f"_total div {n}"), F.col("_total") % n
     in_long = place < rest * (size + 1)
     chunk = F.when(in_long, F.floor(place / (size + 1))).otherwise(rest + F.floor((place - rest * (size + 1)) / F.greatest(size, F.lit(1))))

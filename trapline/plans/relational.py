@@ -355,9 +355,8 @@ def _(t):
 def _(t):
     from trapline.operators.merge import dictionary_report, species_frame
 
-    folders = t.uploads.select(F.element_at(X.parts(F.col("original_path")), 5).alias("folder")).distinct().agg(F.count(F.lit(1)).alias("folders"))
-    report = dictionary_report(species_frame(t.spark), "czech_label")
-    return report.join(F.broadcast(folders), F.lit(True))  # one row each
+    folders = t.uploads.select(F.element_at(X.parts(F.col("original_path")), 5).alias("folder")).distinct().agg(F.count(F.lit(1)))
+    return dictionary_report(species_frame(t.spark), "czech_label").withColumn("folders", folders.scalar())
 
 
 @query(
@@ -554,11 +553,14 @@ def _(t):
 
 @query(
     "agg20_max_suggestion_score",
-    "select g.ref_id % 40 as identity, max(cast(g.embedding[1] as double)) as max_score from gallery g group by 1",
+    """with s as (select ref_id as id, cast(embedding[n + 1] as double) as score from gallery, (select unnest([0, 1, 2]) as n) where is_query)
+       select g.ref_id as id, max(s.score) as max_score from gallery g left join s on s.id = g.ref_id group by 1""",
 )
 def _(t):
-    rows = t.gallery.select((F.col("ref_id") % 40).alias("identity"), F.col("embedding")[0].cast("double").alias("score"))
-    return rows.groupBy("identity").agg(F.max("score").alias("max_score"))
+    from trapline.operators.ranking import max_scores
+
+    scores = t.gallery.filter("is_query").select(F.col("ref_id").alias("for_id"), F.explode(F.slice("embedding", 1, 3).cast("array<double>")).alias("score"))
+    return max_scores(t.gallery.select(F.col("ref_id").alias("id")), scores)
 
 
 @query(

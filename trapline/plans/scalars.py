@@ -238,7 +238,15 @@ def _(t):
     )
 
 
-@query("str20_ranked_text_match")
+WORDS_SQL = "string_split_regex(lower(concat(coalesce(x.name, ''), ' ', coalesce(l.name, ''))), '\\W+')"
+
+
+@query(
+    "str20_ranked_text_match",
+    f"""with r as (select m.id, cast(list_contains({WORDS_SQL}, 'lynx') as int) + cast(list_contains({WORDS_SQL}, 'supplier') as int) as rank
+          from media m left join taxa x on x.id = m.taxon_id left join localities l on l.id = m.locality_id)
+    select * from r where rank > 0""",
+)
 def _(t):
     """Media ranked by how many words of a phrase occur in taxon and locality names."""
     from trapline.operators.media import media_with_names

@@ -204,8 +204,7 @@ def _(t):
 
     online.drain(online.online_sequences(event_stream(t), "location", "captured_at"), sink, checkpoint, "complete", keep)
     rows = t.spark.read.schema("location string, shots long, first_at timestamp, last_at timestamp, batch int").parquet(sink)
-    last = rows.agg(F.max("batch").alias("_last"))
-    final = rows.join(F.broadcast(last), F.col("batch") == F.col("_last"))  # one row
+    final = rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar())
     return final.select("location", "shots", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 

@@ -315,5 +315,14 @@ def _(t):
     select media_id, rn > 1 as duplicate from r""",
 )
 def _(t):
-    kept, others = dedup.split_duplicates(hashed(t), "content_hash", "media_id", dedup.metadata_order("media_id"))
-    return kept.select("media_id", F.lit(False).alias("duplicate")).unionByName(others.select("media_id", F.lit(True).alias("duplicate")))
+    return dedup.mark_duplicates(hashed(t), "content_hash", "media_id", dedup.metadata_order("media_id")).select("media_id", "duplicate")
+
+
+@query(
+    "set1_duplicates_table",
+    f"""with r as (select media_id, row_number() over (partition by sha256(content) order by {DEDUP_ORDER}) as rn from uploads)
+    select media_id from r where rn > 1""",
+)
+def _(t):
+    _kept, others = dedup.split_duplicates(hashed(t), "content_hash", "media_id", dedup.metadata_order("media_id"))
+    return others.select("media_id")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from trapline.functions import text as X
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""'}
+# an empty field is null, a quoted empty field is an empty text
+READ_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": ""}
+WRITE_OPTIONS = {"header": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def list_files(spark: SparkSession, folder: str, mask: str = "*", exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -28,13 +30,13 @@ def relative_to(files: DataFrame, root: str) -> DataFrame:
 def read_metadata(spark: SparkSession, path: str, schema: str, index: bool = True) -> DataFrame:
     """Metadata CSV with a declared schema; the unnamed index column is dropped."""
     declared = f"_index long, {schema}" if index else schema
-    frame = spark.read.options(**CSV_OPTIONS).schema(declared).csv(path)
+    frame = spark.read.options(**READ_OPTIONS).schema(declared).csv(path)
     return frame.drop("_index") if index else frame
 
 
 def write_metadata(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Metadata as CSV files (UTF-8, quoted text may hold line breaks)."""
-    df.write.mode(mode).options(header=True, escape='"', quote='"', emptyValue='""', nullValue="").csv(path)
+    df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
 
 
 def latest_spreadsheet(files: DataFrame) -> str | None:
