@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trapline.functions import text as X
 
-# an empty field is null, a quoted empty field is an empty text
+# an empty field is a missing value, quoted or not
 READ_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": ""}
 WRITE_OPTIONS = {"header": True, "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
