@@ -132,7 +132,7 @@ def localities_of_identity(media: DataFrame) -> DataFrame:
     return counts.withColumn("position", F.row_number().over(order).cast("long"))
 
 
-def archive_statistics(archives: DataFrame, owned_media: DataFrame, missing: DataFrame, not_classified_id: int | None = None) -> DataFrame:
+def archive_statistics(archives: DataFrame, media: DataFrame, missing: DataFrame, not_classified_id: int | None = None) -> DataFrame:
     """What the detail page of an archive shows.
 
     Archives in an early status report the number of files at upload. A single-taxon archive has
@@ -141,7 +141,7 @@ def archive_statistics(archives: DataFrame, owned_media: DataFrame, missing: Dat
     known = F.col("taxon_id")
     if not_classified_id is not None:
         known = F.when(F.col("taxon_id") != not_classified_id, F.col("taxon_id"))
-    stats = owned_media.groupBy(F.col("parent_id").alias("_archive")).agg(
+    stats = media.groupBy(F.col("parent_id").alias("_archive")).agg(
         count_rows().alias("media"),
         F.count_if("identity_is_representative").alias("representative"),
         F.count_if("taxon_verified").alias("verified"),

@@ -252,8 +252,8 @@ ARCHIVE_STATS = """
 
 
 def archive_stats(t):
-    rows = owned(t)
-    return rollups.archive_statistics(t.archives, rows, media.missing_taxon(rows, flags(t)), not_classified_id=0)
+    missing = media.missing_taxon(owned(t), flags(t))
+    return rollups.archive_statistics(t.archives, t.media, missing, not_classified_id=0)
 
 
 @query(
