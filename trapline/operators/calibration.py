@@ -74,8 +74,8 @@ class IsotonicCalibration:
 
 
 def fit_isotonic(pairs: DataFrame, score: str = "score", hit: str = "hit") -> IsotonicCalibration:
-    """Fit on (score, hit) pairs."""
-    rows = pairs.select(F.col(score).cast("double").alias("features"), F.col(hit).cast("double").alias("label"))
+    """Fit on (score, hit) pairs. Scores that agree to 12 decimals count as equal."""
+    rows = pairs.select(F.round(F.col(score).cast("double"), 12).alias("features"), F.col(hit).cast("double").alias("label"))
     bounds = rows.agg(F.min("features"), F.max("features"), F.min("label"), F.max("label"), F.count(F.lit(1))).first()
     if not bounds[4]:
         raise ValueError("no calibration pairs")

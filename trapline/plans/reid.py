@@ -204,7 +204,30 @@ def _(t):
     return rows.groupBy("query_sequence", "sequence_id").agg(F.min("a").alias("angle"))
 
 
-@query("sim17_sequence_clusters")
+def _spread(n: int) -> str:
+    """One round of passing the smallest label along the edges (three rounds reach all of four vectors)."""
+    return f"""l{n} as (select l.ref_id, l.sequence_id, least(l.label, coalesce(min(o.label), l.label)) as label from l{n - 1} l
+        left join edge on edge.i = l.ref_id left join l{n - 1} o on o.ref_id = edge.j group by l.ref_id, l.sequence_id, l.label)"""
+
+
+@query(
+    "sim17_sequence_clusters",
+    f"""with v as (select ref_id, sequence_id, list_transform(embedding, lambda x: cast(x as double)) as e from gallery),
+      u as (select *, sqrt(list_dot_product(e, e)) as n from v),
+      pr as (select a.sequence_id, a.ref_id as i, b.ref_id as j, degrees(acos(greatest(-1e0, least(1e0, list_dot_product(a.e, b.e) / (a.n * b.n))))) as angle
+        from u a join u b on a.sequence_id = b.sequence_id and a.ref_id <> b.ref_id),
+      th as (select u.sequence_id, min(angle) as theta from u left join pr using (sequence_id) group by 1),
+      edge as (select pr.* from pr join th using (sequence_id) where angle <= 2 * theta),
+      l0 as (select ref_id, sequence_id, ref_id as label from u), {_spread(1)}, {_spread(2)}, {_spread(3)},
+      gr as (select pr.sequence_id, a.label, sum(angle) filter (i > j) / greatest(count(*) filter (i > j and angle > 0), 1) as mean
+        from pr join l3 a on a.ref_id = i join l3 b on b.ref_id = j and b.label = a.label group by 1, 2),
+      best as (select sequence_id, first(label order by mean, label) as label from gr group by 1),
+      mem as (select l3.ref_id, l3.sequence_id from best join l3 using (sequence_id, label) join th using (sequence_id) where theta <= 85
+        union all select first(u.ref_id order by u.e[1] desc, u.ref_id), sequence_id from u join th using (sequence_id) where theta is null or theta > 85 group by sequence_id),
+      un as (select mem.sequence_id, unnest(range(1, 65)) as position, unnest(u.e) as x from mem join u on u.ref_id = mem.ref_id),
+      sm as (select sequence_id, position, sum(x) as s from un group by 1, 2)
+    select sequence_id, sqrt(sum(s * s)) as length, max(s) filter (position = 1) as first from sm group by 1""",
+)
 def _(t):
     """One vector per sequence, shown by its length and its first component."""
     rows = t.gallery.select("ref_id", "sequence_id", "embedding", F.col("embedding")[0].cast("double").alias("score"))
@@ -246,7 +269,40 @@ def _(t):
     return calibration_pairs(t)
 
 
-@query("sim7_isotonic_scores")
+CALIBRATION_PAIRS = """
+    cal as (select * from u where not is_query order by ref_id limit 50),
+    train as (select round(list_dot_product(x.e, y.e) / (x.n * y.n), 12) as x, (x.identity = y.identity)::int as hit from cal x, cal y)"""
+
+# isotonic fit by its min-max formula, knots, monotone cubic through the middles between them
+ISOTONIC = """
+    lim as (select min(x) as x0, max(x) as x1, cast(min(hit) as double) as low, cast(max(hit) as double) as high from train),
+    tx as (select x, count(*) as w, sum(hit) as h from train group by 1),
+    tr as (select row_number() over (order by x) as i, x, sum(w) over (order by x) as cw, sum(h) over (order by x) as ch, w, h from tx),
+    tb as (select j.i as j, m.i as m, cast(m.ch - j.ch + j.h as double) / cast(m.cw - j.cw + j.w as double) as mean from tr j join tr m on m.i >= j.i),
+    tm as (select j, m, min(mean) over (partition by j order by m desc rows unbounded preceding) as lowest from tb),
+    fit as (select m as i, max(lowest) as y from tm group by 1),
+    st as (select tr.x, y, lag(y) over (order by tr.i) as py, lead(y) over (order by tr.i) as ny from fit join tr on tr.i = fit.i),
+    kn as (select x, y, lead(x) over (order by x) as nx, lead(y) over (order by x) as ny from st where py is null or ny is null or y <> py or y <> ny),
+    ax as (select distinct x from (select (x + nx) / 2 as x from kn where nx is not null union all select x0 from lim union all select x1 from lim)),
+    ay as (select ax.x, coalesce((select y + (ax.x - kn.x) / (nx - kn.x) * (ny - y) from kn where ax.x >= kn.x and ax.x < nx), (select y from kn where nx is null)) as y from ax),
+    d1 as (select x, y, lead(x) over (order by x) - x as h, (lead(y) over (order by x) - y) / (lead(x) over (order by x) - x) as d from ay),
+    d2 as (select *, lag(h) over (order by x) as hp, lag(d) over (order by x) as dp, lead(h) over (order by x) as hn, lead(d) over (order by x) as dn,
+        lag(h, 2) over (order by x) as hpp, lag(d, 2) over (order by x) as dpp from d1),
+    d3 as (select *, case when hp is null then ((2 * h + hn) * d - h * dn) / (h + hn) when h is null then ((2 * hp + hpp) * dp - hp * dpp) / (hp + hpp)
+        when dp * d > 0 then ((2 * h + hp) + (h + 2 * hp)) / ((2 * h + hp) / dp + (h + 2 * hp) / d) else 0 end as raw,
+        case when hp is null then d when h is null then dp end as own, case when hp is null then dn when h is null then dpp end as other from d2),
+    d4 as (select x, y, case when own is null then raw when raw * own <= 0 then 0 when own * other < 0 and abs(raw) > 3 * abs(own) then 3 * own else raw end as s from d3),
+    iv as (select x, y, s, lead(x) over (order by x) as nx, lead(y) over (order by x) as ny, lead(s) over (order by x) as ns from d4)"""
+
+
+@query(
+    "sim7_isotonic_scores",
+    f"""{SHORT}, {CALIBRATION_PAIRS}, {ISOTONIC},
+    ev as (select k.query_id, k.ref_id, k.score, (k.score - iv.x) / (iv.nx - iv.x) as t, iv.nx - iv.x as h, iv.y, iv.s, iv.ny, iv.ns
+      from k left join iv on iv.nx is not null and k.score >= iv.x and k.score < iv.nx)
+    select ev.query_id, ev.ref_id, case when ev.score < lim.x0 then lim.low when ev.score >= lim.x1 then lim.high
+        else (1 + 2 * t) * (1 - t) ** 2 * y + t * (1 - t) ** 2 * h * s + t ** 2 * (3 - 2 * t) * ny + t ** 2 * (t - 1) * h * ns end as score from ev, lim""",
+)
 def _(t):
     model = calibration.fit_isotonic(calibration_pairs(t))
     return calibration.calibrated(shortlisted(t).select("query_id", "ref_id", "score"), model)
