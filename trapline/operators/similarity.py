@@ -131,24 +131,24 @@ def fused(scores: list[Column]) -> Column:
     return total / len(scores)
 
 
-def identify(
-    query: DataFrame, gallery: DataFrame, matchers: list[Callable[[Column, Column], Column]], calibrations: list, depth: int, k: int,
+def fused_scores(
+    query: DataFrame, gallery: DataFrame, matchers: list[Callable[[Column, Column], Column]], calibrations: list, depth: int,
     vector: str = "embedding", label: str = "identity", key: str = "ref_id",
 ) -> DataFrame:
-    """Re-identification: shortlist by cosine, score the shortlist with every matcher, fuse, best ``k`` identities.
+    """Shortlist by cosine and score the shortlist with every matcher.
 
     A matcher maps the two embeddings of a pair to a score column; its calibration (or None)
     turns the score into a probability. The shortlist is written once, as several readers follow.
     """
-    pairs = pin(shortlist(query, gallery, depth, vector=vector, key=key))
-    rows = with_features(pairs.select("query_id", "ref_id"), query, gallery, [label, vector], key)
+    pairs = pin(shortlist(query, gallery, depth, vector=vector, key=key).select("query_id", "ref_id"))
+    rows = with_features(pairs, query, gallery, [label, vector], key)
     left, right = F.col(f"q_{vector}").cast("array<double>"), F.col(f"r_{vector}").cast("array<double>")
     scores = []
     for matcher, model in zip(matchers, calibrations):
         raw = matcher(left, right)
         scores.append(raw if model is None else model.predict(raw))
     scored = rows.select("query_id", "ref_id", F.col(f"r_{label}").alias("identity"), fused(scores).alias("score"))
-    return top_identities(scored.filter("score is not null"), k)
+    return scored.filter("score is not null")
 
 
 def top_identities(pairs: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from trapline.functions import arrays as A
@@ -314,16 +316,49 @@ def _(t):
     return shortlisted(t).select("query_id", "ref_id", model.predict(F.col("score")).alias("score"))
 
 
-@query("sim9_calibrated_fusion")
+def tagged(sql: str, tag: str) -> str:
+    """The calibration SQL under other names, for a second matcher."""
+    names = r"\b(train|lim|tx|tr|tb|tm|fit|st|kn|ax|ay|d[1-4]|iv)\b"
+    return re.sub(names, rf"\1_{tag}", sql)
+
+
+def half_training(half: str, tag: str) -> str:
+    cos = f"list_dot_product(x.{half}, y.{half}) / sqrt(list_dot_product(x.{half}, x.{half})) / sqrt(list_dot_product(y.{half}, y.{half}))"
+    return f"train_{tag} as (select round({cos}, 12) as x, (x.identity = y.identity)::int as hit from cal x, cal y)"
+
+
+def predicted(half: str) -> str:
+    t, h = f"((k.score_{half} - iv_{half}.x) / (iv_{half}.nx - iv_{half}.x))", f"(iv_{half}.nx - iv_{half}.x)"
+    curve = f"(1 + 2 * {t}) * (1 - {t}) ** 2 * y + {t} * (1 - {t}) ** 2 * {h} * s + {t} ** 2 * (3 - 2 * {t}) * ny + {t} ** 2 * ({t} - 1) * {h} * ns"
+    return f"""p_{half} as (select k.query_id, k.ref_id, case when k.score_{half} < lim_{half}.x0 then lim_{half}.low when k.score_{half} >= lim_{half}.x1 then lim_{half}.high else {curve} end as score
+        from k cross join lim_{half} left join iv_{half} on iv_{half}.nx is not null and k.score_{half} >= iv_{half}.x and k.score_{half} < iv_{half}.nx)"""
+
+
+@query(
+    "sim9_calibrated_fusion",
+    f"""{SHORT}, cal as (select * from u where not is_query order by ref_id limit 50), {half_training('a', 'a')}, {half_training('b', 'b')},
+      {tagged(ISOTONIC, 'a')}, {tagged(ISOTONIC, 'b')}, {predicted('a')}, {predicted('b')}
+    select query_id, ref_id, (p_a.score + p_b.score) / 2 as score from p_a join p_b using (query_id, ref_id)""",
+)
 def _(t):
-    """The whole re-identification: shortlist, two calibrated matchers, mean, best identities."""
+    """Shortlist, two calibrated matchers, mean."""
+    return calibrated_fusion(t).select("query_id", "ref_id", "score")
+
+
+def calibrated_fusion(t):
     q, g = roles(t)
     rows = similarity.calibration_rows(g)
     train = similarity.with_features(similarity.shortlist(rows, rows, 50), rows, rows, ["identity", "embedding"])
     matchers = [first_half, second_half]
     hit = similarity.hits("q_identity", "r_identity").alias("hit")
     models = [calibration.fit_isotonic(train.select(m(*double_vectors()).alias("score"), hit)) for m in matchers]
-    top = similarity.identify(q, g, matchers, models, SHORTLIST, 3)
+    return similarity.fused_scores(q, g, matchers, models, SHORTLIST)
+
+
+@query("sim11_reidentification")
+def _(t):
+    """The whole chain: shortlist, calibrated matchers, fusion, best distinct identities."""
+    top = similarity.top_identities(calibrated_fusion(t), 3)
     return top.select("query_id", "identity", "ref_id", "score", F.col("position").cast("long").alias("position"))
 
 
