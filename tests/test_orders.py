@@ -110,6 +110,31 @@ def test_attach_keeps_the_null_group(spark):
     assert {r["n"] for r in got if r["g"] is None} == {30}
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("heavy_rows", [0, 50, 10_000])
+def test_attach_by_weight(spark, heavy_rows, how):
+    df = skewed(spark, 300)
+    sizes = df.filter("g is null or g != 'g1'").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    got = attach(df, sizes, ["g"], F.col("id"), how, weight="n", heavy_rows=heavy_rows)
+    expected = df.join(sizes.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2")), how).select("id", "g", "v", "n", "top")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
+    assert got.columns == ["id", "g", "v", "n", "top"]
+
+
+def test_rows_of_heavy_keys_are_spread(spark):
+    df = skewed(spark, 4000)
+    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = attach(df, sizes, ["g"], F.col("id"), weight="n", heavy_rows=1000)
+        per_task = plan.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(r["count"] for r in per_task) < 2500
+
+
 def test_duplicates(spark):
     rows = [(i, "same" if i % 3 else f"own{i}", i % 2 == 0, "loc", START + dt.timedelta(seconds=i % 5)) for i in range(60)]
     files = spark.createDataFrame(rows, "media_id long, h string, annotated boolean, location string, captured_at timestamp")

@@ -41,6 +41,6 @@ def split_duplicates(files: DataFrame, content: str, key: str, order_by: list[Co
 def name_of_duplicates(files: DataFrame, content: str, name: str, key: str) -> DataFrame:
     """Give every file of a repeated content the greatest name any of its copies has."""
     groups = files.groupBy(content).agg(F.max(name).alias("_group_name"), F.count(F.lit(1)).alias("copies"))
-    joined = attach(files, groups, [content], F.col(key))
+    joined = attach(files, groups, [content], F.col(key), weight="copies")
     shared = F.when(F.col("copies") > 1, F.coalesce("_group_name", name)).otherwise(F.col(name))
     return joined.withColumn("shared_name", shared).drop("_group_name")

@@ -46,7 +46,7 @@ def nearest_area(localities: DataFrame, areas: DataFrame) -> DataFrame:
     once.
     """
     placed = with_coordinates(localities)
-    points = placed.filter("lat is not null and lon is not null").select("lat", "lon").distinct()
+    points = placed.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_here"))
     spots = (
         with_coordinates(areas)
         .filter("lat is not null and lon is not null")
@@ -60,17 +60,17 @@ def nearest_area(localities: DataFrame, areas: DataFrame) -> DataFrame:
         best = (
             _neighbourhood(open_points, size)
             .join(spots_in_cells, ["_cx", "_cy"])
-            .groupBy("lat", "lon")
+            .groupBy("lat", "lon", "_here")
             .agg(F.min(F.struct(distance.alias("distance"), F.col("_area").alias("area_id"))).alias("_best"))
             .filter(F.col("_best.distance") < size)
         )
-        found = pin(best.select("lat", "lon", "_best.area_id", "_best.distance"))
+        found = pin(best.select("lat", "lon", "_here", "_best.area_id", "_best.distance"))
         answers = found if answers is None else answers.unionByName(found)
         open_points = pin(open_points.join(found, ["lat", "lon"], "left_anti"))
         if open_points.isEmpty():
             break
     renamed = answers.withColumnsRenamed({"area_id": "closest_area_id", "distance": "area_distance"})
-    return attach(placed, renamed, ["lat", "lon"], F.col("id"))
+    return attach(placed, renamed, ["lat", "lon"], F.col("id"), weight="_here").drop("_here")
 
 
 def nearby_points(localities: DataFrame, radius: float = 0.1) -> DataFrame:
@@ -89,8 +89,9 @@ def nearby_points(localities: DataFrame, radius: float = 0.1) -> DataFrame:
 
 def nearby_counts(localities: DataFrame, radius: float = 0.1) -> DataFrame:
     """Number of localities within ``radius`` of each locality, itself included."""
-    per_point = nearby_points(localities, radius).groupBy("lat", "lon").agg(F.sum("other_localities").alias("nearby"))
-    return attach(with_coordinates(localities), per_point, ["lat", "lon"], F.col("id")).fillna(0, ["nearby"])
+    per_point = nearby_points(localities, radius).groupBy("lat", "lon", "localities").agg(F.sum("other_localities").alias("nearby"))
+    joined = attach(with_coordinates(localities), per_point, ["lat", "lon"], F.col("id"), weight="localities")
+    return joined.drop("localities").fillna(0, ["nearby"])
 
 
 def localities_near(localities: DataFrame, locality_id: int, radius: float = 0.1) -> DataFrame:

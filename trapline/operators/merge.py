@@ -438,12 +438,14 @@ def bulk_delete(media: DataFrame, selected: DataFrame, key: str = "id") -> DataF
 
 def confirm_predictions(observations: DataFrame, selected: DataFrame, spread_by: Column) -> DataFrame:
     """Observations of the selected media take the predicted taxon and count as verified."""
+    sizes = observations.groupBy("mediafile_id").agg(F.count(F.lit(1)).alias("_observations"))
     chosen = selected.select(F.col("id").alias("mediafile_id"), F.col("predicted_taxon_id").alias("_predicted"), F.lit(True).alias("_hit"))
-    joined = attach(observations, chosen, ["mediafile_id"], spread_by)
+    chosen = chosen.join(sizes, "mediafile_id")
+    joined = attach(observations, chosen, ["mediafile_id"], spread_by, weight="_observations")
     hit = F.coalesce("_hit", F.lit(False))
     return joined.withColumns(
         {"taxon_id": F.when(hit, F.col("_predicted")).otherwise(F.col("taxon_id")), "taxon_verified": F.when(hit, True).otherwise(F.col("taxon_verified"))}
-    ).drop("_predicted", "_hit")
+    ).drop("_predicted", "_hit", "_observations")
 
 
 def latest_snapshot(snapshots: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -88,8 +88,8 @@ def next_in_queue(queue: DataFrame, suggestions: DataFrame) -> DataFrame:
 
 def first_of_sequence(media: DataFrame, sequence: str, sort_key: str, key: str) -> DataFrame:
     """Add the smallest sort key of the sequence, to keep sequences together in a list."""
-    firsts = media.groupBy(sequence).agg(F.min(sort_key).alias("first_in_sequence"))
-    return attach(media, firsts, [sequence], F.col(key))
+    firsts = media.groupBy(sequence).agg(F.min(sort_key).alias("first_in_sequence"), F.count(F.lit(1)).alias("_rows"))
+    return attach(media, firsts, [sequence], F.col(key), weight="_rows").drop("_rows")
 
 
 def newest_unlabelled(media: DataFrame, by: str) -> DataFrame:

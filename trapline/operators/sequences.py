@@ -87,9 +87,9 @@ def number_sequences(
         offsets = location_offsets(cells, location, limit_s)
         cells = attach(cells, offsets, [location], F.col("_cell")).withColumn("_number", F.col("_local") + F.col("_offset_breaks"))
         cells = cells.withColumn("_before", F.coalesce("_before", "_loc_before"))
-    numbers = cells.select(location, "_cell", F.col("_number").alias(out), F.col("_before").alias("_cell_before"))
+    numbers = cells.select(location, "_cell", "_n", F.col("_number").alias(out), F.col("_before").alias("_cell_before"))
     timed = _timed(shots, ts, limit_us)
-    rows = attach(timed, numbers.drop("_cell_before"), [location, "_cell"], F.col(key))
+    rows = attach(timed, numbers.drop("_cell_before"), [location, "_cell"], F.col(key), weight="_n").drop("_n")
     if mode == "reference":
         rows = _leading_row_rule(rows, shots, key, location, ts, annotated, out)
     if with_delta:
@@ -127,8 +127,8 @@ def _deltas(timed: DataFrame, numbers: DataFrame, key: str, location: str, annot
     instants = timed.groupBy(location, "_cell", "_us").agg(F.min(rank).alias("_lead"))
     in_cell = Window.partitionBy(location, "_cell").orderBy("_us")
     lagged = instants.withColumn("_lag", F.lag("_us").over(in_cell))
-    borders = numbers.select(location, "_cell", "_cell_before")
-    joined = attach(lagged, borders, [location, "_cell"], F.col("_us"))
+    borders = numbers.select(location, "_cell", "_n", "_cell_before")
+    joined = attach(lagged, borders, [location, "_cell"], F.col("_us"), weight="_n")
     gap = F.col("_us") - F.coalesce("_lag", "_cell_before")
     return joined.select(F.col(f"_lead.{key}").alias(key), gap.alias("_delta"), F.lit(True).alias("_has_delta"))
 

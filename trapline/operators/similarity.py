@@ -20,7 +20,7 @@ from trapline.functions import arrays as A
 from trapline.functions.text import swap_variant
 from trapline.operators.ranking import top_per_group
 from trapline.operators.rollups import vector_per_group
-from trapline.operators.skew import attach, keys_of
+from trapline.operators.skew import attach
 from trapline.session import pin
 
 BLOCK_ROWS = 4096
@@ -95,11 +95,11 @@ def with_features(pairs: DataFrame, query: DataFrame, gallery: DataFrame, featur
     Only shortlisted references are looked up; one that is shortlisted by very many queries is
     spread over several tasks.
     """
-    used = gallery.join(keys_of(pairs, "ref_id").withColumnRenamed("ref_id", "_used"), F.col(key) == F.col("_used"), "left_semi")
-    refs = used.select(F.col(key).alias("ref_id"), *[F.col(f).alias(f"r_{f}") for f in features])
+    used = pairs.groupBy(F.col("ref_id").alias("_used")).agg(F.count(F.lit(1)).alias("_uses"))
+    refs = gallery.join(used, F.col(key) == F.col("_used")).select(F.col(key).alias("ref_id"), "_uses", *[F.col(f).alias(f"r_{f}") for f in features])
     queries = query.select(F.col(key).alias("_qid"), *[F.col(f).alias(f"q_{f}") for f in features])
     joined = pairs.join(queries, F.col("query_id") == F.col("_qid")).drop("_qid")
-    return attach(joined, refs, ["ref_id"], F.col("query_id"), how="inner")
+    return attach(joined, refs, ["ref_id"], F.col("query_id"), how="inner", weight="_uses").drop("_uses")
 
 
 def row_cosine(left: np.ndarray, right: np.ndarray, eps: float = 1e-12) -> np.ndarray:
@@ -166,7 +166,9 @@ def result_arrays(top: DataFrame, paths: DataFrame, k: int) -> DataFrame:
 
     Short lists repeat their last entry. ``top`` has at most ``k`` rows per query.
     """
-    located = attach(top, paths.select("ref_id", "path"), ["ref_id"], F.col("query_id"))
+    used = top.groupBy(F.col("ref_id").alias("_used")).agg(F.count(F.lit(1)).alias("_uses"))
+    known = paths.join(used, F.col("ref_id") == F.col("_used")).select("ref_id", "path", "_uses")
+    located = attach(top, known, ["ref_id"], F.col("query_id"), weight="_uses")
     entry = F.struct("position", "identity", "ref_id", A.clip01(F.col("score")).alias("score"), swap_variant(F.col("path")).alias("path"), F.col("path").alias("masked"))
     ranked = located.groupBy("query_id").agg(A.pad_with_last(F.sort_array(F.collect_list(entry)), k).alias("_e"))
     take = lambda f: F.transform("_e", lambda e: e[f])
@@ -242,11 +244,11 @@ def best_of_sequence(rows: DataFrame, sequence: str, vector: str, score: str, re
     """
     pick = F.max_by(F.col(vector), F.struct(F.col(score), -F.col(key)))
     if method == "top_score":
-        chosen = rows.groupBy(sequence).agg(pick.alias("_vector"))
+        chosen = rows.groupBy(sequence).agg(pick.alias("_vector"), F.count(F.lit(1)).alias("_rows"))
     else:
         per_ref = rows.groupBy(sequence, ref).agg(F.count(F.lit(1)).alias("_n"), pick.alias("_v"))
-        chosen = per_ref.groupBy(sequence).agg(F.max_by("_v", F.struct(F.col("_n"), -F.col(ref))).alias("_vector"))
-    return attach(rows.drop(vector), chosen, [sequence], F.col(key)).withColumnRenamed("_vector", vector)
+        chosen = per_ref.groupBy(sequence).agg(F.max_by("_v", F.struct(F.col("_n"), -F.col(ref))).alias("_vector"), F.sum("_n").alias("_rows"))
+    return attach(rows.drop(vector), chosen, [sequence], F.col(key), weight="_rows").drop("_rows").withColumnRenamed("_vector", vector)
 
 
 def _angles(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -304,7 +306,7 @@ def cluster_sequences(
     """
     sizes = rows.groupBy(F.col(sequence).alias("seq")).agg(F.count(F.lit(1)).alias("n"))
     base = rows.select(F.col(sequence).alias("seq"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(score).alias("score"))
-    sized = attach(base, sizes, ["seq"], F.col("key"))
+    sized = attach(base, sizes, ["seq"], F.col("key"), weight="n")
     schema = "seq long, vector array<double>"
 
     def small(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,30 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A key with more fact rows than this is joined apart from the others.
+HEAVY_ROWS = 1_000_000
 SALTS = 8
 
 
 def attach(
-    fact: DataFrame, summary: DataFrame, on: list[str], spread_by: Column, how: str = "left", salts: int = SALTS
+    fact: DataFrame, summary: DataFrame, on: list[str], spread_by: Column, how: str = "left", weight: str | None = None,
+    heavy_rows: int = HEAVY_ROWS, salts: int = SALTS,
 ) -> DataFrame:
     """Left (or inner) join of ``fact`` with a summary that has one row per key.
 
-    Fact rows of one key are spread over ``salts`` partitions by the hash of ``spread_by`` (a
-    column with many values), and every summary row is repeated once per salt. Keys compare
-    null-safe, so the null group stays a group.
+    Keys compare null-safe, so the null group stays a group. ``spread_by`` is a column of the
+    fact with many values.
+
+    With ``weight``, the column of the summary that counts the fact rows of a key, heavy keys are
+    joined by broadcast: there is at most one of them per ``heavy_rows`` fact rows, which bounds
+    the broadcast. Their rows then pass the join of all other keys spread over every task.
+    Without it (for summaries much smaller than the fact) each summary row is repeated ``salts``
+    times and the fact rows of a key are spread over as many tasks; what is still too large there
+    is split by the adaptive skew join.
     """
+    if weight is not None:
+        return _attach_by_weight(fact, summary, on, spread_by, how, weight, heavy_rows)
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = summary.select(
         *[F.col(c).alias(f"_k_{c}") for c in on],
         *[F.col(c) for c in summary.columns if c not in on],
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_k_salt"),
     )
-    condition = F.col("_salt") == F.col("_k_salt")
-    for c in on:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    condition = _same(on, "_k_") & (F.col("_salt") == F.col("_k_salt"))
     return salted.join(copies, condition, how).drop("_salt", "_k_salt", *[f"_k_{c}" for c in on])
 
 
+def _same(on: list[str], prefix: str) -> Column:
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return condition
+
+
+def _attach_by_weight(
+    fact: DataFrame, summary: DataFrame, on: list[str], spread_by: Column, how: str, weight: str, heavy_rows: int
+) -> DataFrame:
+    values = [c for c in summary.columns if c not in on]
+
+    is_heavy = F.col(weight) > heavy_rows
+
+    def side(prefix: str, rows: DataFrame) -> DataFrame:
+        salt = F.when(is_heavy, -1).otherwise(0).alias(f"{prefix}salt")
+        return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in summary.columns], salt)
+
+    heavy, light = side("_h_", summary.filter(is_heavy)), side("_l_", summary)
+    apart = fact.join(F.broadcast(heavy), _same(on, "_h_"), "left")
+    # rows of heavy keys have their answer: they get salts of their own, which match nothing
+    salt = F.when(F.col("_h_salt").isNotNull(), F.pmod(F.xxhash64(spread_by), F.lit(1_000_000)).cast("int") + 1).otherwise(0)
+    joined = apart.withColumn("_salt", salt).join(light, _same(on, "_l_") & (F.col("_salt") == F.col("_l_salt")), "left")
+    if how == "inner":
+        joined = joined.filter(F.col("_h_salt").isNotNull() | F.col("_l_salt").isNotNull())
+    picked = [F.when(F.col("_h_salt").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_l_{c}")).alias(c) for c in values]
+    return joined.select(*fact.columns, *picked)
+
+
 def keys_of(df: DataFrame, *columns: str) -> DataFrame:
     """Distinct keys, combined map-side, for use as the right side of a semi or anti join."""
     return df.select(*columns).distinct()

@@ -26,31 +26,32 @@ def split_ratio(rows: DataFrame, identity: str, observation: str, key: str, trai
     share = 1 - train
     numbered = row_number_in_group(rows, identity, [F.col(key)], "_rn")
     counted = numbered.withColumn("_counted", F.col("_rn") <= F.ceil(F.col("_rn_count") * F.lit(share)))
-    first = counted.filter("_counted").groupBy(observation).agg(F.min(key).alias("_first_test"))
-    joined = attach(counted, first, [observation], F.col(key))
+    first = counted.groupBy(observation).agg(F.min(F.when(F.col("_counted"), F.col(key))).alias("_first_test"), F.count(F.lit(1)).alias("_seen"))
+    joined = attach(counted, first, [observation], F.col(key), weight="_seen")
     follows = F.col(observation).isNotNull() & (F.col(key) > F.col("_first_test"))
     test = F.col("_counted") | F.coalesce(follows, F.lit(False))
     placed = pin(joined.withColumn("_test", test).select(*rows.columns, "_test"))
-    trained = placed.groupBy(identity).agg(F.bool_or(~F.col("_test")).alias("_trained"))
-    known = attach(placed, trained, [identity], F.col(key))
+    trained = placed.groupBy(identity).agg(F.bool_or(~F.col("_test")).alias("_trained"), F.count(F.lit(1)).alias("_rows"))
+    known = attach(placed, trained, [identity], F.col(key), weight="_rows")
     split = F.when(~F.col("_test"), "train").when(F.col("_trained"), "test")
     return known.withColumn("split", split).select(*rows.columns, "split")
 
 
 def drop_tail(rows: DataFrame, identity: str, key: str, fewest: int, both: bool = True) -> DataFrame:
     """Drop identities with fewer than ``fewest`` training rows from the test set (and the training set)."""
-    counts = rows.filter("split = 'train'").groupBy(identity).agg(F.count(F.lit(1)).alias("_n"))
-    joined = attach(rows, counts, [identity], F.col(key))
-    rare = F.coalesce(F.col("_n") < fewest, F.lit(False))
+    counts = rows.groupBy(identity).agg(F.count_if(F.col("split") == "train").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    joined = attach(rows, counts, [identity], F.col(key), weight="_rows")
+    rare = (F.col("_n") > 0) & (F.col("_n") < fewest)
     cut = rare if both else rare & (F.col("split") == "test")
-    return joined.filter(F.col("split").isNotNull() & ~cut).drop("_n")
+    return joined.filter(F.col("split").isNotNull() & ~cut).drop("_n", "_rows")
 
 
 def factorize(rows: DataFrame, label: str, key: str) -> DataFrame:
     """Number the labels from 0 in the order of their first appearance; null is -1."""
-    firsts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(key).alias("_first"))
-    numbers = row_number_over_all(firsts, [F.col("_first")], "_n").select(label, (F.col("_n") - 1).alias("label_index"))
-    return attach(rows, numbers, [label], F.col(key)).withColumn("label_index", F.coalesce("label_index", F.lit(-1).cast("long")))
+    firsts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    numbers = row_number_over_all(firsts, [F.col("_first")], "_n").select(label, "_rows", (F.col("_n") - 1).alias("label_index"))
+    joined = attach(rows, numbers, [label], F.col(key), weight="_rows").drop("_rows")
+    return joined.withColumn("label_index", F.coalesce("label_index", F.lit(-1).cast("long")))
 
 
 def chunks(rows: DataFrame, key: str, n: int) -> DataFrame:

@@ -465,8 +465,8 @@ def _(t):
     from trapline.operators.skew import attach
 
     first = t.detections.groupBy("mediafile_id").agg(F.min_by("orientation_score", F.struct("det_no", "part_no", "supp_no")).alias("score"))
-    counts = t.media.filter("identity_id is not null").groupBy("identity_id").agg(F.count_if("identity_is_representative").alias("n"))
-    rows = attach(t.media.filter("identity_id is not null"), counts, ["identity_id"], F.col("id"))
+    counts = t.media.filter("identity_id is not null").groupBy("identity_id").agg(F.count_if("identity_is_representative").alias("n"), F.count(F.lit(1)).alias("media"))
+    rows = attach(t.media.filter("identity_id is not null"), counts, ["identity_id"], F.col("id"), weight="media")
     rows = rows.join(first, F.col("id") == F.col("mediafile_id"), "left")
     threshold = G.representative_threshold(F.col("n"))
     return rows.select("id", threshold.alias("threshold"), (F.coalesce("score", F.lit(0.0)) / 2 > threshold).alias("is_candidate"))

@@ -106,8 +106,8 @@ def _(t):
     from trapline.operators.skew import attach
 
     rows = hashed(t).select("media_id", "content_hash")
-    firsts = rows.groupBy("content_hash").agg(F.min("media_id").alias("first_copy"))
-    return attach(rows, firsts, ["content_hash"], F.col("media_id")).select("media_id", "first_copy")
+    firsts = rows.groupBy("content_hash").agg(F.min("media_id").alias("first_copy"), F.count(F.lit(1)).alias("copies"))
+    return attach(rows, firsts, ["content_hash"], F.col("media_id"), weight="copies").select("media_id", "first_copy")
 
 
 @query("win6_first_of_sequence", "select id, sequence_id, epoch_us(min(captured_at) over (partition by sequence_id)) as first_us from media")

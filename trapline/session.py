@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or plans of this library; cluster sizing is left to the cluster.
@@ -13,6 +15,7 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
@@ -33,7 +36,12 @@ def local_session(app: str = "trapline", cores: str = "*", partitions: int = 8)
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings every query of this library relies on."""
+    """Apply the settings every query of this library relies on.
+
+    Functions of this package travel to the Python workers by value, so executors need not have
+    the package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["trapline"])
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark

@@ -57,8 +57,12 @@ def with_category(rows: DataFrame) -> DataFrame:
 
 
 def write_by_category(rows: DataFrame, path: str) -> None:
-    """One folder per category. A category with very many rows is written by many tasks."""
-    with_category(rows).write.mode("errorifexists").partitionBy("category").parquet(path)
+    """One folder per category.
+
+    Rows are gathered by category first, so that a task writes few files; a category with very
+    many rows is split again by the adaptive planner and written by many tasks.
+    """
+    with_category(rows).hint("rebalance", "category").write.mode("errorifexists").partitionBy("category").parquet(path)
 
 
 def save_features(rows: DataFrame, path: str) -> None:

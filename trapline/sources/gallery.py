@@ -27,12 +27,12 @@ def read(spark: SparkSession, path: str, organization_id: int | None = None) ->
 
 
 def write(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").partitionBy("organization_id").parquet(path)
+    rows.hint("rebalance", "organization_id").write.mode("errorifexists").partitionBy("organization_id").parquet(path)
 
 
 def _replace(rows: DataFrame, path: str) -> None:
     """Overwrite the organisations that occur in ``rows``; the others stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("organization_id").parquet(path)
+    rows.hint("rebalance", "organization_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("organization_id").parquet(path)
 
 
 def upsert(path: str, organization_id: int, new: DataFrame) -> None:
