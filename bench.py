@@ -25,7 +25,7 @@ HEADLINES = [
     "agg7_archive_statistics",
     "set8_metadata_import",
     "win10_video_key_frame",
-    "top4_best_representatives",
+    "top_4_best_representatives",
     "jn11_similar_identities",
     "jn12_names_in_filenames",
     "sim3_top_shortlist",

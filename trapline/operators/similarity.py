@@ -235,6 +235,15 @@ def identification_input(named_media: DataFrame) -> DataFrame:
 # ---- one vector per sequence ----------------------------------------------------------------
 
 
+def reduce_sequences(rows: DataFrame, sequence: str, key: str, reducer: Column, out: str) -> DataFrame:
+    """Give every row of a sequence the value of a caller's reducer, any aggregate expression.
+
+    An aggregate is combined map-side, so a sequence of any size can be reduced.
+    """
+    reduced = rows.groupBy(sequence).agg(reducer.alias(out), F.count(F.lit(1)).alias("_rows"))
+    return attach(rows, reduced, [sequence], F.col(key), weight="_rows").drop("_rows")
+
+
 def best_of_sequence(rows: DataFrame, sequence: str, vector: str, score: str, ref: str, key: str, method: str) -> DataFrame:
     """Replace the vector of every row by that of the best row of its sequence.
 

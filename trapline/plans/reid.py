@@ -51,7 +51,7 @@ def _(t):
     return shortlisted(t, block_rows=64).select("query_id", "ref_id", "score")
 
 
-@query("top10_nearest_gallery_image", f"{COSINES} select query_id, ref_id from s where position = 1")
+@query("top_10_nearest_gallery_image", f"{COSINES} select query_id, ref_id from s where position = 1")
 def _(t):
     return similarity.shortlist(*roles(t), 1).select("query_id", "ref_id")
 
@@ -355,6 +355,23 @@ def calibrated_fusion(t):
     return similarity.fused_scores(q, g, matchers, models, SHORTLIST)
 
 
+@query("udf2_calibrator_hook", f"{SHORT} select query_id, ref_id, (1 / (1 + exp(-(4 * score_a + 1))) + score_b) / 2 as score from k")
+def _(t):
+    """A caller's calibration is anything with ``predict(Column)``; the second matcher stays uncalibrated."""
+    q, g = roles(t)
+    models = [calibration.LogisticCalibration(4.0, 1.0), None]
+    return similarity.fused_scores(q, g, [first_half, second_half], models, SHORTLIST).select("query_id", "ref_id", "score")
+
+
+@query(
+    "udf3_sequence_reducer_hook",
+    "select ref_id, max(abs(cast(embedding[1] as double))) over (partition by sequence_id) as strongest from gallery",
+)
+def _(t):
+    rows = t.gallery.select("ref_id", "sequence_id", F.col("embedding")[0].cast("double").alias("x"))
+    return similarity.reduce_sequences(rows, "sequence_id", "ref_id", F.max(F.abs("x")), "strongest").select("ref_id", "strongest")
+
+
 @query("sim11_reidentification")
 def _(t):
     """The whole chain: shortlist, calibrated matchers, fusion, best distinct identities."""

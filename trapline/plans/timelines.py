@@ -225,7 +225,7 @@ def _(t):
 
 
 @query(
-    "top1_sorted_identities",
+    "top_1_sorted_identities",
     """select i.id, i.name, count(m.id) as mediafile_count from identities i left join media m on m.identity_id = i.id group by 1, 2""",
 )
 def _(t):
@@ -235,19 +235,19 @@ def _(t):
     return ranking.sort_by(rolled, "mediafile_count", "desc", ["name", "mediafile_count"], "id")
 
 
-@query("top2_page", "select media_id, owner_id from shots order by captured_at desc nulls last, media_id limit 24 offset 72")
+@query("top_2_page", "select media_id, owner_id from shots order by captured_at desc nulls last, media_id limit 24 offset 72")
 def _(t):
     order = [F.col("captured_at").desc_nulls_last(), F.col("media_id")]
     return ranking.page(t.shots.select("media_id", "owner_id", "captured_at"), order, 4, 24).select("media_id", "owner_id")
 
 
-@query("top3_default_order", "select media_id, identity_is_representative from shots")
+@query("top_3_default_order", "select media_id, identity_is_representative from shots")
 def _(t):
     return ranking.default_order(t.shots, "media_id").select("media_id", "identity_is_representative")
 
 
 @query(
-    "top4_best_representatives",
+    "top_4_best_representatives",
     """with r as (select identity_id, id, case when identity_is_representative and orientation = 'L' then 0 when identity_is_representative then 1 else 2 end as tier, captured_at
         from media where identity_id is not null),
       b as (select *, min(tier) over (partition by identity_id) as best from r),
@@ -260,7 +260,7 @@ def _(t):
 
 
 @query(
-    "top5_suggestion_card",
+    "top_5_suggestion_card",
     f"""with s as ({SUGGESTED}), r as (select identity_id, id, row_number() over (partition by identity_id order by captured_at desc, id) as p from media
         where identity_id is not null and identity_is_representative),
       u as (select suggestion_id, hit_id as media_id, 0 as rank from s union all
@@ -276,7 +276,7 @@ def _(t):
 
 
 @query(
-    "top6_remaining_identities",
+    "top_6_remaining_identities",
     f"""with s as ({SUGGESTED}), m as (select identity_id, id as media_id, row_number() over (partition by identity_id order by captured_at, id) as position from media where identity_id is not null)
     select i.id, i.name, m.media_id, m.position from identities i left join m on m.identity_id = i.id and m.position <= 3
     where i.name <> 'nan' and i.id not in (select identity_id from s where score > 0)""",
@@ -287,14 +287,14 @@ def _(t):
 
 
 @query(
-    "top7_identification_queue",
+    "top_7_identification_queue",
     f"with s as ({SUGGESTED}) select g.ref_id as id, max(s.score) as max_score from gallery g left join s on s.id = g.ref_id group by 1",
 )
 def _(t):
     return ranking.identification_queue(queue(t), suggestions(t))
 
 
-@query("top8_newest_unlabelled", "select id, parent_id from missing_taxon order by parent_id desc, captured_at desc, id limit 1")
+@query("top_8_newest_unlabelled", "select id, parent_id from missing_taxon order by parent_id desc, captured_at desc, id limit 1")
 def _(t):
     from trapline.plans.relational import flags, owned
 
@@ -304,7 +304,7 @@ def _(t):
 DEDUP_ORDER = "media_id % 2 = 0 desc, lang desc, media_id % 40, media_id"
 
 
-@query("top11_metadata_order", "select media_id, media_id % 2 = 0 as annotated, lang as location from uploads")
+@query("top_11_metadata_order", "select media_id, media_id % 2 = 0 as annotated, lang as location from uploads")
 def _(t):
     return hashed(t).orderBy(*dedup.metadata_order("media_id")).select("media_id", "annotated", "location")
 
