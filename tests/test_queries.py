@@ -17,7 +17,6 @@ def results(spark, folder):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any("pipeline" in name for name in entry.queries())
 
 
 def test_entry(spark):
