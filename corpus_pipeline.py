@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trapline.llm import language, shards
+from trapline.llm import decontaminate, jaccard, language, mixing, shards
 from trapline.session import configure, scratch_path
 
 
@@ -19,13 +19,44 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.filter(found["lang_pred"] != language.UNKNOWN)
 
 
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose texts share three quarters of their five-word shingles: the one of the smallest id.
+
+    Of rows that repeat that id one stays. Documents without an id are in no group and stay.
+    """
+    configure(spark)
+    groups = jaccard.link_components(docs).filter("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(groups, "doc_id", "left_anti").select(*docs.columns)
+    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    once = named.withColumn("_llm_row", F.row_number().over(same_id)).filter("_llm_row = 1").drop("_llm_row")
+    return once.union(docs.filter("doc_id is null"))
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    configure(spark)
+    return decontaminate.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    configure(spark)
+    return mixing.repeated(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every document that is left."""
     configure(spark)
     return shards.shard_documents(docs)
 
 
-STAGES = [("language_id", identify_language), ("sharding", shard)]
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", join_near_duplicates),
+    ("decontamination", decontaminate_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
 # Rank-order profiles and components of near duplicates have no SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trapline.llm.tables import least_hashed
+
 # n-grams of one to three characters; a character takes 21 bits of a code.
 LENGTHS = (1, 2, 3)
 # Length of a profile, of languages and of documents.
@@ -90,10 +92,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     profiles, ``size`` codes a language, come to the driver. No labelled rows: no profiles.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null and id is not null")
-    rows = rows.withColumn("at", F.xxhash64("id"))
-    window = Window.partitionBy("lang").orderBy("at")
-    last = rows.select("lang", "at").withColumn("n", F.row_number().over(window)).filter(F.col("n") <= sample).groupBy("lang").agg(F.max("at").alias("last"))
-    chosen = rows.join(F.broadcast(last), "lang").filter("at <= last").select("lang", "text")  # one row per language
+    picked = least_hashed(rows.select("lang", "id"), "lang", "id", sample).distinct()
+    chosen = rows.join(F.broadcast(picked), ["lang", "id"]).select("lang", "text")  # sample rows of each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

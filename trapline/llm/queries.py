@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trapline.llm import language, shards, urls
+from trapline.llm import decontaminate, graph, jaccard, language, lines, mixing, pseudo_likelihood, shards, toxicity, urls
 from trapline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,65 @@ def _(spark, read):
 def _(spark, read):
     """The language of every document by rank-order profiles."""
     return language.identify_documents(read("documents").select("doc_id", "text", "lang"))
+
+
+def _passage_sql() -> str:
+    low = lambda c: f"regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+')"
+    seed = lambda w, at, mask: "concat_ws(' ', " + ", ".join(f"{w}[{at} + {i + 1}]" for i, bit in enumerate(mask) if bit == "1") + ")"
+    laid = lambda table, w, cols: " union all ".join(
+        f"select {cols}, {k} as mask, pos, {seed(w, 'pos', mask)} as seed from (select *, unnest(range(0, len({w}) - {len(mask) - 1})) as pos from {table})"
+        for k, mask in enumerate(decontaminate.MASKS)
+    )
+    return f"""
+with docs as (select doc_id, {low('text')} as w from documents where text is not null),
+items as (select *, len(iw) as n, row_number() over () as item from (select distinct item_id, list_filter({low('text')}, lambda x: x <> '') as iw from benchmark where text is not null)),
+ds as ({laid('docs', 'w', 'doc_id, w')}),
+bs as ({laid('items', 'iw', 'item, item_id, iw, n')}),
+hits as (select distinct doc_id, w, item, item_id, iw, n, ds.pos - bs.pos as shift from ds join bs using (mask, seed)),
+same as (select doc_id, item_id, n, least(n, 20) as win,
+    list_transform(range(0, n), lambda i: case when shift + i >= 0 and shift + i < len(w) and w[shift + i + 1] = iw[i + 1] then 1 else 0 end) as e from hits),
+best as (select doc_id, item_id, win, list_max(list_transform(range(0, n - win + 1), lambda o: list_sum(e[o + 1:o + win]))) as m from same)
+select doc_id, item_id, cast(win as int) as "window", cast(max(m) as int) as matched from best
+where m >= win - case when win >= 15 then win // 5 else 0 end group by doc_id, item_id, win"""
+
+
+@query("op3_decontamination", _passage_sql())
+def _(spark, read):
+    """Documents that hold passages of the benchmark, with up to a fifth of the words replaced."""
+    return decontaminate.passages(read("documents").select("doc_id", "text"), read("benchmark"))
+
+
+@query("op10_jaccard_join")
+def _(spark, read):
+    """Components of documents that share three quarters of their five-word shingles."""
+    return jaccard.link_components(read("documents").select("doc_id", "text"))
+
+
+@query("op8_mixing")
+def _(spark, read):
+    """What a mix of all sources by weight takes of every document."""
+    return mixing.mix_documents(read("documents").select("doc_id", "text", "source"))
+
+
+@query("op9_toxicity")
+def _(spark, read):
+    """Every document's probability of being toxic."""
+    return toxicity.score_documents(read("documents").select("doc_id", "text"), read("labels").select("doc_id", "toxic"))
+
+
+@query("op2_nearest_neighbours")
+def _(spark, read):
+    """The 20 nearest rows by inner product of every row whose id is divisible by 20."""
+    return graph.nearest(read("embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+@query("op5_pseudo_likelihood")
+def _(spark, read):
+    """Masked pseudo-likelihood of every document under a network trained on all of them."""
+    return pseudo_likelihood.score_documents(read("documents").select("doc_id", "text"))
+
+
+@query("op7_line_dedup")
+def _(spark, read):
+    """Every line that repeats an earlier one, nearly or wholly."""
+    return lines.repeated_lines(read("documents").select("doc_id", "text"))
