@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.text import literal_map
@@ -12,6 +12,9 @@ DETECTION_TYPE = (
     "orientation:string,orientation_score:double>>"
 )
 
+# Words of a list of dicts and their JSON spelling.
+BARE_WORDS = {"None": "null", "True": "true", "False": "false", "nan": "NaN"}
+
 # Orientation words of the detector and their codes.
 ORIENTATION_CODES = {"back": "B", "front": "F", "left": "L", "right": "R", "unknown": "U"}
 
@@ -22,9 +25,24 @@ def let(value: Column, body) -> Column:
 
 
 def parse_detections(text: Column) -> Column:
-    """Detections from the text of a list of dicts (single or double quotes)."""
-    as_json = F.replace(F.replace(text, F.lit("'"), F.lit('"')), F.lit("None"), F.lit("null"))
-    return F.from_json(as_json, DETECTION_TYPE)
+    """Detections from the text of a list of dicts (single or double quotes).
+
+    The words for missing and truth values are replaced outside of quoted strings only.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|[^'"]++|['"]"""), F.lit(0))
+
+    def as_json(piece: Column) -> Column:
+        bare = piece
+        for word, value in BARE_WORDS.items():
+            bare = F.regexp_replace(bare, rf"\b{word}\b", value)
+        return F.when(F.substring(piece, 1, 1).isin("'", '"'), piece).otherwise(bare)
+
+    return F.from_json(F.array_join(F.transform(pieces, as_json), ""), DETECTION_TYPE, {"allowBackslashEscapingAnyCharacter": "true"})
+
+
+def unparsed(text: Column, parsed: Column) -> Column:
+    """The text of a list that could not be read; null for what was."""
+    return F.when(parsed.isNull(), text)
 
 
 def first_or_null(items: Column) -> Column:
@@ -88,9 +106,10 @@ def orientation_code(word: Column, score: Column, threshold: float = 0.5, left_a
     return F.when(code.isNull(), None).when(score < threshold, "U").otherwise(code)
 
 
-def compact_json(columns: list[str]) -> Column:
-    """JSON record without null and NaN fields."""
-    return F.to_json(F.struct(*columns))
+def compact_json(rows: DataFrame, columns: list[str]) -> Column:
+    """JSON record of columns of ``rows`` without null and NaN fields."""
+    floats = {c for c, kind in rows.dtypes if kind in ("float", "double")}
+    return F.to_json(F.struct(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in columns]))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -17,9 +17,9 @@ def literal_map(values: dict[str, str]) -> Column:
 
 
 def _accent_table() -> tuple[str, str]:
-    """Latin, Greek and Cyrillic letters whose canonical decomposition is one letter plus marks."""
+    """All characters whose canonical decomposition is one character plus marks, and the marks, of every script."""
     accented, bases, marks = [], [], []
-    for code in (*range(0x00C0, 0x0530), *range(0x1E00, 0x2000)):
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         char = chr(code)
         if unicodedata.category(char) == "Mn":
             marks.append(char)
@@ -36,13 +36,13 @@ ACCENTED, BASES = _accent_table()
 
 
 def strip_accents(text: Column) -> Column:
-    """Drop diacritics of Latin, Greek and Cyrillic letters, inside the JVM."""
+    """Drop every nonspacing mark, also of composed letters, inside the JVM."""
     return F.translate(text, ACCENTED, BASES)
 
 
 @F.pandas_udf(T.StringType())
 def strip_accents_any(text: pd.Series) -> pd.Series:
-    """Drop every combining mark of any script (Arrow batches; for text beyond ``strip_accents``)."""
+    """As ``strip_accents``, in Arrow batches."""
 
     def bare(value):
         if value is None or value.isascii():

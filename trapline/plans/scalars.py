@@ -22,9 +22,13 @@ def quoted(values) -> str:
 # ---- text and paths -------------------------------------------------------------------------
 
 
-@query("str1_strip_accents", "select media_id, strip_accents(original_path) as plain from uploads")
+# paths with letters and marks of other scripts
+FOREIGN = "concat(original_path, case media_id % 3 when 0 then '/שָׁלוֹם' when 1 then '/ά̃Ђ̆' else '/ạ̊ǟ' end)"
+
+
+@query("str1_strip_accents", f"select media_id, strip_accents({FOREIGN}) as plain from uploads")
 def _(t):
-    return t.uploads.select("media_id", X.strip_accents(path()).alias("plain"))
+    return t.uploads.select("media_id", X.strip_accents(F.expr(FOREIGN)).alias("plain"))
 
 
 @query("udf4_strip_accents_arrow", "select media_id, strip_accents(original_path) as plain from uploads")
@@ -455,22 +459,26 @@ def _(t):
 def detection_text():
     """A detection list as the text of a list of dicts, as model outputs are stored in CSV."""
     no = F.col("det_no").cast("string")
-    pieces = ("[{'bbox': [", no, ", 2.0, 9.0, 8.0], 'confidence': 0.", no, ", 'class': '", F.col("class"))
-    tail = "', 'size': [400, 600], 'orientation': 'left', 'orientation_score': None}]"
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in (*pieces, tail)])
+    name = F.when(F.col("det_no") == 2, F.lit('"Geoffroy\'s cat"')).when(F.col("det_no") == 3, F.lit("'Nonelike None'")).otherwise(F.concat(F.lit("'"), F.col("class"), F.lit("'")))
+    pieces = ("[{'bbox': [", no, ", 2.0, 9.0, 8.0], 'confidence': 0.", no, ", 'class': ", name)
+    tail = ", 'size': [400, 600], 'orientation': 'left', 'orientation_score': None}]"
+    whole = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in (*pieces, tail)])
+    return F.when(F.col("det_no") == 4, F.lit("[{'bbox': [1.0, ")).otherwise(whole)
 
 
 @query(
     "arr1_parse_detections",
-    f"""{DET}, 1 as n, class as first_class, cast(concat('0.', cast(det_no as varchar)) as double) as first_confidence,
-      cast(det_no as double) as first_x, cast(null as double) as first_score from detections""",
+    f"""{DET}, case when det_no <> 4 then 1 end as n, case det_no when 2 then 'Geoffroy''s cat' when 3 then 'Nonelike None' when 4 then null else class end as first_class,
+      case when det_no <> 4 then cast(concat('0.', cast(det_no as varchar)) as double) end as first_confidence,
+      case when det_no <> 4 then cast(det_no as double) end as first_x, cast(null as double) as first_score, case when det_no = 4 then '[{{''bbox'': [1.0, ' end as error from detections""",
 )
 def _(t):
-    parsed = t.detections.select(*KEY, A.parse_detections(detection_text()).alias("d"))
+    parsed = t.detections.select(*KEY, "class", detection_text().alias("text")).withColumn("d", A.parse_detections(F.col("text")))
     first = A.first_or_null(F.col("d"))
     return parsed.select(
         *KEY, F.size("d").alias("n"), first["class"].alias("first_class"), first["confidence"].alias("first_confidence"),
         first["bbox"][0].alias("first_x"), first["orientation_score"].alias("first_score"),
+        A.unparsed(F.col("text"), F.col("d")).alias("error"),
     )
 
 
@@ -584,11 +592,12 @@ def _(t):
 @query(
     "arr10_compact_record",
     """select media_id, concat('{"media_id":', cast(media_id as varchar), case when captured_at is not null then concat(',"location":"', location, '"') else '' end,
-         ',"orientation":"', orientation, '"}') as record from shots""",
+         ',"orientation":"', orientation, '"', case when media_id % 4 = 0 then '' else ',"size":2.5' end, '}') as record from shots""",
 )
 def _(t):
     located = t.shots.withColumn("location", F.when(F.col("captured_at").isNotNull(), F.col("location")))
-    return located.select("media_id", A.compact_json(["media_id", "location", "orientation"]).alias("record"))
+    sized = located.withColumn("size", F.when(F.col("media_id") % 4 == 0, F.lit(float("nan"))).otherwise(F.lit(2.5)))
+    return sized.select("media_id", A.compact_json(sized, ["media_id", "location", "orientation", "size"]).alias("record"))
 
 
 @query(
