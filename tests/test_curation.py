@@ -52,8 +52,10 @@ def test_locality_merge(spark):
 def test_get_or_create(spark):
     existing = spark.createDataFrame([(7, "a"), (3, "b")], "id long, name string")
     incoming = spark.createDataFrame([("c",), ("a",), ("c",), ("",), (None,), ("long name",)], "name string")
-    got = {r["name"]: r["id"] for r in merge.get_or_create(existing, incoming, ["name"], {"name": 4}).collect()}
-    assert got == {"a": 7, "b": 3, "c": 8, "long": 9}
+    got = {r["name"]: r["id"] for r in merge.get_or_create(existing, incoming, ["name"]).collect()}
+    assert got == {"a": 7, "b": 3, "c": 8, "long name": 9}
+    alike = spark.createDataFrame([("x" * 50 + "1",), ("x" * 50 + "2",)], "name string")
+    assert merge.get_or_create(existing, alike, ["name"]).count() == 4
     empty = spark.createDataFrame([], "id long, name string")
     assert {r["id"] for r in merge.get_or_create(empty, incoming, ["name"]).collect()} == {0, 1, 2}
 

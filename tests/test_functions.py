@@ -149,6 +149,19 @@ def test_detections(spark):
     assert [tuple(r) for r in rows] == [("person", "animal"), (None, None), (None, None)]
 
 
+def test_detections_with_quotes_and_words(spark):
+    quoted = """[{'bbox': [1.0], 'class': "Geoffroy's cat", 'confidence': None, 'orientation': 'Nonelike None True'}]"""
+    df = spark.createDataFrame([(quoted,), ("[{'bbox': [1.0",), (None,)], "t string").withColumn("d", A.parse_detections(F.col("t")))
+    got = df.select(F.col("d")[0]["class"], F.col("d")[0]["confidence"], F.col("d")[0]["orientation"], A.unparsed(F.col("t"), F.col("d"))).collect()
+    assert [tuple(r) for r in got] == [("Geoffroy's cat", None, "Nonelike None True", None), (None, None, None, "[{'bbox': [1.0"), (None, None, None, None)]
+
+
+def test_compact_json_has_no_nan(spark):
+    df = spark.createDataFrame([(1, float("nan"), "NaN"), (2, 2.5, None)], "i int, x double, s string")
+    got = [r[0] for r in df.select(A.compact_json(df, ["i", "x", "s"])).collect()]
+    assert got == ['{"i":1,"s":"NaN"}', '{"i":2,"x":2.5}']
+
+
 def test_keypoints(spark):
     points = [(0.8 + i / 100, i) for i in range(25)]
     df = spark.createDataFrame([(points,), (points[:12],)], "p array<struct<score:double,at:int>>")

@@ -57,9 +57,12 @@ def test_copies_accents_and_codes(spark):
 def test_suggestion_order(spark):
     rows = random_names(9)
     found = fuzzy.locality_suggestions(spark.createDataFrame(rows, SCHEMA), "tenant")
-    top = fuzzy.suggestion_order(found, 10).collect()
-    keys = [(r["distance"], -len(r["kept_name"]), r["from_id"], r["to_id"]) for r in found.collect()]
-    assert [(r["distance"], -len(r["kept_name"]), r["from_id"], r["to_id"]) for r in top] == sorted(keys)[:10]
+    ordered = fuzzy.suggestion_order(found, "tenant").collect()
+    assert len(ordered) == found.count()
+    for tenant in {r["tenant"] for r in ordered}:
+        own = sorted((r for r in ordered if r["tenant"] == tenant), key=lambda r: r["position"])
+        keys = [(r["distance"], -len(r["kept_name"]), r["from_id"], r["to_id"]) for r in own]
+        assert keys == sorted(keys) and [r["position"] for r in own] == list(range(1, len(own) + 1))
 
 
 @pytest.mark.parametrize("short", [False, True])

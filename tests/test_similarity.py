@@ -104,6 +104,42 @@ def test_sequence_clusters(spark, limit, block_rows):
         assert np.allclose(r["embedding"], expected[r["sequence_id"]])
 
 
+@pytest.mark.parametrize("block_rows", [4096, 2])
+@pytest.mark.parametrize("scores, winner", [((1.0, None, 2.0), 2), ((1.0, float("nan"), 0.5), 0), ((None, None, None), 0), ((3.0, 3.0, 1.0), 0)])
+def test_sequence_without_cluster_takes_the_best_score(spark, block_rows, scores, winner):
+    """A missing score never wins, a tie goes to the smaller key, whatever the size of the blocks."""
+    rows = [(i, 1, [float(i == k) for k in range(3)], s) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "ref_id long, sequence_id long, embedding array<double>, score double")
+    (got,) = similarity.cluster_sequences(df, limit=10.0, block_rows=block_rows).collect()
+    assert got["embedding"] == rows[winner][2]
+
+
+def test_equal_vectors_cluster_alike_in_blocks(spark):
+    rows = [(i, 1, [1.0, 0.0] if i < 3 else [0.0, 1.0 + i], 1.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "ref_id long, sequence_id long, embedding array<double>, score double")
+    got = {tuple(similarity.cluster_sequences(df, limit=10.0, block_rows=n).first()["embedding"]) for n in (2, 4096)}
+    assert got == {(3.0, 0.0)}
+
+
+def test_search_leaves_out_what_is_no_vector_or_score(spark):
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [float("nan"), 1.0])], "ref_id long, embedding array<float>")
+    g = spark.createDataFrame([(10, [1.0, 0.1]), (11, [2.0, 2.0]), (12, None), (13, [0.0, 1.0])], "ref_id long, embedding array<float>")
+    odd = lambda a, b: np.where(np.arange(len(b))[None, :] >= 1, np.nan, 0.5) + np.zeros((len(a), 1))
+    got = similarity.shortlist(q, g, 2, matcher=odd).collect()
+    assert [(r["query_id"], r["score"]) for r in got] == [(0, 0.5)]
+    assert {r["ref_id"] for r in similarity.unsearchable(g).collect()} == {12}
+
+
+def test_search_within_organisations_and_copies_of_tiles(spark):
+    rng = np.random.default_rng(0)
+    make = lambda first, n: spark.createDataFrame([(first + i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(n)], "ref_id long, embedding array<float>, org int")
+    q, g = make(0, 30), make(100, 90)
+    got = similarity.shortlist(q, g, 100, scope="org").collect()
+    assert len(got) == 3 * 10 * 30 and all(r["query_id"] % 3 == (r["ref_id"] - 100) % 3 for r in got)
+    tiles = similarity.packed_tiles(g, "embedding", "ref_id", "org", tile_bytes=4 * 8 * 10).collect()
+    assert {r["tiles"] for r in tiles} == {3} and sum(len(r["ids"]) // 8 for r in tiles) == 90
+
+
 def test_isotonic_golden(spark):
     pairs = spark.createDataFrame([(0.0, 0), (0.5, 1), (1.0, 1)], "score double, hit int")
     model = calibration.fit_isotonic(pairs)

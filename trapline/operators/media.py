@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from trapline.functions import dictionaries as D
 from trapline.functions import text as X
-from trapline.operators.skew import keys_of
+from trapline.functions.geometry import representative_threshold
+from trapline.operators.skew import attach, keys_of
 
 
 def lookup(fact: DataFrame, dimension: DataFrame, key: str, prefix: str, columns: list[str]) -> DataFrame:
@@ -163,3 +164,35 @@ def split_readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def without_file(files: DataFrame, column: str) -> DataFrame:
     return files.filter(F.col(column).isNull() | (F.col(column) == ""))
+
+
+def gallery_media(media: DataFrame, observations: DataFrame, workgroups: DataFrame) -> DataFrame:
+    """Whether each media file of a workgroup may stand in its gallery, as ``used_for_init``.
+
+    It has to be a representative of a known identity and, where the workgroup has a default
+    taxon, to have an observation of that taxon.
+    """
+    taxa = workgroups.select(F.col("id").alias("_wg"), F.col("default_taxon_id").alias("_default"))
+    rows = media.filter("owner_workgroup_id is not null").join(taxa, F.col("owner_workgroup_id") == F.col("_wg"), "left")
+    seen = keys_of(observations.filter("taxon_id is not null"), "mediafile_id", "taxon_id").select(F.col("mediafile_id").alias("_m"), F.col("taxon_id").alias("_taxon"))
+    rows = rows.join(seen, (F.col("id") == F.col("_m")) & (F.col("_default") == F.col("_taxon")), "left")
+    fits = F.col("_default").isNull() | F.col("_m").isNotNull()
+    used = F.coalesce(F.col("identity_is_representative"), F.lit(False)) & F.col("identity_id").isNotNull() & fits
+    return rows.withColumn("used_for_init", used).select(*media.columns, "used_for_init")
+
+
+def representative_candidates(media: DataFrame, detections: DataFrame, order: list[str], coefficient: float = 5.0) -> DataFrame:
+    """Whether each media file with an identity is good enough for a further representative of it.
+
+    The score is the orientation score of the first detection in ``order``, or its confidence
+    where there is none and it has a class, or 0; half of it has to beat a threshold that grows
+    with the representatives the identity has. ``detections`` has ``mediafile_id``,
+    ``orientation_score``, ``confidence`` and ``class``.
+    """
+    score = F.coalesce("orientation_score", F.when(F.col("class").isNotNull(), F.col("confidence")), F.lit(0.0))
+    first = detections.groupBy("mediafile_id").agg(F.min_by(score, F.struct(*order)).alias("_score"))
+    known = media.filter("identity_id is not null")
+    counts = known.groupBy("identity_id").agg(F.count_if("identity_is_representative").alias("_chosen"), F.count(F.lit(1)).alias("_media"))
+    rows = attach(known, counts, ["identity_id"], F.col("id"), weight="_media").join(first, F.col("id") == F.col("mediafile_id"), "left")
+    threshold = representative_threshold(F.col("_chosen"), coefficient)
+    return rows.select("id", threshold.alias("threshold"), (F.coalesce("_score", F.lit(0.0)) / 2 > threshold).alias("is_candidate"))

@@ -89,7 +89,9 @@ def resolve_merges(merges: DataFrame, source: str = "from_id", target: str = "to
 def repoint(facts: DataFrame, resolved: DataFrame, column: str, key: str) -> DataFrame:
     """Facts of a merged-away row now refer to its target."""
     moves = resolved.select(F.col("from_id").alias(column), F.col("to_id").alias("_to"))
-    return attach(facts, moves, [column], F.col(key)).withColumn(column, F.coalesce("_to", column)).drop("_to")
+    # rows that refer to nothing, often a third of all, needn't be joined
+    pointing = attach(facts.filter(F.col(column).isNotNull()), moves, [column], F.col(key))
+    return pointing.withColumn(column, F.coalesce("_to", column)).select(*facts.columns).union(facts.filter(F.col(column).isNull()))
 
 
 def _states(target_rows: DataFrame, source_rows: DataFrame, fields: dict[str, str | None]) -> DataFrame:
@@ -187,15 +189,14 @@ def greatest_id(table: DataFrame) -> Column:
     return table.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
 
 
-def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], caps: dict[str, int] | None = None) -> DataFrame:
+def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Existing dimension rows plus one new row per key that is not there yet.
 
-    Text keys are cut to their column length; null and empty names create nothing. New ids
-    continue after the greatest one, in key order.
+    The first key is the name or the code, further ones the tenant; texts are kept whole. Null and
+    empty names create nothing. New ids continue after the greatest one, in key order.
     """
-    cut = incoming.select(*[F.substring(F.col(k), 1, caps[k]).alias(k) if caps and k in caps else F.col(k) for k in keys])
     name = keys[0]
-    wanted = cut.filter(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
+    wanted = incoming.select(*keys).filter(F.col(name).isNotNull() & (F.col(name) != "")).distinct()
     have = existing.select(*[F.col(k).alias(f"_h_{k}") for k in keys]).distinct()
     match = F.lit(True)
     for k in keys:
@@ -374,21 +375,26 @@ def import_identities(existing: DataFrame, sheet: DataFrame, position: str) -> t
 LOCALITY_ALIASES = {"Location": "location", "Latitude": "latitude", "Longitude": "longitude", "lat": "latitude", "lon": "longitude", "Lat": "latitude", "Lon": "longitude"}
 
 
-def import_localities(existing: DataFrame, sheet: DataFrame, position: str) -> DataFrame:
-    """Get or create localities by name and set their rounded coordinates.
+def import_localities(existing: DataFrame, sheet: DataFrame, position: str, tenant: str | None = None) -> DataFrame:
+    """Get or create localities by name within their tenant and set their rounded coordinates.
 
-    Coordinates come from two columns or from one ``"lat,lon"`` text.
+    Coordinates come from two columns or from one ``"lat,lon"`` text. Without ``tenant``, a column
+    of both tables, all localities belong to one.
     """
+    keys = ["name", *([tenant] if tenant else [])]
     named = read_names(sheet, LOCALITY_ALIASES)
     if "location" in named.columns:
         lat, lon = G.lat_lon(F.col("location"))
     else:
         lat, lon = F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double")
-    placed = named.select("name", position, F.when(lat.isNotNull() & lon.isNotNull(), G.rounded_location(lat, lon)).alias("_location"))
-    final = last_given(placed.filter("name is not null and name != ''"), ["name"], position).drop("_rows")
-    everyone = get_or_create(existing, final.select("name"), ["name"])
-    update = final.withColumnRenamed("name", "_name")
-    joined = everyone.join(update, F.col("name") == F.col("_name"), "left")
+    placed = named.select(*keys, position, F.when(lat.isNotNull() & lon.isNotNull(), G.rounded_location(lat, lon)).alias("_location"))
+    final = last_given(placed.filter("name is not null and name != ''"), keys, position).drop("_rows")
+    everyone = get_or_create(existing, final.select(*keys), keys)
+    update = final.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.col("name") == F.col("_k_name")
+    if tenant:
+        same = same & F.col(tenant).eqNullSafe(F.col(f"_k_{tenant}"))
+    joined = everyone.join(update, same, "left")
     return joined.withColumn("location", F.coalesce("_location", "location")).select(*existing.columns)
 
 

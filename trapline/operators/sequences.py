@@ -25,7 +25,7 @@ def _limit_us(limit_s: float) -> int:
 
 def _cell(us: Column, limit_us: int) -> Column:
     """Number of the time slot (also for times before 1970)."""
-    step = F.lit(limit_us).cast("long")
+    step = F.lit(max(limit_us, 1)).cast("long")  # with a limit of 0 a slot is one tick of the clock
     return F.floor((us - F.pmod(us, step)) / step)
 
 

@@ -1,13 +1,12 @@
 """Similarity of embeddings: search, shortlists, fusion, re-identification.
 
-Searching compares every query with every gallery vector, as the task demands, but never as a
-join of rows: both sides are cut into blocks of bounded size, each pair of blocks is one matrix
-product in one task, and only the best ``k`` references per query and block leave it.
+Searching compares every query with every gallery vector of its organisation, as the task demands,
+but never as a join of rows: both sides are packed into tiles of bounded size, each pair of tiles is
+compared in one task, and only the best ``k`` references per query and tile leave it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +22,9 @@ from trapline.operators.rollups import vector_per_group
 from trapline.operators.skew import attach
 from trapline.session import pin
 
+# Bytes of a tile of vectors, and the rows that are multiplied at once inside a pair of tiles.
+TILE_BYTES, STRIP = 64_000_000, 2_048
+# Rows of a sequence that are clustered in one task.
 BLOCK_ROWS = 4096
 
 Matcher = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -37,19 +39,21 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def block_count(rows: int, block_rows: int) -> int:
-    return max(1, math.ceil(rows / block_rows))
+def _finite(vector: Column) -> Column:
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+def unsearchable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The rows whose vector is null, empty or not finite; a search leaves them out."""
+    return rows.filter(~F.coalesce(_finite(F.col(vector)), F.lit(False)))
 
 
 def _best(scores: np.ndarray, query_ids: np.ndarray, ref_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best references of every row, the smaller id first on ties."""
+    """The ``k`` best references of every row, the smaller id first on ties; a score that is no number is none."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
     k = min(k, scores.shape[1])
     bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    row, column = np.nonzero(scores >= bar[:, None])
+    row, column = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
     value = scores[row, column]
     order = np.lexsort((ref_ids[column], -value, row))
     row, column, value = row[order], column[order], value[order]
@@ -58,23 +62,61 @@ def _best(scores: np.ndarray, query_ids: np.ndarray, ref_ids: np.ndarray, k: int
     return pd.DataFrame({"query_id": query_ids[row[kept]], "ref_id": ref_ids[column[kept]], "score": value[kept]})
 
 
+def packed_tiles(rows: DataFrame, vector: str, key: str, scope: str | None, tile_bytes: int, tile_rows: int | None = None) -> DataFrame:
+    """Vectors as tiles: one row per scope and tile, with the ids and the matrix as bytes and the scope's number of ``tiles``.
+
+    Tiles are cut by hash, about ``tile_bytes`` each (or ``tile_rows`` rows).
+    """
+    named = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
+    usable = rows.filter(F.coalesce(_finite(F.col(vector)), F.lit(False)))
+    base = usable.select(named.alias("scope"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    per_tile = F.lit(tile_rows) if tile_rows else F.greatest(F.lit(1), F.floor(tile_bytes / (8 * F.max(F.size("vector")))))
+    sizes = base.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / per_tile).cast("int").alias("tiles"))
+    placed = attach(base, sizes, ["scope"], F.col("id"), weight="n").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        return pd.DataFrame([[first["scope"], first["tile"], first["tiles"], len(first["vector"]), group["id"].to_numpy().tobytes(), _matrix(group["vector"]).tobytes()]])
+
+    return placed.groupBy("scope", "tile").applyInPandas(pack, "scope string, tile int, tiles int, dim int, ids binary, matrix binary")
+
+
 def block_shortlists(
-    query: DataFrame, gallery: DataFrame, k: int, vector: str = "embedding", key: str = "ref_id",
-    block_rows: int = BLOCK_ROWS, matcher: Matcher = cosine_matrix,
+    query: DataFrame, gallery: DataFrame, k: int, vector: str = "embedding", key: str = "ref_id", scope: str | None = None,
+    tile_bytes: int = TILE_BYTES, block_rows: int | None = None, matcher: Matcher = cosine_matrix,
 ) -> DataFrame:
-    """Best ``k`` references per query within each gallery block (the cheap first phase)."""
-    query_blocks, gallery_blocks = block_count(query.count(), block_rows), block_count(gallery.count(), block_rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = query.select(F.col(key).alias("id"), F.col(vector).alias("vector"), _block(F.col(key), query_blocks).alias("qb")).withColumn("gb", every(gallery_blocks))
-    right = gallery.select(F.col(key).alias("id"), F.col(vector).alias("vector"), _block(F.col(key), gallery_blocks).alias("gb")).withColumn("qb", every(query_blocks))
+    """Best ``k`` references per query within each gallery tile (the cheap first phase).
+
+    With ``scope`` (an organisation) queries only meet the gallery of their own. Each tile of
+    queries meets each tile of the gallery once, so a vector is copied as often as the other side
+    has tiles: their bytes over ``tile_bytes``, not their rows over some thousands. Inside a pair
+    of tiles the product is made in strips, and only ``k`` rows per query and tile leave the task.
+    """
+    left = packed_tiles(query, vector, key, scope, tile_bytes, block_rows)
+    right = packed_tiles(gallery, vector, key, scope, tile_bytes, block_rows)
+    tiles_of = lambda packed, name: packed.groupBy("scope").agg(F.max("tiles").alias(name))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = left.join(tiles_of(right, "others"), "scope").withColumn("qt", F.col("tile")).withColumn("gt", every("others"))
+    offered = right.join(tiles_of(left, "others"), "scope").withColumn("gt", F.col("tile")).withColumn("qt", every("others"))
+
+    def unpacked(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        row = side.iloc[0]
+        return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], np.float64).reshape(-1, row["dim"])
 
     def compare(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or g.empty:
-            return pd.DataFrame({"query_id": [], "ref_id": [], "score": []}).astype({"query_id": "int64", "ref_id": "int64"})
-        scores = matcher(_matrix(q["vector"]), _matrix(g["vector"]))
-        return _best(scores, q["id"].to_numpy(), g["id"].to_numpy(), k)
+        (query_ids, queries), (ref_ids, refs) = unpacked(q), unpacked(g)
+        found = []
+        for i in range(0, len(queries), STRIP):
+            part = []
+            for j in range(0, len(refs), STRIP):
+                scores = matcher(queries[i : i + STRIP], refs[j : j + STRIP])
+                part.append(_best(scores, query_ids[i : i + STRIP], ref_ids[j : j + STRIP], k))
+            rows = pd.concat(part).sort_values(["query_id", "score", "ref_id"], ascending=[True, False, True])
+            found.append(rows.groupby("query_id").head(k))
+        return pd.concat(found)
 
-    return left.groupBy("qb", "gb").cogroup(right.groupBy("qb", "gb")).applyInPandas(compare, "query_id long, ref_id long, score double")
+    pair = ["scope", "qt", "gt"]
+    return asking.groupBy(*pair).cogroup(offered.groupBy(*pair)).applyInPandas(compare, "query_id long, ref_id long, score double")
 
 
 def shortlist(query: DataFrame, gallery: DataFrame, k: int, **options) -> DataFrame:
@@ -133,14 +175,14 @@ def fused(scores: list[Column]) -> Column:
 
 def fused_scores(
     query: DataFrame, gallery: DataFrame, matchers: list[Callable[[Column, Column], Column]], calibrations: list, depth: int,
-    vector: str = "embedding", label: str = "identity", key: str = "ref_id",
+    vector: str = "embedding", label: str = "identity", key: str = "ref_id", scope: str | None = None,
 ) -> DataFrame:
     """Shortlist by cosine and score the shortlist with every matcher.
 
     A matcher maps the two embeddings of a pair to a score column; its calibration (or None)
     turns the score into a probability. The shortlist is written once, as several readers follow.
     """
-    pairs = pin(shortlist(query, gallery, depth, vector=vector, key=key).select("query_id", "ref_id"))
+    pairs = pin(shortlist(query, gallery, depth, vector=vector, key=key, scope=scope).select("query_id", "ref_id"))
     rows = with_features(pairs, query, gallery, [label, vector], key)
     left, right = F.col(f"q_{vector}").cast("array<double>"), F.col(f"r_{vector}").cast("array<double>")
     scores = []
@@ -218,8 +260,10 @@ def angle(left: Column, right: Column) -> Column:
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(left, right, 0.0)))))
 
 
-def calibration_rows(gallery: DataFrame, rows: int = 50, key: str = "ref_id") -> DataFrame:
-    """The first gallery rows in key order: the size of the calibration set is a parameter."""
+def calibration_rows(gallery: DataFrame, rows: int = 50, key: str = "ref_id", scope: str | None = None) -> DataFrame:
+    """The first gallery rows in key order, of each organisation with ``scope``: the size of the calibration set is a parameter."""
+    if scope:
+        return top_per_group(gallery, [scope], [F.col(key)], rows, "_place").drop("_place")
     return gallery.orderBy(key).limit(rows)
 
 
@@ -275,9 +319,10 @@ def _components(linked: np.ndarray) -> np.ndarray:
 
 
 def cluster_one(keys: np.ndarray, vectors: np.ndarray, scores: np.ndarray, limit: float, multiplier: float) -> np.ndarray:
-    """The vector that stands for one sequence of bounded size."""
+    """The vector that stands for one sequence of bounded size. A missing score loses to every other."""
     order = np.argsort(keys, kind="stable")
-    vectors, scores = vectors[order], scores[order]
+    scores = np.asarray(scores, np.float64)
+    vectors, scores = vectors[order], np.where(np.isnan(scores), -np.inf, scores)[order]
     if len(vectors) == 1:
         return vectors[0]
     angles = _angles(vectors, vectors)
@@ -305,7 +350,7 @@ def cluster_sequences(
     """One vector per sequence: the sum of its tightest cluster of similar views.
 
     If no two vectors are within ``limit`` degrees the vector of the best score stands for the
-    sequence. Otherwise vectors are linked while they are within ``multiplier`` times the
+    sequence (a null or NaN score loses to every other, and the smaller key wins a tie). Otherwise vectors are linked while they are within ``multiplier`` times the
     smallest angle (closest pairs first, groups being as close as their closest members, which
     makes the groups the connected components of that graph) and the group with the smallest
     mean angle is summed.
@@ -314,7 +359,7 @@ def cluster_sequences(
     block by block: smallest angle, labels and mean angles are reduced inside the tasks.
     """
     sizes = rows.groupBy(F.col(sequence).alias("seq")).agg(F.count(F.lit(1)).alias("n"))
-    base = rows.select(F.col(sequence).alias("seq"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(score).alias("score"))
+    base = rows.select(F.col(sequence).alias("seq"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double")).alias("score"))
     sized = attach(base, sizes, ["seq"], F.col("key"), weight="n")
     schema = "seq long, vector array<double>"
 
@@ -337,22 +382,36 @@ def _compare_blocks(rows: DataFrame, columns: list[str], compare, schema: str) -
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocked = rows.select("seq", "key", "vector", *columns, "blocks", own.alias("own"))
     left = blocked.withColumnRenamed("own", "a").withColumn("b", every)
-    right = blocked.withColumnRenamed("own", "b").withColumn("a", every)
+    right = blocked.select(*[F.col(c).alias(c) for c in blocked.columns]).withColumnRenamed("own", "b").withColumn("a", every)  # columns of its own
     return left.groupBy("seq", "a", "b").cogroup(right.groupBy("seq", "a", "b")).applyInPandas(compare, schema)
 
 
-def _cluster_long(rows: DataFrame, limit: float, multiplier: float) -> DataFrame:
-    def block_angles(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-        angles = _angles(_matrix(a["vector"]), _matrix(b["vector"]))
-        angles[a["key"].to_numpy()[:, None] == b["key"].to_numpy()[None, :]] = 361.0
-        return angles
+def smallest_angles(rows: DataFrame, sequence: str = "sequence_id", key: str = "ref_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Smallest angle between two vectors of each sequence (``sequence``, ``angle``), compared block by block.
 
-    def closest(a, b):
-        if a.empty or b.empty:
-            return pd.DataFrame({"seq": [], "angle": []}).astype({"seq": "int64", "angle": "float64"})
-        return pd.DataFrame({"seq": [a["seq"].iloc[0]], "angle": [block_angles(a, b).min()]})
+    A sequence of one row has none and is left out; rows without a finite vector take no part.
+    """
+    base = rows.filter(F.coalesce(_finite(F.col(vector)), F.lit(False))).select(F.col(sequence).alias("seq"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    sizes = base.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+    sized = attach(base, sizes, ["seq"], F.col("key"), weight="n").withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    found = _compare_blocks(sized, [], _closest, "seq long, angle double").groupBy("seq").agg(F.min("angle").alias("angle"))
+    return found.filter("angle < 361").withColumnRenamed("seq", sequence)
+
+
+def _block_angles(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    angles = _angles(_matrix(a["vector"]), _matrix(b["vector"]))
+    angles[a["key"].to_numpy()[:, None] == b["key"].to_numpy()[None, :]] = 361.0
+    return angles
 
-    nearest = pin(_compare_blocks(rows, [], closest, "seq long, angle double").groupBy("seq").agg(F.min("angle").alias("closest")))
+
+def _closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    if a.empty or b.empty:
+        return pd.DataFrame({"seq": [], "angle": []}).astype({"seq": "int64", "angle": "float64"})
+    return pd.DataFrame({"seq": [a["seq"].iloc[0]], "angle": [_block_angles(a, b).min()]})
+
+
+def _cluster_long(rows: DataFrame, limit: float, multiplier: float) -> DataFrame:
+    nearest = pin(_compare_blocks(rows, [], _closest, "seq long, angle double").groupBy("seq").agg(F.min("angle").alias("closest")))
     apart = attach(rows, nearest.filter(F.col("closest") > limit), ["seq"], F.col("key"), how="inner")
     by_score = apart.groupBy("seq").agg(F.max_by("vector", F.struct(F.col("score"), -F.col("key"))).alias("vector"))
     linked = pin(attach(rows, nearest.filter(F.col("closest") <= limit), ["seq"], F.col("key"), how="inner").withColumn("label", F.col("key")))
@@ -360,7 +419,7 @@ def _cluster_long(rows: DataFrame, limit: float, multiplier: float) -> DataFrame
     def smallest_label(a, b):
         if a.empty or b.empty:
             return pd.DataFrame({"key": [], "label": []}).astype("int64")
-        near = block_angles(a, b) <= multiplier * a["closest"].iloc[0]
+        near = _block_angles(a, b) <= multiplier * a["closest"].iloc[0]
         label = np.where(near, b["label"].to_numpy()[None, :], a["label"].to_numpy()[:, None]).min(axis=1)
         return pd.DataFrame({"key": a["key"].to_numpy(), "label": np.minimum(label, a["label"].to_numpy())})
 
@@ -377,7 +436,7 @@ def _cluster_long(rows: DataFrame, limit: float, multiplier: float) -> DataFrame
     def spread_of(a, b):
         if a.empty or b.empty:
             return pd.DataFrame({"seq": [], "label": [], "total": [], "pairs": []}).astype({"seq": "int64", "label": "int64", "total": "float64", "pairs": "int64"})
-        angles = block_angles(a, b)
+        angles = _block_angles(a, b)
         same = (a["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]) & (a["key"].to_numpy()[:, None] > b["key"].to_numpy()[None, :])
         row, column = np.nonzero(same)
         sums = pd.DataFrame({"label": a["label"].to_numpy()[row], "total": angles[row, column], "pairs": (angles[row, column] > 0).astype("int64")})

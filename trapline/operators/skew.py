@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # A key with more fact rows than this is joined apart from the others.
 HEAVY_ROWS = 1_000_000
 SALTS = 8
+# Most keys that are salted by their weight, and most salts of one.
+HEAVY_KEYS, MOST_SALTS = 1_000, 4_096
 
 
 def attach(
@@ -19,9 +21,11 @@ def attach(
     Keys compare null-safe, so the null group stays a group. ``spread_by`` is a column of the
     fact with many values.
 
-    With ``weight``, the column of the summary that counts the fact rows of a key, heavy keys are
-    joined by broadcast: there is at most one of them per ``heavy_rows`` fact rows, which bounds
-    the broadcast. Their rows then pass the join of all other keys spread over every task.
+    With ``weight``, the column of the summary that counts the fact rows of a key, the rows of a
+    key of more than ``heavy_rows`` rows are salted in proportion to them, and its summary row is
+    repeated as often. Only a hash and the number of salts of the ``HEAVY_KEYS`` heaviest keys are
+    broadcast, 16 bytes a key at any size of the data; keys beyond them, and what is uneven
+    besides, are left to the adaptive skew join.
     Without it (for summaries much smaller than the fact) each summary row is repeated ``salts``
     times and the fact rows of a key are spread over as many tasks; what is still too large there
     is split by the adaptive skew join.
@@ -48,23 +52,19 @@ def _same(on: list[str], prefix: str) -> Column:
 def _attach_by_weight(
     fact: DataFrame, summary: DataFrame, on: list[str], spread_by: Column, how: str, weight: str, heavy_rows: int
 ) -> DataFrame:
+    key_hash = F.xxhash64(*on)
+    salts = F.least(F.ceil(F.col(weight) / max(heavy_rows, 1)), F.lit(MOST_SALTS)).cast("int")
+    heaviest = summary.filter(F.col(weight) > heavy_rows).select(key_hash.alias("_hash"), salts.alias("_salts")).orderBy(F.desc("_salts"), "_hash").limit(HEAVY_KEYS)
+    # keys of one hash, if that ever happens, are salted alike on both sides
+    heaviest = F.broadcast(heaviest.groupBy("_hash").agg(F.max("_salts").alias("_salts")))
+    known = lambda rows: rows.withColumn("_hash", key_hash).join(heaviest, "_hash", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    salted = known(fact).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int"))
     values = [c for c in summary.columns if c not in on]
-
-    is_heavy = F.col(weight) > heavy_rows
-
-    def side(prefix: str, rows: DataFrame) -> DataFrame:
-        salt = F.when(is_heavy, -1).otherwise(0).alias(f"{prefix}salt")
-        return rows.select(*[F.col(c).alias(f"{prefix}{c}") for c in summary.columns], salt)
-
-    heavy, light = side("_h_", summary.filter(is_heavy)), side("_l_", summary)
-    apart = fact.join(F.broadcast(heavy), _same(on, "_h_"), "left")
-    # rows of heavy keys have their answer: they get salts of their own, which match nothing
-    salt = F.when(F.col("_h_salt").isNotNull(), F.pmod(F.xxhash64(spread_by), F.lit(1_000_000)).cast("int") + 1).otherwise(0)
-    joined = apart.withColumn("_salt", salt).join(light, _same(on, "_l_") & (F.col("_salt") == F.col("_l_salt")), "left")
-    if how == "inner":
-        joined = joined.filter(F.col("_h_salt").isNotNull() | F.col("_l_salt").isNotNull())
-    picked = [F.when(F.col("_h_salt").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_l_{c}")).alias(c) for c in values]
-    return joined.select(*fact.columns, *picked)
+    copies = known(summary).select(
+        *[F.col(c).alias(f"_k_{c}") for c in on], *[F.col(c).alias(f"_v_{c}") for c in values], F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_k_salt")
+    )
+    joined = salted.join(copies, _same(on, "_k_") & (F.col("_salt") == F.col("_k_salt")), how)
+    return joined.select(*fact.columns, *[F.col(f"_v_{c}").alias(c) for c in values])
 
 
 def keys_of(df: DataFrame, *columns: str) -> DataFrame:

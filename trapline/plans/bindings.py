@@ -81,7 +81,7 @@ VIEWS: dict[str, str] = {
           n_nationkey % 5 = 0 as workgroup_admin
         from {nation}""",
     "workgroups": """
-        select cast(r_regionkey as bigint) as id, r_name as name, 3 as default_taxon_id,
+        select cast(r_regionkey as bigint) as id, r_name as name, case when r_regionkey = 4 then null else r_regionkey + 2 end as default_taxon_id,
           r_regionkey % 2 = 0 as identification_initiated
         from {region}""",
     "identities": """

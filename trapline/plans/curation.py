@@ -41,7 +41,7 @@ def _(t):
        select id, name from taxa union all select (select max(id) from taxa) + row_number() over (order by name), name from n""",
 )
 def _(t):
-    return merge.get_or_create(t.taxa, t.raw("part").select(F.col("p_type").alias("name")), ["name"], {"name": 50})
+    return merge.get_or_create(t.taxa, t.raw("part").select(F.col("p_type").alias("name")), ["name"])
 
 
 @query(
@@ -52,7 +52,7 @@ def _(t):
 )
 def _(t):
     incoming = t.raw("part").select(F.col("p_brand").alias("name"), (F.col("p_size") % 5).cast("long").alias("owner_workgroup_id"))
-    return merge.get_or_create(t.identities.select("id", "name", "owner_workgroup_id"), incoming, ["name", "owner_workgroup_id"], {"name": 100})
+    return merge.get_or_create(t.identities.select("id", "name", "owner_workgroup_id"), incoming, ["name", "owner_workgroup_id"])
 
 
 # ---- merges ---------------------------------------------------------------------------------
@@ -300,16 +300,21 @@ def _(t):
 
 @query(
     "set14_import_localities",
-    """with p as (select distinct on (n_name) n_name as name, n_nationkey as k from nation)
-       select id, name, location from localities union all
-       select (select max(id) from localities) + row_number() over (order by name), name,
-         concat(cast(round_even(48.00049e0 + k, 3) as varchar), ',', cast(round_even(13.12345e0 + k, 3) as varchar)) from p""",
+    """with l as (select id, concat('place ', cast(id // 2 as varchar)) as name, id % 2 as tenant, location from localities),
+       p as (select concat('place ', cast(n_nationkey as varchar)) as name, 0 as tenant, n_nationkey as k from nation
+         union all select n_name, n_regionkey % 3, n_nationkey from nation),
+       q as (select *, concat(cast(round_even(48.00049e0 + k, 3) as varchar), ',', cast(round_even(13.12345e0 + k, 3) as varchar)) as place from p)
+       select l.id, l.name, l.tenant, coalesce(q.place, l.location) as location from l left join q using (name, tenant) union all
+       select (select max(id) from l) + row_number() over (order by name, tenant), name, tenant, place from q anti join l using (name, tenant)""",
 )
 def _(t):
-    rows = t.raw("nation").select(
-        F.col("n_nationkey").alias("row"), F.col("n_name").alias("name"), (F.lit(48.00049) + F.col("n_nationkey")).alias("Lat"), (F.lit(13.12345) + F.col("n_nationkey")).alias("Lon")
-    )
-    return merge.import_localities(t.localities.select("id", "name", "location"), rows, "row")
+    """Two tenants have localities of the same names; one of them imports."""
+    place, nation = F.concat(F.lit("place "), (F.col("id") / 2).cast("long")), t.raw("nation")
+    known = t.localities.select("id", place.alias("name"), (F.col("id") % 2).cast("int").alias("tenant"), "location")
+    point = [F.col("n_nationkey").alias("row"), (F.lit(48.00049) + F.col("n_nationkey")).alias("Lat"), (F.lit(13.12345) + F.col("n_nationkey")).alias("Lon")]
+    rows = nation.select(F.concat(F.lit("place "), F.col("n_nationkey")).alias("name"), F.lit(0).alias("tenant"), *point)
+    rows = rows.union(nation.select("n_name", (F.col("n_regionkey") % 3).cast("int"), *point))
+    return merge.import_localities(known, rows, "row", "tenant")
 
 
 # ---- identification results -----------------------------------------------------------------
@@ -457,16 +462,11 @@ def _(t):
 @query(
     "mth7_representative_candidate",
     """with c as (select identity_id, count(*) filter (identity_is_representative) as n from media where identity_id is not null group by 1),
-       s as (select mediafile_id, first(orientation_score order by det_no, part_no, supp_no) as score from detections group by 1)
+       s as (select mediafile_id, first(case when det_no % 3 = 0 then confidence else orientation_score end order by det_no, part_no, supp_no) as score from detections group by 1)
     select m.id, 1 - exp(-c.n / 5e0) as threshold, coalesce(s.score, 0e0) / 2 > 1 - exp(-c.n / 5e0) as is_candidate
     from media m join c on c.identity_id = m.identity_id left join s on s.mediafile_id = m.id""",
 )
 def _(t):
-    from trapline.operators.skew import attach
-
-    first = t.detections.groupBy("mediafile_id").agg(F.min_by("orientation_score", F.struct("det_no", "part_no", "supp_no")).alias("score"))
-    counts = t.media.filter("identity_id is not null").groupBy("identity_id").agg(F.count_if("identity_is_representative").alias("n"), F.count(F.lit(1)).alias("media"))
-    rows = attach(t.media.filter("identity_id is not null"), counts, ["identity_id"], F.col("id"), weight="media")
-    rows = rows.join(first, F.col("id") == F.col("mediafile_id"), "left")
-    threshold = G.representative_threshold(F.col("n"))
-    return rows.select("id", threshold.alias("threshold"), (F.coalesce("score", F.lit(0.0)) / 2 > threshold).alias("is_candidate"))
+    """Every third detection has no orientation score, so that its confidence counts."""
+    detections = t.detections.withColumn("orientation_score", F.when(F.col("det_no") % 3 != 0, F.col("orientation_score")))
+    return media.representative_candidates(t.media, detections, ["det_no", "part_no", "supp_no"])

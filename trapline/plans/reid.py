@@ -61,12 +61,10 @@ def _(t):
     return labelled(t).select("query_id", "ref_id", similarity.cosine(F.col("q_embedding").cast("array<double>"), F.col("r_embedding").cast("array<double>")).alias("cosine"))
 
 
-@query("jn9_query_gallery_blocks", f"{COSINES} select query_id, count(*) as compared, max(score) as best, min(score) filter (position <= {SHORTLIST}) as last_kept from s group by 1")
+@query("jn9_query_gallery_blocks", f"{COSINES} select query_id, max(score) as best, min(score) filter (position <= {SHORTLIST}) as last_kept from s group by 1")
 def _(t):
-    """Every query meets the whole gallery; what leaves the blocks is the shortlist."""
-    q, g = roles(t)
-    kept = shortlisted(t).groupBy("query_id").agg(F.max("score").alias("best"), F.min("score").alias("last_kept"))
-    return kept.withColumn("compared", g.agg(F.count(F.lit(1))).scalar())
+    """Every query meets the whole gallery in tiles of 32 rows; what leaves the tiles is the shortlist."""
+    return shortlisted(t, block_rows=32).groupBy("query_id").agg(F.max("score").alias("best"), F.min("score").alias("last_kept"))
 
 
 @query("jn10_given_pairs", f"{SHORT} select query_id, ref_id, query_identity as q_identity, identity as r_identity, query_sequence as q_sequence_id, sequence_id as r_sequence_id from k")
@@ -199,11 +197,25 @@ def _(t):
     return labelled(t).select("query_id", "ref_id", similarity.angle(vec("q"), vec("r")).alias("angle"))
 
 
-@query("sim16_smallest_angle_of_groups", f"{SHORT} select query_sequence, sequence_id, min(degrees(acos(greatest(-1e0, least(1e0, score))))) as angle from k group by 1, 2")
+@query(
+    "sim16_smallest_angle_of_groups",
+    """with v as (select ref_id, sequence_id, list_transform(embedding, lambda x: cast(x as double)) as e from gallery)
+    select a.sequence_id, min(degrees(acos(greatest(-1e0, least(1e0, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e))))))) as angle
+    from v a join v b on a.sequence_id = b.sequence_id and a.ref_id < b.ref_id group by 1""",
+)
 def _(t):
-    vec = lambda side: F.col(f"{side}_embedding").cast("array<double>")
-    rows = labelled(t).select(F.col("q_sequence_id").alias("query_sequence"), F.col("r_sequence_id").alias("sequence_id"), similarity.angle(vec("q"), vec("r")).alias("a"))
-    return rows.groupBy("query_sequence", "sequence_id").agg(F.min("a").alias("angle"))
+    return similarity.smallest_angles(t.gallery)
+
+
+SCOPED = f"""{COSINES}, o as (select s.query_id, s.ref_id, s.score, row_number() over (partition by s.query_id order by s.score desc, s.ref_id) as position
+    from s join gallery q on q.ref_id = s.query_id join gallery g on g.ref_id = s.ref_id and g.organization_id = q.organization_id)"""
+
+
+@query("sim3_shortlist_of_organisation", f"{SCOPED} select query_id, ref_id, score, position from o where position <= {SHORTLIST}")
+def _(t):
+    """A query only meets the gallery of its own organisation."""
+    rows = shortlisted(t, scope="organization_id")
+    return rows.withColumn("position", F.col("position").cast("long"))
 
 
 def _spread(n: int) -> str:
@@ -242,6 +254,14 @@ def _(t):
     return similarity.calibration_rows(roles(t)[1]).select("ref_id", "identity")
 
 
+@query(
+    "sim18_calibration_rows_of_organisations",
+    "select ref_id, organization_id from (select *, row_number() over (partition by organization_id order by ref_id) as n from gallery where not is_query) where n <= 20",
+)
+def _(t):
+    return similarity.calibration_rows(roles(t)[1], 20, scope="organization_id").select("ref_id", "organization_id")
+
+
 @query(
     "sim19_identification_input",
     """select m.id as mediafile_id, m.identity_id as class_id, i.name as label, m.locality_id, coalesce(l.name, '') as locality_name, l.location as locality_coordinates, m.sequence_id as sequence_number

@@ -191,15 +191,13 @@ def _(t):
 
 @query(
     "flt15_gallery_media",
-    """select o.id, o.identity_is_representative and o.identity_id is not null
-           and o.id in (select mediafile_id from observations where taxon_id = 3) as used_for_init from owned o where owner_workgroup_id is not null""",
+    """select o.id, o.identity_is_representative and o.identity_id is not null and (w.default_taxon_id is null
+           or exists (select 1 from observations b where b.mediafile_id = o.id and b.taxon_id = w.default_taxon_id)) as used_for_init
+       from owned o join workgroups w on w.id = o.owner_workgroup_id""",
 )
 def _(t):
-    """The default taxon of every workgroup is the same here, as in the reference's default."""
-    hits = keys_of(t.observations.filter("taxon_id = 3"), "mediafile_id").withColumn("_hit", F.lit(True))
-    joined = owned(t).filter("owner_workgroup_id is not null").join(hits, F.col("id") == F.col("mediafile_id"), "left")
-    used = F.col("identity_is_representative") & F.col("identity_id").isNotNull() & F.coalesce("_hit", F.lit(False))
-    return joined.select("id", used.alias("used_for_init"))
+    """Each workgroup has a default taxon of its own, the last one has none."""
+    return media.gallery_media(owned(t), t.observations, t.workgroups).select("id", "used_for_init")
 
 
 @query(
@@ -347,16 +345,18 @@ def _(t):
 
 @query(
     "str8_dictionary_hygiene",
-    f"""with d(czech_label, species, genus, family, class, red_list) as (values {SPECIES_VALUES}),
-      l as (select distinct string_split(original_path, '/')[5] as folder from uploads)
-    select (select count(*) from d) as labels, (select count(*) - count(distinct lower(trim(czech_label))) from d) as duplicate_keys,
-      cast(0 as bigint) as dirty_rows, (select count(*) from l) as folders""",
+    """with l as (select distinct concat(case when media_id % 50 = 0 then ' ' else '' end, case when media_id % 2 = 0 then upper(lang) else lang end, '_',
+          string_split(original_path, '/')[5]) as label, lang from uploads)
+    select count(*) as labels, count(*) - count(distinct lower(strip_accents(trim(label)))) as duplicate_keys,
+      count(*) filter (label <> trim(label) or label <> lower(strip_accents(trim(label)))) as dirty_rows from l""",
 )
 def _(t):
-    from trapline.operators.merge import dictionary_report, species_frame
+    """The labels that folders give, as a dictionary: spellings that collide, and values that aren't clean."""
+    from trapline.operators.merge import dictionary_report
 
-    folders = t.uploads.select(F.element_at(X.parts(F.col("original_path")), 5).alias("folder")).distinct().agg(F.count(F.lit(1)))
-    return dictionary_report(species_frame(t.spark), "czech_label").withColumn("folders", folders.scalar())
+    spelt = F.when(F.col("media_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang"))
+    label = F.concat(F.when(F.col("media_id") % 50 == 0, " ").otherwise(""), spelt, F.lit("_"), F.element_at(X.parts(F.col("original_path")), 5))
+    return dictionary_report(t.uploads.select(label.alias("label"), "lang").distinct(), "label")
 
 
 @query(

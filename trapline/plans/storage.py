@@ -32,12 +32,6 @@ def _(t):
     return files.read_metadata(t.spark, path, schema, index=False)
 
 
-@query("src3_file_listing")
-def _(t):
-    listing = files.list_files(t.spark, t.folder, "*.parquet", exclude=(".csv",))
-    return files.relative_to(listing, t.folder).select("original_path", "length")
-
-
 @query("src4_table_scan", "select o.id, a.name as archive_name, u.username from owned o join archives a on a.id = o.parent_id join users u on u.id = o.owner_id where o.media_type = 'video'")
 def _(t):
     from trapline.operators.media import lookup
