@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapline.llm.tokens import mix as scramble
 from trapline.operators.ordered import running_sum
@@ -81,7 +82,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _block(slot: pd.Series, source_no: pd.Series, blocks: pd.Series, seed: pd.Series) -> pd.Series:
     turn = slot.to_numpy() // blocks.to_numpy()
     key = scramble((seed.to_numpy() * 1_000_003 + source_no.to_numpy()).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + turn.astype(np.uint64))
