@@ -156,7 +156,7 @@ def repeated(documents: DataFrame, **parameters) -> DataFrame:
     text. Rows equal in id, source and text share their words and come equally often.
     """
     keyed = documents.withColumn("_llm_key", F.xxhash64("doc_id", "source", "text"))
-    found = taken(*mix(keyed, "_llm_key", **parameters)).groupBy(F.col("key").alias("_llm_key")).agg((F.sum("taken") / F.sum("size")).alias("_llm_times"))
+    found = taken(*mix(keyed, "_llm_key", **parameters)).groupBy(F.col("key").alias("_llm_key")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_llm_times"))
     chance = F.pmod(F.xxhash64(F.lit(SEED), "_llm_key"), F.lit(1_000_003)) / 1_000_003
     times = found.filter("_llm_times > 0").select("_llm_key", F.floor(F.col("_llm_times") + chance).cast("int").alias("_llm_copies")).filter("_llm_copies > 0")
     return keyed.join(times, "_llm_key").withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_copies")))).drop("_llm_key", "_llm_copies", "_llm_copy")
