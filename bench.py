@@ -11,7 +11,7 @@ import os
 import time
 
 from trapline.plans import catalogue
-from trapline.session import local_session
+from trapline.session import clear_scratch, local_session
 
 HEADLINES = [
     "win1_sequence_summary",
@@ -32,6 +32,12 @@ HEADLINES = [
     "sim11_top_identities",
     "post4_detector_fallback",
     "spl2_split_ratio",
+    "set6_identity_merge",
+    "sim17_sequence_clusters",
+    "agg21_mean_vector_per_group",
+    "jn7_nearest_area",
+    "top_2_page",
+    "stm2_online_sequences",
 ]
 
 
@@ -51,6 +57,7 @@ def main() -> None:
     seconds = {name: round(run(name, spark, folder), 3) for name in names}
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": folder.rstrip("/").split("sf")[-1]}))
+    clear_scratch(spark)
     spark.stop()
 
 

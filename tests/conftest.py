@@ -8,10 +8,11 @@ sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.
 
 @pytest.fixture(scope="session")
 def spark():
-    from trapline.session import local_session
+    from trapline.session import clear_scratch, local_session
 
     session = local_session("tests", "8", partitions=4)
     yield session
+    clear_scratch(session)
     session.stop()
 
 

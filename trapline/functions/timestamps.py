@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions import dictionaries as D
+from trapline.functions.arrays import let
 
 EXIF_PATTERN = r"([0-9]{4}):([0-9]{2}):([0-9]{2}) ([0-9]{2}:[0-9]{2}:[0-9]{2}.*)"
 # The text layouts that two camera models print into the frame.
@@ -13,31 +14,40 @@ OCR_MONTH_FIRST = r"\b(\d{1,2})[-/s.](\d{1,2})[-/s.](\d{4}) (\d{1,2}):(\d{1,2})
 OCR_YEAR_FIRST = r"\d{1,3}Sec (\d{4})/(\d{2})/(\d{2}) (\d{1,2}):(\d{1,2}):(\d{1,2})"
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of the first match as an array, by two passes over the text; one empty string without a match."""
+    return F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, "\u0001".join(f"${i}" for i in range(1, n + 1))), "\u0001")
+
+
 def exif_to_standard(text: Column) -> Column:
     """``YYYY:MM:DD hh:mm:ss`` to ``YYYY-MM-DD hh:mm:ss``, only where it occurs exactly once.
 
     The trailing ``.*`` takes the rest of the line, so a second match needs a second line.
     """
-    hits = F.regexp_count(text, F.lit(EXIF_PATTERN))
-    found = [F.regexp_extract(text, EXIF_PATTERN, i) for i in (1, 2, 3, 4)]
-    standard = F.concat(found[0], F.lit("-"), found[1], F.lit("-"), found[2], F.lit(" "), found[3])
-    return F.when(hits == 1, standard).otherwise(text)
+    once = F.regexp_count(text, F.lit(EXIF_PATTERN)) == 1
+    return F.when(once, F.regexp_replace(F.regexp_extract(text, EXIF_PATTERN, 0), EXIF_PATTERN, "$1-$2-$3 $4")).otherwise(text)
 
 
 def ocr_month_first(text: Column) -> Column:
     """``MM/DD/YYYY hh:mm AM`` as a timestamp; 12 AM is midnight and 12 PM is noon."""
-    g = [F.regexp_extract(text, OCR_MONTH_FIRST, i) for i in range(7)]
-    hour12 = F.pmod(g[4].try_cast("int"), F.lit(12))
-    hour = F.when(g[6] == "PM", hour12 + 12).otherwise(hour12)
-    stamp = F.format_string("%s-%s-%s %s:%s:00", g[3], F.lpad(g[1], 2, "0"), F.lpad(g[2], 2, "0"), F.lpad(hour.cast("string"), 2, "0"), F.lpad(g[5], 2, "0"))
-    return F.when(g[0] != "", F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    def stamp(g: Column) -> Column:
+        hour12 = F.pmod(g[3].try_cast("int"), F.lit(12))
+        hour = F.when(g[5] == "PM", hour12 + 12).otherwise(hour12)
+        told = F.format_string("%s-%s-%s %s:%s:00", g[2], F.lpad(g[0], 2, "0"), F.lpad(g[1], 2, "0"), F.lpad(hour.cast("string"), 2, "0"), F.lpad(g[4], 2, "0"))
+        return F.when(F.size(g) == 6, F.try_to_timestamp(told, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    return let(_groups(text, OCR_MONTH_FIRST, 6), stamp)
 
 
 def ocr_year_first(text: Column) -> Column:
     """``30Sec YYYY/MM/DD h:mm:ss`` as a timestamp."""
-    g = [F.regexp_extract(text, OCR_YEAR_FIRST, i) for i in range(7)]
-    stamp = F.format_string("%s-%s-%s %s:%s:%s", g[1], g[2], g[3], F.lpad(g[4], 2, "0"), F.lpad(g[5], 2, "0"), F.lpad(g[6], 2, "0"))
-    return F.when(g[0] != "", F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    def stamp(g: Column) -> Column:
+        told = F.format_string("%s-%s-%s %s:%s:%s", g[0], g[1], g[2], F.lpad(g[3], 2, "0"), F.lpad(g[4], 2, "0"), F.lpad(g[5], 2, "0"))
+        return F.when(F.size(g) == 6, F.try_to_timestamp(told, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    return let(_groups(text, OCR_YEAR_FIRST, 6), stamp)
 
 
 def ocr_time(text: Column) -> Column:
@@ -49,29 +59,44 @@ def lenient(text: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.try_to_timestamp(text, F.lit(pattern))
 
 
-def capture_time(tags: Column, ocr_text: Column, file_times: list[Column], blacklist: list[str]) -> tuple[Column, Column]:
-    """Capture time text and its source.
+def capture_time(
+    rows: DataFrame, tags: str, ocr_text: str, file_times: list[Column], blacklist: list[str], read_error: str | None = None,
+    text: str = "datetime", error: str = "read_error", source: str = "datetime_source",
+) -> DataFrame:
+    """Add the capture time as text, what went wrong, and the source of the time.
 
     First present tag in order of trust; a blacklisted value counts as absent. A QuickTime value
     keeps its place but loses its source name. Then the text printed into the frame, then the
-    oldest file system time.
+    oldest file system time. A file that could not be read (``read_error``, a column) has its
+    error and neither time nor source.
+
+    Every step is a projection of its own, so that each pattern is looked for once.
     """
-    present = [F.try_element_at(tags, F.lit(k)) for k in D.CAPTURE_TIME_TAGS]
+    present = [F.try_element_at(F.col(tags), F.lit(k)) for k in D.CAPTURE_TIME_TAGS]
     key = F.coalesce(*[F.when(v.isNotNull(), F.lit(k)) for k, v in zip(D.CAPTURE_TIME_TAGS, present)])
-    value = exif_to_standard(F.coalesce(*present))
-    blocked = value.isin(*blacklist) if blacklist else F.lit(False)
-    tagged = F.when(value.isNull() | blocked | (value == ""), None).otherwise(value)
-    demoted = F.when(key.startswith("QuickTime"), value)
-    printed = F.date_format(ocr_time(ocr_text), "yyyy-MM-dd HH:mm:ss")
+    failed = F.coalesce(F.col(read_error), F.lit("")) if read_error else F.lit("")
+    staged = rows.withColumns({"_tag": key, "_raw": F.coalesce(*present), "_failed": failed}).withColumn("_value", exif_to_standard(F.col("_raw")))
+    absent = F.col("_value").isNull() | (F.col("_value") == "")
+    if blacklist:
+        absent = absent | F.col("_value").isin(*blacklist)
+    printed = F.date_format(ocr_time(F.col(ocr_text)), "yyyy-MM-dd HH:mm:ss")
+    quick = F.col("_tag").startswith("QuickTime")
+    staged = staged.withColumns({"_tagged": F.when(~absent, F.col("_value")), "_demoted": F.when(quick, F.col("_value")), "_quick": quick})
+    staged = staged.withColumn("_printed", F.when(F.col("_tagged").isNull(), printed))
     oldest = F.date_format(F.least(*file_times) if len(file_times) > 1 else file_times[0], "yyyy-MM-dd HH:mm:ss")
-    text = F.coalesce(tagged, printed, demoted, oldest)
-    source = (
-        F.when(tagged.isNotNull(), F.when(key.startswith("QuickTime"), "").otherwise(key))
-        .when(printed.isNotNull(), "OCR")
-        .when(demoted.isNotNull(), key)
+    origin = (
+        F.when(F.col("_tagged").isNotNull(), F.when(F.col("_quick"), "").otherwise(F.col("_tag")))
+        .when(F.col("_printed").isNotNull(), "OCR")
+        .when(F.col("_demoted").isNotNull(), F.col("_tag"))
         .otherwise("File system")
     )
-    return text, source
+    good = F.col("_failed") == ""
+    out = {
+        text: F.when(good, F.coalesce("_tagged", "_printed", "_demoted", oldest)).otherwise(""),
+        error: F.col("_failed"),
+        source: F.when(good, origin).otherwise(""),
+    }
+    return staged.withColumns(out).drop("_tag", "_raw", "_failed", "_value", "_tagged", "_demoted", "_quick", "_printed")
 
 
 def local_to_utc(text: Column, zone: str = "Europe/Prague") -> Column:

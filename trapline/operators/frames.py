@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.operators.ordered import next_over_all, row_number_over_all
+from trapline.operators.ordered import next_over_all, ordered_ranges, running_sum
 from trapline.operators.ranking import top_per_group
 
 
@@ -45,6 +45,8 @@ def clip_window(center: Column, frames: Column, size: int) -> tuple[Column, Colu
 def capture_trace(points: DataFrame, ts: str, key: str, value: str) -> DataFrame:
     """Points in time order with their step, the value of the next point, and the last two flagged."""
     order = [F.col(ts), F.col(key)]
-    ahead = next_over_all(points, order, F.col(value), "next")
-    total = points.agg(F.count(F.lit(1))).scalar()
-    return row_number_over_all(ahead, order, "step").withColumn("last_segment", F.col("step") > total - 2)
+    ranges = ordered_ranges(points, order)
+    ahead = next_over_all(ranges, order, F.col(value), "next", pinned=True)
+    total = ranges.agg(F.count(F.lit(1))).scalar()
+    numbered = running_sum(ahead, order, F.lit(1).cast("long"), "step", pinned=True)
+    return numbered.withColumn("last_segment", F.col("step") > total - 2)

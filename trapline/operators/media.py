@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapline.functions import arrays as A
 from trapline.functions import dictionaries as D
 from trapline.functions import text as X
 from trapline.functions.geometry import representative_threshold
@@ -196,3 +197,30 @@ def representative_candidates(media: DataFrame, detections: DataFrame, order: li
     rows = attach(known, counts, ["identity_id"], F.col("id"), weight="_media").join(first, F.col("id") == F.col("mediafile_id"), "left")
     threshold = representative_threshold(F.col("_chosen"), coefficient)
     return rows.select("id", threshold.alias("threshold"), (F.coalesce("_score", F.lit(0.0)) / 2 > threshold).alias("is_candidate"))
+
+
+def detection_observations(rows: DataFrame, mode: str = "all", threshold: float = 0.5) -> DataFrame:
+    """Observations from the detections that an import brings, with boxes as shares of the image.
+
+    ``rows`` has ``mediafile_id``, ``detections`` (see ``functions.arrays``), ``identity_id``,
+    ``taxon_id``, ``predicted_taxon_id`` and ``predicted_taxon_confidence``. With ``all`` every
+    detection is an observation, and only the first gets the identity. With ``reference`` each
+    file keeps one observation that every detection overwrites: the box is that of the last, the
+    orientation the last known one, and the identity stays. A weak orientation is unknown, ``left``
+    counts as front. Files without detections give nothing.
+    """
+    every = rows.filter(F.size("detections") > 0)
+    known = lambda d: A.orientation_code(d["orientation"], d["orientation_score"], threshold, left_as_front=True)
+    if mode == "all":
+        found = every.select("*", F.posexplode("detections").alias("position", "d")).withColumn("orientation", known(F.col("d")))
+        identity = F.when(F.col("position") == 0, F.col("identity_id"))
+    else:
+        codes = F.array_compact(F.transform("detections", known))
+        found = every.withColumns({"position": F.lit(0), "d": F.element_at("detections", -1), "orientation": F.try_element_at(codes, F.lit(-1))})
+        identity = F.col("identity_id")
+    box, height, width = F.col("d")["bbox"], F.col("d")["size"][0], F.col("d")["size"][1]
+    return found.select(
+        "mediafile_id", "position", identity.alias("identity_id"), "taxon_id", "predicted_taxon_id", "predicted_taxon_confidence",
+        ((box[0] + box[2]) / 2 / width).alias("bbox_x_center"), ((box[1] + box[3]) / 2 / height).alias("bbox_y_center"),
+        ((box[2] - box[0]) / width).alias("bbox_width"), ((box[3] - box[1]) / height).alias("bbox_height"), "orientation",
+    )

@@ -493,7 +493,9 @@ def register_export(named_media: DataFrame, source: str, key: str = "id") -> Dat
     """Rows for the national species register, numbered in key order (no projected coordinates)."""
     day = F.coalesce(F.date_format("captured_at", "yyyyMMdd"), F.lit(""))
     lat, lon = F.split_part("locality_location", F.lit(","), F.lit(1)), F.split_part("locality_location", F.lit(","), F.lit(2))
-    rows = row_number_over_all(named_media, [F.col(key)], "PORADI")
+    # only the keys are put in order and written, not the joined rows
+    numbers = row_number_over_all(named_media.select(F.col(key).alias("_key")), [F.col("_key")], "PORADI")
+    rows = named_media.join(numbers, F.col(key) == F.col("_key"))
     return rows.select(
         "PORADI", F.col(key).alias("ID_NALEZ"), F.col("taxon_name").alias("DRUH"), F.when(F.col("taxon_name").isNotNull(), "").alias("CESKE_JMENO"),
         F.col("owner_name").alias("AUTOR"), day.alias("DATUM_OD"), day.alias("DATUM_DO"), F.col("locality_name").alias("NAZ_LOKAL"),

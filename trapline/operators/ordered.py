@@ -79,18 +79,19 @@ def row_number_in_group(df: DataFrame, group: str, order_by: list[Column], out:
 
 
 def next_over_all(df: DataFrame, order_by: list[Column], value: Column, out: str, pinned: bool = False) -> DataFrame:
-    """``lead(value)`` over the whole frame."""
+    """``lead(value)`` over the whole frame; keeps the range column when ``pinned``."""
     ranges = df if pinned else ordered_ranges(df, order_by)
     window = _within(order_by)
     heads = ranges.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").select(RANGE, value.alias("_head"))
     following = heads.select(RANGE, F.lead("_head").over(Window.orderBy(RANGE)).alias("_next_head"))
-    return (
+    ahead = (
         ranges.withColumn("_last", F.lead(F.lit(1)).over(window).isNull())
         .withColumn(out, F.lead(value).over(window))
         .join(F.broadcast(following), RANGE)  # one row per shuffle partition
         .withColumn(out, F.when(F.col("_last"), F.col("_next_head")).otherwise(F.col(out)))
-        .drop("_last", "_next_head", RANGE)
+        .drop("_last", "_next_head")
     )
+    return ahead if pinned else ahead.drop(RANGE)
 
 
 def previous_over_all(df: DataFrame, order_by: list[Column], value: Column, out: str, pinned: bool = False) -> DataFrame:

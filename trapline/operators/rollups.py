@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from trapline.functions import dictionaries as D
 from trapline.functions import geometry as G
 from trapline.functions import text as X
 from trapline.operators.access import tenant_totals
+from trapline.session import pin
 
 EARLY_STATUS = ("C", "TAIP", "TAID")
 
@@ -70,7 +75,8 @@ def user_dashboard(users: DataFrame, owned_archives: DataFrame, owned_media: Dat
         F.count_if(target & F.col("identity_id").isNotNull()).alias("known_identity"),
     )
     missing_per_owner = missing.groupBy("owner_id").agg(count_rows().alias("missing_taxon"))
-    per_owner = per_owner.join(missing_per_owner, "owner_id", "left").fillna(0, ["missing_taxon"])
+    # one row per owner, read by every sum below
+    per_owner = pin(per_owner.join(missing_per_owner, "owner_id", "left").fillna(0, ["missing_taxon"]))
     own = per_owner.groupBy("owner_id").agg(F.sum("media").alias("media"), F.sum("known_taxon").alias("known_taxon"))
     archives = owned_archives.groupBy("owner_id").agg(count_rows().alias("archives"))
     tenant = tenant_totals(
@@ -209,14 +215,39 @@ def class_extremes(rows: DataFrame, label: str) -> DataFrame:
 def vector_per_group(rows: DataFrame, group: str, vector: str, how: str = "mean") -> DataFrame:
     """Mean (or sum) of vectors per group, component by component.
 
-    Components are averaged before they are put together again, so the rows gathered per group
-    are as many as the vector has components, however large the group is.
+    Every batch of rows is summed in its task, so what is gathered per group is one vector for
+    each of the batches that hold rows of it, at most one in some thousand rows of a large group.
+    Rows without a vector don't count. The vectors of a group are of one length.
     """
-    cells = rows.select(group, F.posexplode(F.col(vector).cast("array<double>")).alias("position", "value"))
-    reduce = F.avg("value") if how == "mean" else F.sum("value")
-    per_cell = cells.groupBy(group, "position").agg(reduce.alias("value"))
-    gathered = F.sort_array(F.collect_list(F.struct("position", "value")))
-    return per_cell.groupBy(group).agg(F.transform(gathered, lambda c: c["value"]).alias(vector))
+    kind = rows.select(group).schema[0].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, vectors = batch.column(0), batch.column(1)
+            lengths = np.diff(np.asarray(vectors.offsets))
+            code = np.asarray(keys.dictionary_encode(null_encoding="encode").indices)
+            values = np.asarray(vectors.flatten(), dtype=np.float64)
+            out = []
+            for size in np.unique(lengths):  # one in practice
+                at = np.flatnonzero(lengths == size)
+                order = at[np.argsort(code[at], kind="stable")]
+                first = np.flatnonzero(np.concatenate(([True], code[order][1:] != code[order][:-1])))
+                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))[order]
+                matrix = values[starts[:, None] + np.arange(size)] if size else np.empty((len(order), 0))
+                sums, counts = np.add.reduceat(matrix, first, axis=0), np.diff(np.append(first, len(order)))
+                out.append(pa.RecordBatch.from_arrays([keys.take(pa.array(order[first])), pa.array(list(sums), pa.list_(pa.float64())), pa.array(counts.astype(np.int64))], [group, "total", "n"]))
+            yield from out
+
+    usable = rows.select(group, F.col(vector).cast("array<double>").alias(vector)).filter(F.col(vector).isNotNull())
+    sums = usable.mapInArrow(partial, f"`{group}` {kind}, total array<double>, n long").groupBy(group).agg(F.collect_list("total").alias("_totals"), F.sum("n").alias("_n"))
+    start = F.transform(F.col("_totals")[0], lambda x: F.lit(0.0))
+    total = F.aggregate("_totals", start, lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    out = sums.select(group, total.alias(vector), "_n")
+    if how == "mean":
+        out = out.withColumn(vector, F.transform(vector, lambda x: x / F.col("_n")))
+    return out.drop("_n")
 
 
 def map_summary(points: DataFrame) -> DataFrame:

@@ -19,35 +19,42 @@ from trapline.session import pin
 LOCATION_ORDER = "location desc, nulls last"
 
 
-def _limit_us(limit_s: float) -> int:
-    return int(limit_s * 1_000_000)
+def _limit_us(limit_s: float | str) -> Column:
+    """The limit in microseconds: a number, or a column that has one value in each location."""
+    if isinstance(limit_s, str):
+        return F.coalesce((F.col(limit_s) * 1_000_000).cast("long"), F.lit(120_000_000))
+    return F.lit(int(limit_s * 1_000_000)).cast("long")
 
 
-def _cell(us: Column, limit_us: int) -> Column:
+def _cell(us: Column, limit_us: Column) -> Column:
     """Number of the time slot (also for times before 1970)."""
-    step = F.lit(max(limit_us, 1)).cast("long")  # with a limit of 0 a slot is one tick of the clock
+    step = F.greatest(limit_us, F.lit(1))  # with a limit of 0 a slot is one tick of the clock
     return F.floor((us - F.pmod(us, step)) / step)
 
 
-def _timed(shots: DataFrame, ts: str, limit_us: int) -> DataFrame:
+def _timed(shots: DataFrame, ts: str, limit_us: Column) -> DataFrame:
     us = F.unix_micros(F.col(ts))
     return shots.withColumn("_us", us).withColumn("_cell", _cell(F.col("_us"), limit_us))
 
 
-def sequence_cells(shots: DataFrame, location: str = "location", ts: str = "captured_at", limit_s: float = 120) -> DataFrame:
-    """One row per location and slot with its local sequence number, starting at 0 per location."""
+def sequence_cells(shots: DataFrame, location: str = "location", ts: str = "captured_at", limit_s: float | str = 120) -> DataFrame:
+    """One row per location and slot with its local sequence number, starting at 0 per location.
+
+    ``limit_s`` is a number or the name of a column, the limit of the location's workgroup; where
+    that is null, 120 seconds count.
+    """
     limit_us = _limit_us(limit_s)
     cells = (
         _timed(shots.filter(F.col(ts).isNotNull()), ts, limit_us)
         .groupBy(F.col(location), "_cell")
-        .agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n"), F.max(limit_us).alias("_limit"))
     )
     in_location = Window.partitionBy(location).orderBy("_cell")
     upto = in_location.rowsBetween(Window.unboundedPreceding, 0)
     gap = F.col("_first") - F.lag("_last").over(in_location)
     return (
         cells.withColumn("_before", F.lag("_last").over(in_location))
-        .withColumn("_break", F.coalesce((gap > limit_us).cast("long"), F.lit(0)))
+        .withColumn("_break", F.coalesce((gap > F.col("_limit")).cast("long"), F.lit(0)))
         .withColumn("_local", F.sum("_break").over(upto))
     )
 
@@ -69,7 +76,7 @@ def location_offsets(cells: DataFrame, location: str, limit_s: float) -> DataFra
 
 def number_sequences(
     shots: DataFrame, key: str = "media_id", location: str = "location", ts: str = "captured_at", annotated: str | None = None,
-    limit_s: float = 120, mode: str = "per_locality", out: str = "sequence_number", with_delta: bool = False,
+    limit_s: float | str = 120, mode: str = "per_locality", out: str = "sequence_number", with_delta: bool = False,
 ) -> DataFrame:
     """Add the sequence number, and with ``with_delta`` the seconds since the shot before.
 
@@ -77,7 +84,7 @@ def number_sequences(
     order (location descending, time ascending): a step back in time or a gap over the limit
     opens a sequence, a location that follows within the limit continues the one before. Shots
     without time have no number, except a leading one, which is 0 and whose first timed
-    successor then has none.
+    successor then has none. That mode numbers the frame of one archive, so its limit is a number.
     """
     limit_us = _limit_us(limit_s)
     cells = sequence_cells(shots, location, ts, limit_s).withColumn("_number", F.col("_local"))
@@ -133,7 +140,7 @@ def _deltas(timed: DataFrame, numbers: DataFrame, key: str, location: str, annot
     return joined.select(F.col(f"_lead.{key}").alias(key), gap.alias("_delta"), F.lit(True).alias("_has_delta"))
 
 
-def sequence_summary(shots: DataFrame, location: str = "location", ts: str = "captured_at", limit_s: float = 120) -> DataFrame:
+def sequence_summary(shots: DataFrame, location: str = "location", ts: str = "captured_at", limit_s: float | str = 120) -> DataFrame:
     """Size, first and last shot of every sequence; needs the cells only, not the rows."""
     cells = sequence_cells(shots, location, ts, limit_s)
     return cells.groupBy(location, F.col("_local").alias("sequence_number")).agg(

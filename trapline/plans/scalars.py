@@ -9,6 +9,7 @@ from trapline.functions import dictionaries as D
 from trapline.functions import geometry as G
 from trapline.functions import text as X
 from trapline.functions import timestamps as DT
+from trapline.operators import media
 from trapline.plans.registry import query
 
 def path():
@@ -297,12 +298,12 @@ OCR_SQL = """case media_id % 5
     f"""with x as (select *, {OCR_SQL} as ocr,
           concat(replace(substr(quicktime_create, 1, 10), ':', '-'), substr(quicktime_create, 11)) as quick,
           concat(replace(substr(exif_original, 1, 10), ':', '-'), substr(exif_original, 11)) as original from tagged)
-    select media_id,
-      case when quicktime_create is not null then quick
+    select media_id, case when media_id % 17 = 3 then 'cannot open' else '' end as read_error,
+      case when media_id % 17 = 3 then '' when quicktime_create is not null then quick
         when exif_create is not null and exif_create <> '0000-00-00 00:00:00' then concat(replace(substr(exif_create, 1, 10), ':', '-'), substr(exif_create, 11))
         when exif_create is null and exif_original is not null then original
         when ocr is not null then strftime(ocr, '%Y-%m-%d %H:%M:%S') else strftime(modified_at, '%Y-%m-%d %H:%M:%S') end as datetime,
-      case when quicktime_create is not null then ''
+      case when media_id % 17 = 3 or quicktime_create is not null then ''
         when exif_create is not null and exif_create <> '0000-00-00 00:00:00' then 'EXIF:CreateDate'
         when exif_create is null and exif_original is not null then 'EXIF:DateTimeOriginal'
         when ocr is not null then 'OCR' else 'File system' end as datetime_source
@@ -312,10 +313,9 @@ def _(t):
     """The blacklist is a parameter; here it also holds the all-zero time."""
     tagged = t.tagged.withColumn("tags", tag_map())
     blacklist = [*D.CAPTURE_TIME_BLACKLIST, "0000-00-00 00:00:00"]
-    text, source = DT.capture_time(
-        F.col("tags"), F.col("ocr_text"), [F.col("modified_at"), F.col("modified_at") + F.expr("interval 1 hour")], blacklist
-    )
-    return tagged.select("media_id", text.alias("datetime"), source.alias("datetime_source"))
+    broken = tagged.withColumn("broken", F.when(F.col("media_id") % 17 == 3, F.lit("cannot open")))
+    found = DT.capture_time(broken, "tags", "ocr_text", [F.col("modified_at"), F.col("modified_at") + F.expr("interval 1 hour")], blacklist, "broken")
+    return found.select("media_id", "datetime", "read_error", "datetime_source")
 
 
 @query("dt3_ocr_time", f"select media_id, epoch_us({OCR_SQL}) as ocr_us from tagged")
@@ -482,6 +482,40 @@ def _(t):
     )
 
 
+IMPORTED = """with d as (select *, row_number() over (partition by mediafile_id order by det_no, part_no, supp_no, x_max, y_max) - 1 as position, count(*) over (partition by mediafile_id) as n from detections),
+  c as (select *, case when orientation not in ('back', 'front', 'left', 'right', 'unknown') then null when orientation_score < 0.5 then 'U'
+      else case orientation when 'back' then 'B' when 'front' then 'F' when 'left' then 'F' when 'right' then 'R' else 'U' end end as code from d),
+  o as (select mediafile_id, position, n, code, (x_min + x_max) / 2e0 / img_w as bbox_x_center, (y_min + y_max) / 2e0 / img_h as bbox_y_center,
+      (x_max - x_min) / cast(img_w as double) as bbox_width, (y_max - y_min) / cast(img_h as double) as bbox_height, last_value(code ignore nulls) over (partition by mediafile_id order by position rows between unbounded preceding and unbounded following) as last_code from c)"""
+
+
+def imported_detections(t):
+    one = F.struct(
+        F.array(*[F.col(c).cast("double") for c in ("x_min", "y_min", "x_max", "y_max")]).alias("bbox"), F.array(F.col("img_h"), F.col("img_w")).alias("size"),
+        F.col("orientation").alias("orientation"), F.col("orientation_score").alias("orientation_score"),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("det_no", "part_no", "supp_no", one.alias("d"))))  # the few detections of a file
+    files = t.detections.groupBy("mediafile_id").agg(F.transform(ordered, lambda x: x["d"]).alias("detections"))
+    return files.withColumns({"identity_id": F.col("mediafile_id") % 7, "taxon_id": F.lit(3), "predicted_taxon_id": F.lit(4), "predicted_taxon_confidence": F.lit(0.5)})
+
+
+BOX = "bbox_x_center, bbox_y_center, bbox_width, bbox_height"
+
+
+@query(
+    "arr3_observations_of_detections",
+    f"""{IMPORTED} select 'all' as mode, mediafile_id, cast(position as int) as position, case when position = 0 then mediafile_id % 7 end as identity_id, {BOX}, code as orientation from o
+    union all select 'reference', mediafile_id, 0, mediafile_id % 7, {BOX}, last_code from o where position = n - 1""",
+)
+def _(t):
+    """Every detection as an observation, and the one observation that the last detection leaves."""
+    rows = imported_detections(t)
+    shown = lambda mode: media.detection_observations(rows, mode).select(
+        F.lit(mode).alias("mode"), "mediafile_id", "position", "identity_id", *BOX.split(", "), "orientation"
+    )
+    return shown("all").unionByName(shown("reference"))
+
+
 def detection_list():
     """0 to 3 detections per row, derived from one detector row."""
     one = lambda i: F.struct(

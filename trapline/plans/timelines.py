@@ -44,6 +44,20 @@ def _(t):
     return sequences.number_sequences(t.shots, annotated="annotated", mode="reference").select("media_id", "sequence_number")
 
 
+@query(
+    "win1_sequences_of_workgroups",
+    """with s as (select media_id, concat(cast(workgroup_id as varchar), '/', location) as place, workgroup_id % 3 * 3600 as lim, epoch_us(captured_at) as us from shots where captured_at is not null),
+      g as (select *, us - lag(us) over (partition by place order by us, media_id) as gap from s)
+    select media_id, cast(sum(case when gap > lim * 1000000 then 1 else 0 end) over (partition by place order by us, media_id rows unbounded preceding) as bigint) as sequence_number from g""",
+)
+def _(t):
+    """Every workgroup has a limit of its own, one of them 0."""
+    rows = t.shots.filter("captured_at is not null").withColumns(
+        {"location": F.concat(F.col("workgroup_id").cast("string"), F.lit("/"), F.col("location")), "limit": F.col("workgroup_id") % 3 * 3600}
+    )
+    return sequences.number_sequences(rows, limit_s="limit").select("media_id", "sequence_number")
+
+
 @query(
     "win2_delta_to_previous",
     f"{REFERENCE.format(src='shots')} select s.media_id, n.gap / 1e6 as delta_seconds from shots s left join n using (media_id)",
