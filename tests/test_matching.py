@@ -42,6 +42,27 @@ def test_similar_names_are_complete(spark, seed):
     assert {(r["from_id"], r["to_id"], r["distance"]) for r in got} == expected and len(got) == len(expected)
 
 
+@pytest.mark.parametrize("block", [4_096, 7])
+def test_similar_texts_in_blocks(spark, block):
+    rng = random.Random(11)
+    syllables = ["ka", "lo", "mi", "ren", "stu", "vor", "ž"]
+    names = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) + str(rng.randint(0, 30)) for _ in range(120)})
+    texts = spark.createDataFrame([(i % 2, i, n) for i, n in enumerate(names)] + [(0, 900, ""), (0, 901, None)], "tenant int, id long, name string")
+    got = {(r["tenant"], r["id_1"], r["id_2"], r["distance"]) for r in fuzzy.similar_texts(texts, "tenant", "id", "name", block).collect()}
+    expected = {
+        (i % 2, i, j, d) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and i % 2 == j % 2 and (d := edit_distance(a, b)) < (len(a) + len(b)) / 4
+    }
+    assert got == expected
+
+
+def test_candidates_are_fewer_than_pairs(spark):
+    rng = random.Random(12)
+    names = sorted({"".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(6)) + str(rng.randint(0, 999)) for _ in range(2_000)})
+    texts = spark.createDataFrame([(0, i, n) for i, n in enumerate(names)], "tenant int, id long, name string")
+    met = fuzzy.candidate_pairs(texts, "tenant", "id", "name").count()
+    assert met < 0.5 * len(names) * (len(names) - 1) / 2
+
+
 def test_copies_accents_and_codes(spark):
     rows = [
         (1, "Háj", 0, 5, "B1"), (2, "Haj", 0, 9, None), (3, "Haj", 0, 1, None), (4, "Zcela jiny nazev", 0, 1, "B1"),
