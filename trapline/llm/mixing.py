@@ -133,7 +133,8 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     pieces = rows.filter("size > 0").select("key", "size", "source_no", "start", "end", F.explode(F.sequence(per_block(first), per_block(last))).alias("block"))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     pieces = pieces.select("*", (begin - F.col("start")).alias("first_word"), (F.least(F.col("end"), (F.col("block") + 1) * block_words) - begin).alias("words"))
-    return rows, pieces.join(slots, ["source_no", "block"]).drop("block")
+    # the planner takes the slots for as few rows as were drawn, and would broadcast them all
+    return rows, pieces.join(slots.hint("merge"), ["source_no", "block"]).drop("block")
 
 
 def mix_documents(documents: DataFrame, **parameters) -> DataFrame:
