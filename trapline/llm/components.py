@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trapline.llm.bitmaps import close_pairs
 from trapline.llm.tables import kept
 
 
@@ -20,36 +21,37 @@ def components(links: DataFrame) -> DataFrame:
     with the logarithm of the longest chain. No links: no rows.
     """
     links = kept(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    nodes = None
+    nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    first = True
     while not links.isEmpty():
         ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         moves = kept(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "moves")
-        if nodes is None:
-            nodes = moves.select("node", F.col("to").alias("component"))
+        if first:
+            nodes, first = moves.select("node", F.col("to").alias("component")), False
         else:
             hop = moves.select(F.col("node").alias("component"), "to")
-            nodes = kept(nodes.join(hop, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "nodes")
-        first, second = (moves.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
-        moved = kept(links.join(first, "a").select("b", "a_to"), "moved").join(second, "b").filter("a_to <> b_to")
+            nodes = nodes.join(hop, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        own, other = (moves.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
+        moved = links.join(own, "a").join(other, "b").filter("a_to <> b_to")
         links = kept(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "links")
-    if nodes is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes
+    return kept(nodes, "components")
 
 
-def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3, known: DataFrame | None = None) -> DataFrame:
+def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, known: DataFrame | None = None) -> DataFrame:
     """Components of the graph of all verified pairs that share a bucket, as ``node`` and ``component``.
 
     ``buckets`` has ``key`` and ``node`` (long); ``verify`` takes distinct pairs (``a``, ``b``) and
-    returns those that are links; if it has ``prepare``, that gets the nodes of all buckets of
-    more than one node first. ``known`` are links (``a``, ``b``) to begin with. Nodes without a
+    returns those that are links, of at least ``percent`` % of common members; ``verify.sketches()``
+    gives the sizes and bitmaps of the nodes' sets, and ``verify.prepare``, if there, gets the nodes
+    of all buckets of more than one node first. ``known`` are links (``a``, ``b``) to begin with. Nodes without a
     link are left out.
 
     Pairs inside a component needn't be looked at. In each of ``rounds`` rounds the smallest node
     of a bucket is compared with all of its nodes that aren't yet in its component, and leaves the
     bucket with all its pairs settled; buckets whose nodes are all in one component are finished.
     A group of n near copies costs about n comparisons that way. What is left after the rounds
-    (buckets of nodes that share a key but no link) is compared pair by pair, so no link is lost.
+    (nodes that share a key but no link) is compared by bitmaps inside tasks, and what these can't
+    rule out is verified, so no link is lost.
     """
     links, found = known, None
     rows = buckets.select("key", "node").withColumn("component", F.col("node"))
@@ -65,8 +67,7 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds
         if step < rounds:
             pairs = open_rows.filter("hub_component <> component").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         else:
-            left, right = (open_rows.select("key", F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab")
-            pairs = left.join(right, "key").filter("a < b and a_in <> b_in").select("a", "b")
+            pairs = close_pairs(open_rows, verify.sketches(), percent)
         new = kept(verify(kept(pairs.distinct(), "pairs")).select("a", "b"), "verified")
         links = new if links is None else links.union(new)
         found = components(links)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm import tokens
+from trapline.llm.bitmaps import bitmap, enough, most_common
 from trapline.llm.components import connect
 from trapline.llm.tables import kept, small_batches
 
@@ -31,6 +32,8 @@ PERCENT = 75
 FREQUENT_PARTS = 4_000
 # A task counts its tokens after each so many of them, and reports those seen this often.
 COUNT_EVERY, SEEN = 2_000_000, 3
+# Ids of documents to compare that are broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
 
 SKETCH = "doc_id long, n long, key binary, bitmap binary, token long, seen long"
 
@@ -51,29 +54,6 @@ def set_key(shingles: np.ndarray) -> bytes:
     return (sums[0] | sums[1] << 64).to_bytes(16, "little")
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parities of the set's hashes in at least two cells per token (a power of two, 64 at least)."""
-    cells = 64
-    while cells < 2 * len(shingles):
-        cells *= 2
-    parity = np.bincount((shingles & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
-
-
-def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
-    """An upper bound of the tokens that two sets of n and m tokens share, from their bitmaps."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return (n + m - int(np.bitwise_count(x ^ y).sum())) // 2
-
-
-def enough(common: int, n: int, m: int, percent: int = PERCENT) -> bool:
-    return 100 * common >= percent * (n + m - common)
-
-
 def band_limits(largest: int, percent: int = PERCENT) -> list[int]:
     """Smallest sizes of the bands: sets that can link are in the same band or in neighbouring ones."""
     limits = [1]
@@ -158,9 +138,8 @@ def link_components(documents: DataFrame, words: int = WORDS, percent: int = PER
     rows that share a doc_id are one document. Whole texts are compared, and links are exact up
     to equal 64-bit hashes of different shingles within one pair.
 
-    Shuffled are the index keys (about a quarter of the tokens, 16 bytes each), bitmaps of the
-    pairs that meet, the texts of documents that share a key, and the tokens of the pairs that the
-    bitmaps leave. The frequent tokens are broadcast: see ``FREQUENT_PARTS`` for their bound.
+    Shuffled are the index keys (about a quarter of the tokens, 16 bytes each), the bitmaps, and
+    the tokens of the pairs that these leave. The frequent tokens are broadcast: see ``FREQUENT_PARTS`` for their bound.
     """
     spark = documents.sparkSession
     rows = small_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -187,7 +166,7 @@ def link_components(documents: DataFrame, words: int = WORDS, percent: int = PER
     # texts with equal sets are linked by their keys alone
     classes = kept(info.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least <> most"), "classes")
     copies = info.select("doc_id", "key").join(classes, "key").filter("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    found = connect(buckets, Verifier(rows, info, words, percent), known=copies)
+    found = connect(buckets, Verifier(rows, info, words, percent), percent, known=copies)
     out = info.select("doc_id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -198,11 +177,9 @@ class Verifier:
     def __init__(self, rows: DataFrame, info: DataFrame, words: int, percent: int):
         self.rows, self.words, self.percent = rows, words, percent
         self.info = info.select("doc_id", "n", "key", "bitmap").filter("n > 0 and doc_id is not null")
-        self.sets: DataFrame | None = None
 
-    def prepare(self, nodes: DataFrame) -> None:
-        """Keep the tokens of all documents in ``nodes`` (one column, ``doc_id``)."""
-        self.info = kept(self.info.join(nodes, "doc_id", "left_semi"), "met")
+    def tokens(self, pairs: DataFrame) -> DataFrame:
+        """The tokens of the documents in ``pairs``, from their texts."""
         words = self.words
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +187,13 @@ class Verifier:
                 found = [s.tobytes() for _, s in documents_of(batch, words)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "tokens"])
 
-        self.sets = kept(self.rows.join(nodes, "doc_id", "left_semi").mapInArrow(read, "doc_id long, tokens binary"), "tokens")
+        ids = kept(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "compared")
+        if ids.count() <= BROADCAST_IDS:  # else the texts are shuffled
+            ids = F.broadcast(ids)
+        return kept(self.rows.join(ids, "doc_id", "left_semi").mapInArrow(read, "doc_id long, tokens binary"), "tokens")
+
+    def sketches(self) -> DataFrame:
+        return self.info.select(F.col("doc_id").alias("node"), "n", "bitmap")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -220,7 +203,7 @@ class Verifier:
             for batch in batches:
                 cols = [batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_bitmap", "b_bitmap", "a_key", "b_key")]
                 same = [k == l for k, l in zip(*cols[4:], strict=True)]
-                keep = [s or (enough(min(n, m), n, m, percent) and enough(most_common(x, y, n, m), n, m, percent)) for s, n, m, x, y in zip(same, *cols[:4], strict=True)]
+                keep = [s or enough(most_common(x, y, n, m), n, m, percent) for s, n, m, x, y in zip(same, *cols[:4], strict=True)]
                 out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(same, pa.bool_())], ["a", "b", "same"])
                 yield out.filter(pa.array(keep, pa.bool_()))
 
@@ -235,5 +218,7 @@ class Verifier:
 
         sketched = pairs.join(of(self.info, "a"), "a").join(of(self.info, "b"), "b").select("a", "b", "a_n", "b_n", "a_bitmap", "b_bitmap", "a_key", "b_key")
         left = kept(sketched.mapInArrow(possible, "a long, b long, same boolean"), "possible")
-        compare = left.filter("not same").select("a", "b").distinct().join(of(self.sets, "a"), "a").join(of(self.sets, "b"), "b")
+        compare = left.filter("not same").select("a", "b").distinct()
+        sets = self.tokens(compare)
+        compare = compare.join(of(sets, "a"), "a").join(of(sets, "b"), "b")
         return left.filter("same").select("a", "b").union(compare.select("a", "b", "a_tokens", "b_tokens").mapInArrow(linked, "a long, b long"))

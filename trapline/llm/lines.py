@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm import tokens
+from trapline.llm.bitmaps import bitmap, enough, most_common
 from trapline.llm.components import connect
 from trapline.llm.tables import kept, small_batches
 
@@ -20,6 +21,8 @@ ROWS, BANDS = 4, 10
 
 _ODD = (tokens.mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _NEWLINE = 10
+# Characters that are hashed at once, and ids of lines that are broadcast at most (8 bytes each).
+PIECE_CHARS, BROADCAST_IDS = 100_000, 1_000_000
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,17 +67,42 @@ def shingles(line: bytes, size: int = SHINGLE) -> np.ndarray:
     return tokens.mix(total)
 
 
+def packed_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the shingles of all lines (as ``shingles``), and where those of each line start and end."""
+    chars = np.frombuffer(b"\n".join(lines).decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.append(np.flatnonzero(chars == _NEWLINE), len(chars))
+    starts = np.append(0, ends[:-1] + 1)
+    total = np.zeros(max(len(chars) - SHINGLE + 1, 0), np.uint64)
+    plus = chars + np.uint64(1)
+    for k, odd in enumerate(tokens.powers(0x9E3779B97F4A7C15, SHINGLE + 1)[1:]):
+        total += plus[k : len(total) + k] * odd
+    short = np.flatnonzero(ends - starts < SHINGLE)
+    whole = [shingles(lines[i]) for i in short]  # lines of one shingle go behind the others
+    first, last = starts, ends - SHINGLE + 1
+    first[short], last[short] = len(total) + np.arange(len(short)), len(total) + np.arange(len(short)) + 1
+    return np.concatenate([tokens.mix(total), *whole]), first, last
+
+
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """Lines x bands: hashes of the band number and the MinHash values in the band. No line is empty."""
-    found = [shingles(line) for line in lines]
-    first = np.cumsum([0] + [len(f) for f in found[:-1]])
-    values = (np.concatenate(found) >> np.uint64(32)).astype(np.uint32)
     keys = np.empty((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for odd in _ODD[band * ROWS : (band + 1) * ROWS]:
-            key = tokens.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(values * odd, first))
-        keys[:, band] = key
+    sizes = np.cumsum([len(line) + 1 for line in lines])
+    i = 0
+    while i < len(lines):  # pieces that stay in the processor's cache
+        j = max(i + 1, int(np.searchsorted(sizes, sizes[i] + PIECE_CHARS)))
+        found, first, last = packed_shingles(lines[i:j])
+        values = np.append((found >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+        cuts = np.stack((first, last), 1).ravel()
+        # the ends of lines are cut out as segments of their own
+        order = np.argsort(first, kind="stable")
+        cuts = cuts.reshape(-1, 2)[order].ravel()
+        for band in range(BANDS):
+            key = np.full(j - i, band + 1, np.uint64)
+            for odd in _ODD[band * ROWS : (band + 1) * ROWS]:
+                least = np.minimum.reduceat(values * odd, cuts)[::2]
+                key = tokens.mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            keys[i + order, band] = key
+        i = j
     return keys
 
 
@@ -101,28 +129,43 @@ class Verifier:
         self.rows, self.percent, self.lines = rows, percent, None
 
     def prepare(self, nodes: DataFrame) -> None:
+        """Keep the lines of ``nodes`` (one column, ``doc_id``) with the sizes and bitmaps of their sets."""
+
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, lines in _fresh(batches):
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "line": pa.array(lines, pa.binary())})
 
-        lines = self.rows.select("text").mapInArrow(read, "id long, line binary").join(nodes.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-        self.lines = kept(lines.dropDuplicates(["id"]), "lines")
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [np.unique(shingles(line)) for line in batch.column("line").to_pylist()]
+                columns = [batch.column("id"), batch.column("line"), pa.array(map(len, sets), pa.int64()), pa.array(map(bitmap, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "line", "n", "bitmap"])
+
+        ids = kept(nodes.withColumnRenamed("doc_id", "id"), "met")
+        if ids.count() <= BROADCAST_IDS:  # else the lines are shuffled
+            ids = F.broadcast(ids)
+        met = self.rows.select("text").mapInArrow(read, "id long, line binary").join(ids, "id", "left_semi")
+        self.lines = kept(met.dropDuplicates(["id"]).mapInArrow(sketch, "id long, line binary, n long, bitmap binary"), "lines")
+
+    def sketches(self) -> DataFrame:
+        return self.lines.select(F.col("id").alias("node"), "n", "bitmap")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
-        of = lambda c: self.lines.select(F.col("id").alias(c), F.col("line").alias(f"{c}_line"))
+        of = lambda c: self.lines.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("line", "n", "bitmap")])
+        names = [f"{c}_{x}" for x in ("n", "bitmap", "line") for c in "ab"]
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = []
-                for x, y in zip(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), strict=True):
-                    x, y = np.unique(shingles(x)), np.unique(shingles(y))
-                    both = np.sort(np.concatenate((x, y)))
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                for n, m, p, q, x, y in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                    if possible := enough(most_common(p, q, n, m), n, m, percent):
+                        both = np.sort(np.concatenate((np.unique(shingles(x)), np.unique(shingles(y)))))
+                        possible = enough(int((both[1:] == both[:-1]).sum()), n, m, percent)
+                    keep.append(possible)
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_line", "b_line").mapInArrow(alike, "a long, b long")
+        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *names).mapInArrow(alike, "a long, b long")
 
 
 def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -156,7 +199,7 @@ def repeated_lines(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"key": keys.ravel().view(np.int64), "node": np.repeat(np.array(ids, np.int64), BANDS)})
 
     places = kept(rows.mapInArrow(number, "doc_id long, line_no int, id long"), "places")
-    found = connect(rows.select("text").mapInArrow(index, "key long, node long"), Verifier(rows, percent))
+    found = connect(rows.select("text").mapInArrow(index, "key long, node long"), Verifier(rows, percent), percent)
     firsts = places.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = kept(firsts.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("component")), "firsts")
     groups = firsts.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("n")).filter("n > 1")

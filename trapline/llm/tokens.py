@@ -74,7 +74,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.empty(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-    back = powers(_INVERSE, len(data))
+    back = powers(_INVERSE, len(data) + 1)  # an empty range may start behind the last byte
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
