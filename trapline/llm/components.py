@@ -37,6 +37,15 @@ def components(links: DataFrame) -> DataFrame:
     return kept(nodes, "components")
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """One bucket of all those that hold the same nodes (by two 64-bit hashes of the nodes together): they tell the same."""
+    bucket = Window.partitionBy("key")
+    marked = rows.withColumns({f"_m{i}": F.bit_xor(F.xxhash64(F.lit(i), "node")).over(bucket) for i in (1, 2)})
+    marked = kept(marked, "all_buckets")
+    one = marked.filter("node = hub").groupBy("_m1", "_m2").agg(F.min("key").alias("key"))
+    return marked.drop("_m1", "_m2").join(one.select("key"), "key", "left_semi")
+
+
 def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, known: DataFrame | None = None) -> DataFrame:
     """Components of the graph of all verified pairs that share a bucket, as ``node`` and ``component``.
 
@@ -59,7 +68,10 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
         bucket = Window.partitionBy("key")
         hub = F.min(F.struct("node", "component")).over(bucket)
         open_rows = rows.withColumns({"hub": hub, "lo": F.min("component").over(bucket), "hi": F.max("component").over(bucket)}).filter("lo <> hi")
-        open_rows = kept(open_rows.select("key", "node", "component", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")), "buckets")
+        columns = ["key", "node", "component", F.col("hub.node").alias("hub"), F.col("hub.component").alias("hub_component")]
+        if step == 0:
+            open_rows = _different(open_rows.select(*columns))
+        open_rows = kept(open_rows.select(*columns) if step else open_rows, "buckets")
         if open_rows.isEmpty():
             break
         if step == 0 and hasattr(verify, "prepare"):
