@@ -216,7 +216,11 @@ class Verifier:
                     keep.append(enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        sketched = pairs.join(of(self.info, "a"), "a").join(of(self.info, "b"), "b").select("a", "b", "a_n", "b_n", "a_bitmap", "b_bitmap", "a_key", "b_key")
+        # sizes first: they are narrow, and rule out most pairs that only share a passage
+        sizes = self.info.select("doc_id", "n").distinct()
+        alike = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+        near = pairs.join(of(sizes, "a"), "a").join(of(sizes, "b"), "b").filter(alike).select("a", "b").distinct()
+        sketched = near.join(of(self.info, "a"), "a").join(of(self.info, "b"), "b").select("a", "b", "a_n", "b_n", "a_bitmap", "b_bitmap", "a_key", "b_key")
         left = kept(sketched.mapInArrow(possible, "a long, b long, same boolean"), "possible")
         compare = left.filter("not same").select("a", "b").distinct()
         sets = self.tokens(compare)
