@@ -77,6 +77,16 @@ def test_connect_compares_a_large_group_by_its_hubs(spark):
     assert {r["component"] for r in got.collect()} == {0} and len(verify.pairs) == 399
 
 
+@pytest.mark.parametrize("times", [2, 3, 4])
+def test_connect_tells_buckets_of_repeated_nodes_apart(spark, times):
+    groups = [(0, 1), (0, 2), (3, 4), (5, 6, 7), (8, 9)]
+    repeated = [(k, n) for k, group in enumerate(groups) for n in group for _ in range(times)]
+    mixed = [(k, n) for k, group in enumerate(groups) for i, n in enumerate(group) for _ in range(times if i else 1)]
+    for rows in (repeated, mixed):
+        got = components.connect(spark.createDataFrame(rows, "key long, node long").repartition(4), Asked(spark, range(10)), 75)
+        assert {r["node"]: r["component"] for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5, 7: 5, 8: 8, 9: 8}
+
+
 @pytest.mark.parametrize("block", [2_048, 5])
 def test_close_pairs_against_all_pairs(spark, block):
     rng = np.random.default_rng(3)
@@ -232,6 +242,18 @@ def test_lines_against_all_pairs(spark):
     assert len(got & expected) >= 0.97 * len(expected) and got <= expected | {g for g in got if g[:2] in {e[:2] for e in expected}}
 
 
+def test_lines_that_stand_in_two_tasks(spark):
+    rng = random.Random(12)
+    line = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100)).strip()
+    texts = []
+    for _ in range(20):
+        base = "s" + line() + "e"
+        texts += [base, base[:-1] + "!"]
+    rows = list(enumerate(texts * 2))
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert {tuple(r) for r in lines.repeated_lines(docs).collect()} == brute_lines(rows)
+
+
 def test_lines_of_odd_rows(spark):
     long = "x" * 200_000
     rows = [(3, None), (2, ""), (1, "\n\n"), (4, "same line\nsame line"), (5, " SAME line "), (5, " SAME line "), (None, "same line"), (6, long), (7, long + "\n" + "ab"), (8, "ab")]

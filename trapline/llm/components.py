@@ -38,18 +38,27 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _different(rows: DataFrame) -> DataFrame:
-    """One bucket of all those that hold the same nodes (by two 64-bit hashes of the nodes together): they tell the same."""
+    """One bucket of all those that hold the same nodes (by their number and two 64-bit hashes of the nodes together): they tell the same.
+
+    A node must stand once in a bucket, else its hashes cancel.
+    """
     bucket = Window.partitionBy("key")
-    marked = rows.withColumns({f"_m{i}": F.bit_xor(F.xxhash64(F.lit(i), "node")).over(bucket) for i in (1, 2)})
-    marked = kept(marked, "all_buckets")
-    one = marked.filter("node = hub").groupBy("_m1", "_m2").agg(F.min("key").alias("key"))
-    return marked.drop("_m1", "_m2").join(one.select("key"), "key", "left_semi")
+    marks = {f"_m{i}": F.bit_xor(F.xxhash64(F.lit(i), "node")).over(bucket) for i in (1, 2)}
+    marked = kept(rows.withColumns(marks | {"_n": F.count(F.lit(1)).over(bucket)}), "all_buckets")
+    one = marked.filter("node = hub").groupBy("_n", "_m1", "_m2").agg(F.min("key").alias("key"))
+    return marked.drop("_n", "_m1", "_m2").join(one.select("key"), "key", "left_semi")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Each node of a key once; tasks drop copies only among their own rows. Needs no shuffle besides the one by ``key``."""
+    before = F.lag("node").over(Window.partitionBy("key").orderBy("node"))
+    return rows.withColumn("_before", before).filter("_before is null or _before <> node").drop("_before")
 
 
 def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2, known: DataFrame | None = None) -> DataFrame:
     """Components of the graph of all verified pairs that share a bucket, as ``node`` and ``component``.
 
-    ``buckets`` has ``key`` and ``node`` (long); ``verify`` takes distinct pairs (``a``, ``b``) and
+    ``buckets`` has ``key`` and ``node`` (long), rows may repeat; ``verify`` takes distinct pairs (``a``, ``b``) and
     returns those that are links, of at least ``percent`` % of common members; ``verify.sketches()``
     gives the sizes and bitmaps of the nodes' sets, and ``verify.prepare``, if there, gets the nodes
     of all buckets of more than one node first. ``known`` are links (``a``, ``b``) to begin with. Nodes without a
@@ -63,7 +72,7 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
     rule out is verified, so no link is lost.
     """
     links, found = known, None
-    rows = buckets.select("key", "node").withColumn("component", F.col("node"))
+    rows = _once(buckets.select("key", "node")).withColumn("component", F.col("node"))
     for step in range(rounds + 1):
         bucket = Window.partitionBy("key")
         hub = F.min(F.struct("node", "component")).over(bucket)
