@@ -192,6 +192,14 @@ def test_jaccard_join_of_odd_rows(spark):
     assert jaccard.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_jaccard_join_of_rows_repeated_over_partitions(spark):
+    rows = corpus(4, 60)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows * 2, 2), "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.link_components(docs).select("doc_id", "n_shingles", "component_id").collect())
+    expected = brute_components(rows)
+    assert got == sorted([(i, len(shingle_set(t)), expected[i]) for i, t in rows] * 2)
+
+
 def test_many_ids_to_compare_are_joined_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     rows = corpus(3, 40)
