@@ -235,6 +235,24 @@ def test_scores_against_one_text_at_a_time(spark):
         assert (got[i]["per_token"] is None) == (len(ids) == 0)
 
 
+def test_every_word_has_a_probability_of_its_own(spark):
+    rng = random.Random(6)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(known[: 1 + int(400 * rng.random() ** 2)]) for _ in range(40)) for _ in range(200)] + [f"{w}a" for w in known[:50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = pseudo_likelihood.lexicon(docs, 20, 7)
+    assert len(words.numbers) > 300 and words.size == 27
+    for symbol in range(1, 28):  # the known words of a symbol share its probability
+        assert not (words.symbols == symbol).any() or np.exp(words.within[words.symbols == symbol]).sum() == pytest.approx(1)
+    spell = words.spelling.log_probabilities
+    assert spell(["abcde"])[0] > spell(["a?cde"])[0] > spell(["\u4e00?\u4e01??"])[0] and np.isfinite(spell(["\0", "\U0010ffff" * 1000])).all()
+    assert spell(["ab", "abc", "ab"]) == pytest.approx([spell(["ab"])[0], spell(["abc"])[0], spell(["ab"])[0]])
+    frame = [f"{known[0]} {w} {known[1]}" for w in (*known[300:310], "aaaaaaaa", "zq?zq", "hgfedcba")]
+    got = pseudo_likelihood.score(spark.createDataFrame(list(enumerate(frame)), "doc_id long, text string"), pseudo_likelihood.train(docs, words), words).collect()
+    by_id = {r["doc_id"]: r["log_probability"] for r in got}
+    assert len({round(v, 6) for i, v in by_id.items() if i >= 10}) == 3 and by_id[11] < by_id[10] < max(by_id[i] for i in range(10))
+
+
 def test_training_raises_the_likelihood(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     words = pseudo_likelihood.vocabulary(docs)
