@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import decontaminate, graph, jaccard, language, lines, mixing, pseudo_likelihood, shards, toxicity, urls
+from trapline.llm import alignment, decontaminate, graph, jaccard, language, lines, mixing, pseudo_likelihood, shards, toxicity, urls
 from trapline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,9 @@ def _(spark, read):
 def _(spark, read):
     """Every line that repeats an earlier one, nearly or wholly."""
     return lines.repeated_lines(read("documents").select("doc_id", "text"))
+
+
+@query("op12_token_alignment")
+def _(spark, read):
+    """Every document's alignment of two tokenizers, with the corpus-wide counts of its linked token pairs."""
+    return alignment.align_documents(read("documents").select("doc_id", "text"))
