@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_": ["doc_id", "held_out", "score", "predicted"],
     "op10_": ["doc_id", "n_shingles", "component_id"],
+    "op13_": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op12_": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 

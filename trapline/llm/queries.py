@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import alignment, decontaminate, graph, jaccard, language, lines, mixing, pseudo_likelihood, shards, toxicity, urls
+from trapline.llm import alignment, decontaminate, graph, jaccard, language, lines, mixing, phrases, pseudo_likelihood, shards, toxicity, urls
 from trapline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,26 @@ def _(spark, read):
 def _(spark, read):
     """Every document's alignment of two tokenizers, with the corpus-wide counts of its linked token pairs."""
     return alignment.align_documents(read("documents").select("doc_id", "text"))
+
+
+_PHRASE_SQL = """
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+words as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+runs as (select lang, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) as p from words),
+f as (select lang, p, count(*) as a from runs group by lang, p),
+cuts as (select lang, p, a, unnest(range(1, len(p))) as k from f where len(p) > 1 and a >= 10),
+parts as (select c.lang, c.p, c.a, k, x.a as l, y.a as r, cast(1000000 * c.a::hugeint * c.a::hugeint // (x.a::hugeint * y.a::hugeint) as bigint) as score
+    from cuts c join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:]),
+lowest as (select * from parts qualify row_number() over (partition by lang, p order by score, k) = 1),
+longer as (select lang, q, max(a) as most from (select lang, a, unnest([p[1:2], p[2:3]]) as q from lowest where len(p) = 3) group by lang, q),
+alone as (select lowest.*, array_to_string(p, ' ') as phrase from lowest left join longer on longer.lang = lowest.lang and q = p where most is null or 100 * most < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from alone)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000"""
+
+
+@query("op13_phrase_collocations", _PHRASE_SQL)
+def _(spark, read):
+    """Each language's best phrases of two or three words."""
+    return phrases.collocations(read("documents").select("text", "lang"))
