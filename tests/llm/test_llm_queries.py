@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_": ["doc_id", "held_out", "score", "predicted"],
     "op10_": ["doc_id", "n_shingles", "component_id"],
     "op13_": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op11_": ["page_id", "url", "text", "n_chars"],
     "op12_": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import alignment, decontaminate, graph, jaccard, language, lines, mixing, phrases, pseudo_likelihood, shards, toxicity, urls
+from trapline.llm import alignment, decontaminate, graph, jaccard, language, lines, mixing, page_text, phrases, pseudo_likelihood, shards, toxicity, urls
 from trapline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,12 @@ def _(spark, read):
     return lines.repeated_lines(read("documents").select("doc_id", "text"))
 
 
+@query("op11_page_text")
+def _(spark, read):
+    """The main text of every page."""
+    return page_text.main_text(read("pages").select("page_id", "url", "html"))
+
+
 @query("op12_token_alignment")
 def _(spark, read):
     """Every document's alignment of two tokenizers, with the corpus-wide counts of its linked token pairs."""
