@@ -11,6 +11,7 @@ indexed by the hash, in a tree; the last pass aligns the documents again and loo
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import os
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ from trapline.llm.perfect_hash import SHARD_KEYS, Counts, PerfectHash, shard_of
 from trapline.llm.tables import kept
 
 TOKENIZERS = "/opt/tokenizers"
-# Bytes of text that a task aligns at once, segments tokenized at once, and different pairs summed before they are given out.
+# Bytes of text that a task aligns at once, segments aligned at once, and different pairs summed before they are given out.
 PIECE_BYTES, AT_ONCE, HELD_PAIRS = 8_000_000, 20_000, 1_000_000
+# Segments that the first tokenizer reads as one text.
+JOINED = 256
 # Pairs whose counts a task holds at once (16 bytes each and the hash); more pairs take more passes.
 BLOCK_PAIRS = 4_000_000
 # Rows of sums that go into one dense vector, and vectors that are added in one step.
@@ -74,12 +77,28 @@ class Aligner:
         if any(space in p.lstrip(space) for p in pieces):
             raise ValueError("a piece of the second tokenizer reaches over a space")
 
-    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of both tokenizers for segments that start with a space, and the number of each segment's ids."""
-        a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+    def encode(self, segments: list[str], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers for segments that start with a space (their bytes are ``data``), and the number of each segment's ids.
+
+        The first tokenizer reads many segments at once: its tokens show by their bytes whose they are.
+        """
+        open_ = np.fromiter((s[-1].isspace() for s in segments), bool, len(segments))  # cut elsewhere, so not joined with the next
+        number = np.arange(len(segments))
+        cuts = [0, *np.flatnonzero(open_ | np.concatenate((open_[1:], [True])) | (number % JOINED == JOINED - 1)) + 1]
+        units = ["".join(segments[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        a = self._flat([e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)])
+        read, ends = self.spelled("a", a)
+        if np.array_equal(read, data):
+            n_a = np.diff(np.searchsorted(ends, offsets, "right"))
+        else:
+            single = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+            a, n_a = self._flat(single), np.fromiter(map(len, single), np.int64, len(single))
         b = [ids or [self.space] for ids in self.b.encode([s[1:] for s in segments], num_threads=1)]  # it adds the space
-        flat = lambda lists: np.fromiter((i for ids in lists for i in ids), np.int64)
-        return flat(a), np.fromiter(map(len, a), np.int64, len(a)), flat(b), np.fromiter(map(len, b), np.int64, len(b))
+        return a, n_a, self._flat(b), np.fromiter(map(len, b), np.int64, len(b))
+
+    @staticmethod
+    def _flat(lists: list[list[int]]) -> np.ndarray:
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int64)
 
     def spelled(self, side: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ``ids`` one after another, and the end of each."""
@@ -120,8 +139,8 @@ class Segments:
 
     @staticmethod
     def _part(aligner: Aligner, segments: pa.Array, strings: bool):
-        a, n_a, b, n_b = aligner.encode(segments.to_pylist())
         data, offsets = tokens.flat(segments)
+        a, n_a, b, n_b = aligner.encode(segments.to_pylist(), data, offsets)
         right = np.ones(len(segments), bool)
         for side, ids, n in (("a", a, n_a), ("b", b, n_b)):  # both must spell the segment
             read, ends = aligner.spelled(side, ids)
