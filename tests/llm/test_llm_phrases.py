@@ -42,6 +42,7 @@ def test_random_texts(spark, monkeypatch, seed):
     """Few words, so that phrases are frequent; small bounds take every branch."""
     monkeypatch.setattr(phrases, "RANGE_PATHS", 20)
     monkeypatch.setattr(phrases, "HELD_PATHS", 50)
+    monkeypatch.setattr(phrases, "HELD_ROWS", 70)
     monkeypatch.setattr(phrases, "HELD_HASHES", 100)
     monkeypatch.setattr(phrases, "FAN_IN", 2)
     rng = random.Random(seed)

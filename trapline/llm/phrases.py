@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from trapline.llm import tokens
 from trapline.llm.tables import kept
-from trapline.llm.transducer import Transducer, union
+from trapline.llm.transducer import Transducer, summed_rows, union
 
 # Candidates: words of a phrase at most, and occurrences at least. A phrase goes if a longer one has this share of its occurrences.
 WORDS, LEAST, SHARE = 3, 10, 50
@@ -33,8 +33,8 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 GAP = BREAK.copy()
 GAP[[*b" \t"]] = True
-# Hashes that a task holds before it gives out their sums, and sequences before it gives out transducers.
-HELD_HASHES, HELD_PATHS = 4_000_000, 1_000_000
+# Hashes that a task holds before it gives out their sums, sequences of pieces before it adds them up, and different ones before it gives out transducers.
+HELD_HASHES, HELD_ROWS, HELD_PATHS = 4_000_000, 3_000_000, 1_000_000
 # Bits of a filter for each frequent hash, and of a filter at least and at most (16 MB); a full filter lets more through and loses nothing.
 BITS, LEAST_BITS, MOST_BITS = 16, 2**16, 2**27
 _BLOCK = 2**16  # bits of a filter that one task packs
@@ -77,18 +77,18 @@ class Words:
             key = tokens.mix(key * np.uint64(0xD6E8FEB86659FD93) + self.hashes[at + k])
         return key
 
-    def sequences(self, filters: list[Filter], length: int) -> np.ndarray:
-        """Starts of the sequences of ``length`` words in one piece whose shorter parts pass ``filters``."""
+    def passing(self, filters: list[Filter], longest: int) -> Iterator[np.ndarray]:
+        """For 1 to ``longest`` words, the starts of the sequences in one piece that pass their filter (if there is one), as do their parts."""
         passed = np.ones(len(self), bool)
-        for k in range(1, length + 1):
-            if k > 1:
-                both = np.zeros(len(self), bool)
-                both[:-1] = passed[:-1] & passed[1:] & self.goes_on
-                passed = both
-            if k <= len(filters):
-                at = np.flatnonzero(passed)
-                passed[at] = filters[k - 1](self.keys(at, k))
-        return np.flatnonzero(passed)
+        for length in range(1, longest + 1):
+            if length > 1:
+                passed = np.append(passed[:-1] & passed[1:] & self.goes_on, False) if len(self) else passed
+            at = np.flatnonzero(passed)
+            if length <= len(filters):
+                good = filters[length - 1](self.keys(at, length))
+                passed[at] = good
+                at = at[good]
+            yield at
 
 
 def lang_hashes(langs: list[str]) -> np.ndarray:
@@ -110,13 +110,6 @@ class Filter:
         return (self.bits[cells >> np.uint64(3)] >> (cells & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
-    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts[:0]
-
-
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
         for i, j, _, _ in tokens.pieces(batch.column("text")):
@@ -135,7 +128,8 @@ def hash_counts(rows: DataFrame, filters, length: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n.astype(np.int64), "lang": pa.nulls(len(keys), pa.string())})
 
         for words in _pieces(batches):
-            held.append(words.keys(words.sequences(filters.value, length), length))
+            *_, at = words.passing(filters.value, length)
+            held.append(words.keys(at, length))
             size += len(held[-1])
             if length == 1:
                 for lang, n in zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist(), strict=True):
@@ -175,65 +169,103 @@ def _places(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(1)).astype(np.int64)
 
 
+class Sequences:
+    """Counts of the different sequences of a task, as rows of numbers: the language's and the words', 0 behind the last."""
+
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.number: dict[str, int] = {}  # words and languages, from 1 on
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        number = self.number
+        return np.array([number.setdefault(name, len(number) + 1) for name in names], np.int64)
+
+    def add(self, words: Words, filters: list[Filter]) -> None:
+        """Count the sequences that pass."""
+        if not len(words):
+            return
+        # words by number, which tells them apart without hashes
+        chars = words.data[~words.gap]
+        offsets = np.concatenate(([0], np.cumsum(words.ends - words.starts))).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(chars))).dictionary_encode()
+        local = np.asarray(coded.indices).astype(np.int64)
+        langs, ranks = self._numbers(words.langs), None
+        for length, at in enumerate(words.passing(filters, self.longest), 1):
+            if length == 1:  # only frequent words get a number
+                some = np.unique(local[at])
+                number = np.zeros(len(coded.dictionary), np.int64)
+                number[some] = self._numbers(coded.dictionary.take(pa.array(some)).to_pylist())
+                base, code = len(number), words.lang[at] * len(number) + local[at]
+            else:
+                code = ranks[at] * base + local[at + length - 1]
+            _, first, inverse, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            ranks = np.zeros(len(words), np.int64)
+            ranks[at] = inverse
+            table = np.zeros((len(first), self.longest + 1), np.int32)
+            table[:, 0] = langs[words.lang[at[first]]]
+            for k in range(length):
+                table[:, k + 1] = number[local[at[first] + k]]
+            self.held.append((table, counts.astype(np.int64)))
+            self.size += len(first)
+
+    def sum(self) -> int:
+        """Add up what is held; gives the number of different sequences."""
+        if self.held:
+            self.held = [summed_rows(*(np.concatenate(x) for x in zip(*self.held, strict=True)))]
+        self.size = len(self.held[0][0]) if self.held else 0
+        return self.size
+
+    def transducers(self, cuts: np.ndarray) -> Iterator[tuple[int, Transducer]]:
+        """A transducer for each range."""
+        self.sum()
+        if not self.size:
+            return
+        (table, counts), names = self.held[0], list(self.number)
+        ranges = ranges_of(table, names, cuts)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.zeros(len(names) + 1, np.int32)
+        rank[np.array(order) + 1] = np.arange(1, len(names) + 1)
+        table, words = rank[table], [names[i] for i in order]
+        rows = np.lexsort((*table.T[::-1], ranges))
+        table, counts, ranges = table[rows], counts[rows], ranges[rows]
+        starts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(ranges)], strict=True):
+            yield int(ranges[i]), Transducer.of_table(table[i:j], counts[i:j], words)
+
+
+def ranges_of(table: np.ndarray, names: list[str], cuts: np.ndarray) -> np.ndarray:
+    """The ranges of sequences (rows of a language and words: 1 + their place in ``names``)."""
+    data, offsets = tokens.flat(pa.array([*names, ""], pa.large_string()))
+    hashes = tokens.span_hashes(data, offsets[:-1], offsets[1:])
+    key = tokens.mix(hashes[table[:, 1] - 1] ^ tokens.mix(hashes[table[:, 0] - 1] + np.uint64(1)))
+    if table.shape[1] > 2:
+        two = (key >> np.uint64(32) << np.uint64(32)) | (tokens.mix(hashes[table[:, 2] - 1]) >> np.uint64(32))
+        key = np.where(table[:, 2] > 0, two, key)
+    return np.searchsorted(cuts, _places(key), "right")
+
+
 def shard_transducers(rows: DataFrame, filters, cuts, longest: int) -> DataFrame:
     """``range``, ``part`` and the packed ``machine`` of the sequences that pass, by task and range. A path is the language and the words."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: defaultdict[int, defaultdict[tuple, int]] = defaultdict(lambda: defaultdict(int))
+        held = Sequences(longest)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for at in sorted(held):
-                machine = Transducer.of(sorted(held[at].items()))
+            for at, machine in held.transducers(cuts.value):
                 yield pa.RecordBatch.from_pydict({"range": [at], "machine": pa.array([machine.pack()], pa.binary())})
-            held.clear()
 
         for words in _pieces(batches):
-            for path, n, at in _counted(words, filters.value, cuts.value, longest):
-                held[at][path] += n
-            if sum(map(len, held.values())) >= HELD_PATHS:
+            held.add(words, filters.value)
+            if held.size >= HELD_ROWS and held.sum() >= HELD_PATHS:
                 yield from out()
+                held = Sequences(longest)
         yield from out()
 
     return rows.mapInArrow(build, "range long, machine binary").withColumn("part", F.spark_partition_id().cast("long"))
 
 
-def _counted(words: Words, filters: list[Filter], cuts: np.ndarray, longest: int) -> Iterator[tuple[tuple, int, int]]:
-    """The different sequences of some rows that pass, with their numbers and ranges."""
-    if not len(words):
-        return
-    # words by number, which tells them apart without hashes
-    chars = words.data[~words.gap]
-    offsets = np.concatenate(([0], np.cumsum(words.ends - words.starts))).astype(np.int64)
-    coded = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(chars))).dictionary_encode()
-    names, number = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-    ranks = words.lang * len(names) + number  # of all starts, then of the sequences of one length
-    for length in range(1, longest + 1):
-        at = words.sequences(filters, length)
-        code = ranks[at]
-        if length > 1:
-            code = code * len(names) + number[at + length - 1]
-        _, first, inverse, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        ranks = np.zeros(len(words), np.int64)
-        ranks[at] = inverse
-        starts = at[first]
-        ranges = np.searchsorted(cuts, _places(words.keys(starts, min(length, 2))), "right")
-        picked = np.stack([number[starts + k] for k in range(length)], 1)
-        for lang, path, n, where in zip(words.lang[starts].tolist(), picked.tolist(), counts.tolist(), ranges.tolist(), strict=True):
-            yield (words.langs[lang], *[names[i] for i in path]), n, where
-
-
-def ranges_of(paths: list[tuple[str, ...]], cuts: np.ndarray) -> np.ndarray:
-    """The ranges of some paths."""
-    part = lambda k: pa.array([p[k] if k < len(p) else "" for p in paths], pa.large_string())
-    hashes = []
-    for texts in (part(1), part(2)):
-        data, offsets = tokens.flat(texts)
-        hashes.append(tokens.span_hashes(data, offsets[:-1], offsets[1:]))
-    key = tokens.mix(hashes[0] ^ lang_hashes([p[0] for p in paths]))
-    two = (key >> np.uint64(32) << np.uint64(32)) | (tokens.mix(hashes[1]) >> np.uint64(32))
-    return np.searchsorted(cuts, _places(np.where(np.array([len(p) > 2 for p in paths], bool), two, key)), "right")
-
-
 def united(machines: DataFrame, parts: int) -> DataFrame:
     """One transducer for each range: unions of ``FAN_IN`` tasks' parts at a time until one is left."""
 
@@ -248,6 +280,12 @@ def united(machines: DataFrame, parts: int) -> DataFrame:
             return machines.drop("part")
 
 
+def _ranges(paths: list[tuple[str, ...]], cuts: np.ndarray) -> np.ndarray:
+    names = sorted({w for p in paths for w in p[:3]})
+    at = {w: i + 1 for i, w in enumerate(names)}
+    return ranges_of(np.array([[at[w] for w in (*p, *[""] * 2)[:3]] if len(p) > 2 else [at[p[0]], at[p[1]], 0] for p in paths], np.int64), names, cuts).astype(np.int64)
+
+
 def _cuts_in(path: tuple[str, ...]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
     """First part and rest after each word but the last."""
     return [(path[: k + 1], (path[0], *path[k + 1 :])) for k in range(1, len(path) - 1)]
@@ -264,7 +302,7 @@ def scored(machines: DataFrame, cuts, least: int) -> DataFrame:
             for at, data in zip(batch.column("range").to_pylist(), batch.column("machine").to_pylist(), strict=True):
                 parts = list({p for path, n in Transducer.unpack(data).paths() if len(path) > 2 and n >= least for cut in _cuts_in(path) for p in cut})
                 if parts:
-                    yield pa.RecordBatch.from_pydict({"asker": np.full(len(parts), at, np.int64), "range": ranges_of(parts, cuts.value).astype(np.int64), "lang": [p[0] for p in parts], "part": [" ".join(p[1:]) for p in parts]})
+                    yield pa.RecordBatch.from_pydict({"asker": np.full(len(parts), at, np.int64), "range": _ranges(parts, cuts.value), "lang": [p[0] for p in parts], "part": [" ".join(p[1:]) for p in parts]})
 
     def answer(asked: pa.Table, machine: pa.Table) -> pa.Table:
         count = Transducer.unpack(machine.column("machine")[0].as_py()) if machine.num_rows else lambda path: 0
