@@ -177,7 +177,7 @@ def test_stream_drops_repeated_content(spark):
     rows = [(f"h{i % 3}", start + dt.timedelta(seconds=i)) for i in range(9)]
     spark.createDataFrame(rows, "h string, at timestamp").write.parquet(source)
     stream = online.watch_folder(spark, source, "h string, at timestamp")
-    online.drain(online.online_unique(stream, "h", "at"), sink, checkpoint, each=online.merge_batches(sink, "h"))
+    online.drain(online.online_unique(stream, "h", "at"), sink, checkpoint)
     assert sorted(r["h"] for r in spark.read.parquet(sink).collect()) == ["h0", "h1", "h2"]
 
 

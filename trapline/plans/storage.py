@@ -9,7 +9,7 @@ from trapline.operators.scan import path_columns
 from trapline.plans.registry import query
 from trapline.session import scratch_path
 from trapline.sources import files, gallery
-from trapline.streaming import online
+from trapline.streaming import online, upsert
 
 CSV_SCHEMA = ("media_id long, original_path string, content string, read_error string, n_chars long")
 
@@ -183,6 +183,36 @@ def _(t):
     return rows.select("media_id", "location", F.unix_micros("captured_at").alias("us"))
 
 
+STORED = "path string, media_id long, shots_at timestamp, value double, edited boolean"
+
+
+@query(
+    "stm1_folder_merge",
+    """with e as (select *, concat(event_type, '/', cast(user_id as varchar)) as path, ts as seen from events),
+       first as (select path, arg_max({'event_id': event_id, 'seen': seen, 'value': value}, {'seen': seen, 'event_id': event_id}) as x from e group by path),
+       late as (select path, max(event_id) as event_id, max(seen) + interval 1 day as seen from e where user_id % 3 = 0 group by path
+         union all select concat('new/', cast(user_id as varchar)), max(event_id), max(seen) from e where user_id % 5 = 0 group by 1)
+       select path, case when edited then x.event_id else coalesce(late.event_id, x.event_id) end as media_id, epoch_us(case when edited then x.seen else coalesce(late.seen, x.seen) end) as us, x.value, coalesce(edited, false) as edited
+       from (select *, x.event_id % 4 = 0 as edited from first) f full join late using (path)""",
+)
+def _(t):
+    """A stream merged into a table by path, drained twice and its batch replayed; then a second stream updates a third of the paths and adds some."""
+    table, checkpoint, later = scratch_path(t.spark, "merged"), scratch_path(t.spark, "offsets"), scratch_path(t.spark, "later")
+    path = F.concat("event_type", F.lit("/"), F.col("user_id").cast("string"))
+    shaped = lambda rows: rows.select(path.alias("path"), F.col("event_id").alias("media_id"), F.col("ts").cast("timestamp").alias("shots_at"), "value", (F.col("event_id") % 4 == 0).alias("edited"))
+    first = upsert.merging(table, "path", "shots_at", STORED, source="events")
+    for _run in range(2):
+        online.drain(shaped(online.watch_folder(t.spark, f"{t.folder}/events.parquet*", EVENT_SCHEMA)), "", checkpoint, each=first)
+    first(shaped(t.raw("events")).withColumn("value", F.lit(-1.0)), 0)  # a replay of batch 0 changes nothing, whatever it brings
+    grouped = lambda rows, by, day: rows.groupBy(by.alias("path")).agg(F.max("event_id").alias("media_id"), (F.max(F.col("ts").cast("timestamp")) + F.make_dt_interval(F.lit(day))).alias("shots_at"))
+    updates = grouped(t.raw("events").filter("user_id % 3 = 0"), path, 1).unionByName(grouped(t.raw("events").filter("user_id % 5 = 0"), F.concat(F.lit("new/"), F.col("user_id").cast("string")), 0))
+    updates.withColumns({"value": F.lit(None).cast("double"), "edited": F.lit(None).cast("boolean")}).write.parquet(later)
+    second = upsert.merging(table, "path", "shots_at", STORED, source="later", keep=F.col("edited"))
+    online.drain(online.watch_folder(t.spark, later, STORED), "", scratch_path(t.spark, "offsets"), each=second)
+    rows = upsert.current(t.spark, table, STORED)
+    return rows.select("path", "media_id", F.unix_micros("shots_at").alias("us"), "value", F.coalesce("edited", F.lit(False)).alias("edited"))
+
+
 @query(
     "stm2_online_sequences",
     """with g as (select *, modified_at - lag(modified_at) over (partition by location order by modified_at, media_id) as gap from tagged),
@@ -190,24 +220,25 @@ def _(t):
     select location, count(*) as shots, epoch_us(min(modified_at)) as first_us, epoch_us(max(modified_at)) as last_us from n group by location, number""",
 )
 def _(t):
-    """Every state of a session is written with its batch; the last one stands when the stream has ended."""
-    sink, checkpoint = scratch_path(t.spark, "sessions"), scratch_path(t.spark, "offsets")
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+    """Each session is written once, when it is closed; a last shot closes those that are open when the stream has ended."""
+    sink, checkpoint, last = scratch_path(t.spark, "sessions"), scratch_path(t.spark, "offsets"), scratch_path(t.spark, "last")
+    shots = event_stream(t).select("location", "captured_at")
+    t.spark.createDataFrame([], "location string, captured_at timestamp").write.parquet(last)
+    both = shots.union(online.watch_folder(t.spark, last, "location string, captured_at timestamp"))
+    sessions = online.online_sequences(both, "location", "captured_at")
+    online.drain(sessions, sink, checkpoint)
+    online.ending(t.tagged.select("location", F.col("modified_at").alias("captured_at")), "location", "captured_at").write.mode("append").parquet(last)
+    online.drain(sessions, sink, checkpoint)
+    rows = t.spark.read.schema("location string, shots long, first_at timestamp, last_at timestamp").parquet(sink)
+    return rows.select("location", "shots", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
-    online.drain(online.online_sequences(event_stream(t), "location", "captured_at"), sink, checkpoint, "complete", keep)
-    rows = t.spark.read.schema("location string, shots long, first_at timestamp, last_at timestamp, batch int").parquet(sink)
-    final = rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar())
-    return final.select("location", "shots", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
-
-@query("stm3_online_unique", "select count(*) as contents, count(distinct props) as distinct_contents from (select distinct props from events)")
+@query("stm3_online_unique", "select distinct props as content from events")
 def _(t):
+    """One row of every content, whichever came first."""
     sink, checkpoint = scratch_path(t.spark, "unique"), scratch_path(t.spark, "offsets")
     online.drain(online.online_unique(event_stream(t), "props", "captured_at", "60 days"), sink, checkpoint)
-    rows = t.spark.read.schema("media_id long, location string, captured_at timestamp, props string").parquet(sink)
-    return rows.agg(F.count(F.lit(1)).alias("contents"), F.count_distinct("props").alias("distinct_contents"))
+    return t.spark.read.schema("media_id long, location string, captured_at timestamp, props string").parquet(sink).select(F.col("props").alias("content"))
 
 
 @query("src3_listing_columns", "select media_id, lower(regexp_extract(original_path, '(\\.[^./]+)$', 1)) as ending from uploads where lower(original_path) not like '%.txt'")
