@@ -136,8 +136,8 @@ def test_search_within_organisations_and_copies_of_tiles(spark):
     q, g = make(0, 30), make(100, 90)
     got = similarity.shortlist(q, g, 100, scope="org").collect()
     assert len(got) == 3 * 10 * 30 and all(r["query_id"] % 3 == (r["ref_id"] - 100) % 3 for r in got)
-    tiles = similarity.packed_tiles(g, "embedding", "ref_id", "org", tile_bytes=4 * 8 * 10).collect()
-    assert {r["tiles"] for r in tiles} == {3} and sum(len(r["ids"]) // 8 for r in tiles) == 90
+    tiles = similarity.packed_tiles(g, "embedding", "ref_id", "org", tile_bytes=4 * 8 * 10, pivots=np.eye(1, 4)).collect()
+    assert sorted(r["scope"] for r in tiles) == sorted(["0", "1", "2"] * 3) and sum(len(r["ids"]) // 8 for r in tiles) == 90
 
 
 def test_isotonic_golden(spark):
@@ -199,3 +199,46 @@ def test_matcher_column(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = df.select(similarity.matcher_column(similarity.row_cosine, F.col("a"), F.col("b")).alias("s")).first()["s"]
     assert got == pytest.approx(2**-0.5)
+
+
+def test_tiles_that_hold_none_of_the_best_are_left_out(spark):
+    """Vectors in 16 directions: most pairs of tiles are never compared, and the lists are those of brute force."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(16, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    make = lambda n: (centres[rng.integers(0, 16, n)] + 0.02 * rng.normal(size=(n, 24))).astype(np.float32)
+    q, g = make(200), make(1600)
+    found, compared = similarity.search(vectors(spark, q), vectors(spark, g), 5, block_rows=50)
+    got = similarity.top_per_group(found, ["query_id"], [F.col("score").desc(), F.col("ref_id")], 5)
+    scores = similarity.cosine_matrix(q.astype(float), g.astype(float))
+    best = {(i, int(j)) for i in range(200) for j in np.lexsort((np.arange(1600), -scores[i]))[:5]}
+    assert {(r["query_id"], r["ref_id"]) for r in got.collect()} == best
+    pivots = similarity._pivots(vectors(spark, q), vectors(spark, g), "embedding", "ref_id", 1, 50)
+    sides = [similarity.packed_tiles(vectors(spark, m), "embedding", "ref_id", None, 1, 50, pivots).count() for m in (q, g)]
+    assert compared.count() < 0.3 * sides[0] * sides[1]
+    # another matcher has no bound, so all pairs are compared
+    every = similarity.search(vectors(spark, q), vectors(spark, g), 5, block_rows=50, matcher=lambda a, b: similarity.cosine_matrix(a, b))[1]
+    assert every.count() == sides[0] * sides[1]
+
+
+def test_search_of_few_scores_and_scopes(spark):
+    """A scope with fewer references than wanted, one without any, and zero vectors in far tiles."""
+    g = data(3, 300)
+    g[::50] = 0
+    rows = vectors(spark, g).withColumn("org", F.when(F.col("ref_id") < 3, "small").when(F.col("ref_id") % 3 == 0, "a").otherwise("b"))
+    ask = vectors(spark, -g[:40], 1000).withColumn("org", F.when(F.col("ref_id") % 4 == 0, "small").when(F.col("ref_id") % 4 == 1, "a").when(F.col("ref_id") % 4 == 2, "b").otherwise("none"))
+    got = similarity.shortlist(ask, rows, 7, scope="org", block_rows=20).collect()
+    org = {r["ref_id"]: r["org"] for r in rows.collect()}
+    scores = similarity.cosine_matrix(-g[:40].astype(float), g.astype(float))
+    for r in ask.collect():
+        mine = np.array([j for j in range(300) if org[j] == r["org"]], int)
+        order = mine[np.lexsort((mine, -np.round(scores[r["ref_id"] - 1000][mine], 12)))][:7]
+        assert [x["ref_id"] for x in sorted((x for x in got if x["query_id"] == r["ref_id"]), key=lambda x: x["position"])] == order.tolist()
+
+
+def test_sequences_with_null_vectors(spark):
+    rows = [(1, 1, [1.0, 0.0], 0.5), (2, 1, None, 0.9), (3, 1, [1.0, 0.1], 0.1), (4, 2, None, 0.9), (5, 3, [float("nan"), 1.0], 0.2), (6, 3, [0.0, 2.0], None)]
+    frame = spark.createDataFrame(rows, "ref_id long, sequence_id long, embedding array<double>, score double")
+    for block_rows in (1, 4096):
+        got = {r["sequence_id"]: r["embedding"] for r in similarity.cluster_sequences(frame, block_rows=block_rows).collect()}
+        assert set(got) == {1, 3} and np.allclose(got[1], [2.0, 0.1]) and got[3] == [0.0, 2.0]

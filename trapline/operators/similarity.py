@@ -1,12 +1,14 @@
 """Similarity of embeddings: search, shortlists, fusion, re-identification.
 
 Searching compares every query with every gallery vector of its organisation, as the task demands,
-but never as a join of rows: both sides are packed into tiles of bounded size, each pair of tiles is
-compared in one task, and only the best ``k`` references per query and tile leave it.
+but never as a join of rows: both sides are packed into tiles of bounded size and similar direction,
+pairs of tiles that can't hold any of the best are left out, each other pair is compared in one
+task, and only the best ``k`` references per query and tile leave it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +26,9 @@ from trapline.session import pin
 
 # Bytes of a tile of vectors, and the rows that are multiplied at once inside a pair of tiles.
 TILE_BYTES, STRIP = 64_000_000, 2_048
+# Directions that vectors are dealt by at most (they are sent to all tasks), and rows that are worth a tile of their own.
+MOST_PIVOTS, LEAST_ROWS = 256, 4_096
+_PACKED = ("dim", "ids", "matrix")
 # Rows of a sequence that are clustered in one task.
 BLOCK_ROWS = 4096
 
@@ -62,49 +67,97 @@ def _best(scores: np.ndarray, query_ids: np.ndarray, ref_ids: np.ndarray, k: int
     return pd.DataFrame({"query_id": query_ids[row[kept]], "ref_id": ref_ids[column[kept]], "score": value[kept]})
 
 
-def packed_tiles(rows: DataFrame, vector: str, key: str, scope: str | None, tile_bytes: int, tile_rows: int | None = None) -> DataFrame:
-    """Vectors as tiles: one row per scope and tile, with the ids and the matrix as bytes and the scope's number of ``tiles``.
+def _pivots(query: DataFrame, gallery: DataFrame, vector: str, key: str, tile_bytes: int, tile_rows: int | None) -> np.ndarray | None:
+    """Unit vectors of as many gallery rows as there are tiles, ``MOST_PIVOTS`` at most, chosen by hash; None if a tile is enough for either side."""
+    usable = lambda rows: rows.filter(F.coalesce(_finite(F.col(vector)), F.lit(False))).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    size = lambda rows, side: usable(rows).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("dim")).withColumn("side", F.lit(side))
+    sizes = {r.side: r for r in size(gallery, "gallery").unionByName(size(query, "query")).collect()}
+    n, dim = sizes["gallery"].n, sizes["gallery"].dim
+    tiles = max(math.ceil(r.n / (tile_rows or max(1, tile_bytes // (8 * r.dim)))) for r in sizes.values())
+    # smaller tiles as long as there are not enough pairs of them for the tasks of a shuffle
+    wanted = math.ceil(math.sqrt(int(gallery.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tiles = min(MOST_PIVOTS, n, max(tiles, min(wanted, n // LEAST_ROWS)))
+    if tiles < 2 and max(r.n for r in sizes.values()) <= (tile_rows or max(1, tile_bytes // (8 * dim))):
+        return None
+    chosen = usable(gallery).filter(F.size("vector") == dim).orderBy(F.xxhash64("id"), "id").limit(max(tiles, 1)).collect()
+    matrix = np.array([r.vector for r in chosen]).reshape(-1, dim)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+
+def packed_tiles(
+    rows: DataFrame, vector: str, key: str, scope: str | None, tile_bytes: int, tile_rows: int | None = None, pivots: np.ndarray | None = None
+) -> DataFrame:
+    """Vectors as tiles: one row per scope and tile, with the ids and the matrix as bytes, and a summary.
 
-    Tiles are cut by hash, about ``tile_bytes`` each (or ``tile_rows`` rows).
+    Vectors go to the cell of their nearest pivot; a cell of more than ``tile_bytes`` (or
+    ``tile_rows`` rows) is cut by hash. Without pivots a scope is one tile. The summary is the number of rows ``n``, the mean direction
+    ``centre``, the largest angle to it ``radius``, and whether a ``zero`` vector is in the tile.
     """
     named = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
     usable = rows.filter(F.coalesce(_finite(F.col(vector)), F.lit(False)))
     base = usable.select(named.alias("scope"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
     per_tile = F.lit(tile_rows) if tile_rows else F.greatest(F.lit(1), F.floor(tile_bytes / (8 * F.max(F.size("vector")))))
-    sizes = base.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / per_tile).cast("int").alias("tiles"))
-    placed = attach(base, sizes, ["scope"], F.col("id"), weight="n").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+
+    def nearest(batches):
+        for pdf in batches:
+            cell = np.zeros(len(pdf), np.int64)
+            right = np.flatnonzero(pdf["vector"].map(len).to_numpy() == pivots.shape[1])
+            if len(right) and len(pivots):
+                cell[right] = np.argmax(_matrix(pdf["vector"].iloc[right]) @ pivots.T, axis=1)
+            yield pdf.assign(cell=cell)
+
+    if pivots is None:
+        placed = base.withColumn("tile", F.lit(0).cast("long"))
+    else:
+        base = pin(base.mapInPandas(nearest, f"scope string, id {dict(base.dtypes)['id']}, vector array<double>, cell long"))
+        sizes = base.groupBy("scope", "cell").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / per_tile).cast("int").alias("parts"))
+        placed = attach(base, sizes, ["scope", "cell"], F.col("id"), weight="n")
+        placed = placed.withColumn("tile", F.shiftleft("cell", 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
+        matrix = _matrix(group["vector"])
+        size = np.linalg.norm(matrix, axis=1, keepdims=True)
+        unit = matrix / np.maximum(size, 1e-12)
+        centre = unit.mean(axis=0)
+        centre /= max(np.linalg.norm(centre), 1e-12)
+        away = np.arccos(np.clip(unit[size[:, 0] > 0] @ centre, -1.0, 1.0))
         first = group.iloc[0]
-        return pd.DataFrame([[first["scope"], first["tile"], first["tiles"], len(first["vector"]), group["id"].to_numpy().tobytes(), _matrix(group["vector"]).tobytes()]])
+        return pd.DataFrame([[first["scope"], first["tile"], matrix.shape[1], group["id"].to_numpy().tobytes(), matrix.tobytes(), len(matrix), centre.tolist(), away.max(initial=0.0), bool((size <= 1e-12).any())]])
 
-    return placed.groupBy("scope", "tile").applyInPandas(pack, "scope string, tile int, tiles int, dim int, ids binary, matrix binary")
+    schema = "scope string, tile long, dim int, ids binary, matrix binary, n long, centre array<double>, radius double, zero boolean"
+    return placed.groupBy("scope", "tile").applyInPandas(pack, schema)
 
 
-def block_shortlists(
-    query: DataFrame, gallery: DataFrame, k: int, vector: str = "embedding", key: str = "ref_id", scope: str | None = None,
-    tile_bytes: int = TILE_BYTES, block_rows: int | None = None, matcher: Matcher = cosine_matrix,
-) -> DataFrame:
-    """Best ``k`` references per query within each gallery tile (the cheap first phase).
+def tile_pairs(left: DataFrame, right: DataFrame, prune: bool) -> DataFrame:
+    """scope, qt, gt of all pairs of tiles of a scope, with ``bound``, which no cosine in the pair exceeds, and their ``place`` for the query tile, nearest centre first."""
+    summary = lambda tiles, name: tiles.select("scope", F.col("tile").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("centre", "radius", "zero", "n")])
+    pairs = summary(left, "qt").join(summary(right, "gt"), "scope")
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), A.dot(F.col("qt_centre"), F.col("gt_centre")))))
+    # the angle between two vectors is at least that of the centres less both radii
+    least = F.greatest(F.lit(0.0), angle - F.col("qt_radius") - F.col("gt_radius") - 1e-6)
+    bound = F.when(least >= math.pi, -1.0).otherwise(F.cos(least))
+    bound = F.when(F.col("qt_zero") | F.col("gt_zero"), F.greatest(bound, F.lit(0.0))).otherwise(bound)
+    order = Window.partitionBy("scope", "qt").orderBy("angle", "gt")
+    placed = pairs.withColumns({"angle": angle if prune else F.lit(0.0), "bound": bound if prune else F.lit(float("inf"))}).withColumn("place", F.row_number().over(order))
+    return placed.select("scope", "qt", "gt", "bound", "place", F.col("qt_n").alias("queries"))
 
-    With ``scope`` (an organisation) queries only meet the gallery of their own. Each tile of
-    queries meets each tile of the gallery once, so a vector is copied as often as the other side
-    has tiles: their bytes over ``tile_bytes``, not their rows over some thousands. Inside a pair
-    of tiles the product is made in strips, and only ``k`` rows per query and tile leave the task.
-    """
-    left = packed_tiles(query, vector, key, scope, tile_bytes, block_rows)
-    right = packed_tiles(gallery, vector, key, scope, tile_bytes, block_rows)
-    tiles_of = lambda packed, name: packed.groupBy("scope").agg(F.max("tiles").alias(name))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = left.join(tiles_of(right, "others"), "scope").withColumn("qt", F.col("tile")).withColumn("gt", every("others"))
-    offered = right.join(tiles_of(left, "others"), "scope").withColumn("gt", F.col("tile")).withColumn("qt", every("others"))
 
-    def unpacked(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        row = side.iloc[0]
-        return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], np.float64).reshape(-1, row["dim"])
+def _unpacked(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    row = side.iloc[0]
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], np.float64).reshape(-1, row["dim"])
 
+
+def _compared(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int, matcher: Matcher) -> DataFrame:
+    """scope, qt, query_id, ref_id and score of the best ``k`` references of every query in each pair of tiles."""
+    pair = ["scope", "qt", "gt"]
+    asking = left.select("scope", F.col("tile").alias("qt"), *_PACKED).join(pairs.select(*pair), ["scope", "qt"])
+    offered = right.select("scope", F.col("tile").alias("gt"), *_PACKED).join(pairs.select(*pair), ["scope", "gt"])
+    return _best_of_tiles(asking, offered, k, matcher)
+
+
+def _best_of_tiles(asking: DataFrame, offered: DataFrame, k: int, matcher: Matcher) -> DataFrame:
     def compare(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        (query_ids, queries), (ref_ids, refs) = unpacked(q), unpacked(g)
+        (query_ids, queries), (ref_ids, refs) = _unpacked(q), _unpacked(g)
         found = []
         for i in range(0, len(queries), STRIP):
             part = []
@@ -113,16 +166,52 @@ def block_shortlists(
                 part.append(_best(scores, query_ids[i : i + STRIP], ref_ids[j : j + STRIP], k))
             rows = pd.concat(part).sort_values(["query_id", "score", "ref_id"], ascending=[True, False, True])
             found.append(rows.groupby("query_id").head(k))
-        return pd.concat(found)
+        return pd.concat(found).assign(scope=q["scope"].iloc[0], qt=q["qt"].iloc[0])[["scope", "qt", "query_id", "ref_id", "score"]]
 
     pair = ["scope", "qt", "gt"]
-    return asking.groupBy(*pair).cogroup(offered.groupBy(*pair)).applyInPandas(compare, "query_id long, ref_id long, score double")
+    return asking.groupBy(*pair).cogroup(offered.groupBy(*pair)).applyInPandas(compare, "scope string, qt long, query_id long, ref_id long, score double")
+
+
+def search(
+    query: DataFrame, gallery: DataFrame, k: int, vector: str = "embedding", key: str = "ref_id", scope: str | None = None,
+    tile_bytes: int = TILE_BYTES, block_rows: int | None = None, matcher: Matcher = cosine_matrix,
+) -> tuple[DataFrame, DataFrame]:
+    """The best ``k`` references per query within the gallery tiles that can hold some of its best, and the compared pairs of tiles.
+
+    With ``scope`` (an organisation) queries only meet the gallery of their own. Every query tile is
+    first compared with the gallery tile of the nearest centre. Its worst k-th score is a bar; a
+    pair of tiles whose bound is below it holds none of the best and isn't compared. The bound is
+    that of the cosine, so with another matcher all pairs are. Inside a pair the product is made in
+    strips, and only ``k`` rows per query leave the task.
+    """
+    pivots = _pivots(query, gallery, vector, key, tile_bytes, block_rows)
+    if pivots is None:  # each scope is one pair of tiles
+        left, right = (packed_tiles(side, vector, key, scope, tile_bytes).select("scope", F.col("tile").alias("qt"), F.col("tile").alias("gt"), *_PACKED) for side in (query, gallery))
+        return _best_of_tiles(left, right, k, matcher).select("query_id", "ref_id", "score"), left.select("scope", "qt", "gt").join(right.select("scope"), "scope")
+    left, right = (pin(packed_tiles(side, vector, key, scope, tile_bytes, block_rows, pivots)) for side in (query, gallery))
+    pairs = pin(tile_pairs(left, right, matcher is cosine_matrix))
+    first = pairs.filter("place = 1")
+    near = pin(_compared(left, right, first, k, matcher))
+    kth = near.groupBy("scope", "qt", "query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+    bars = kth.groupBy("scope", "qt").agg(F.min("kth").alias("bar"), F.count("kth").alias("full"))
+    # a query without k scores yet takes anything
+    open_pairs = pairs.filter("place > 1").join(bars, ["scope", "qt"], "left").filter("full is null or full < queries or bound >= bar - 1e-9")
+    compared = pin(open_pairs.select(*pairs.columns))
+    return near.unionByName(_compared(left, right, compared, k, matcher)).select("query_id", "ref_id", "score"), first.unionByName(compared).select("scope", "qt", "gt")
+
+
+def block_shortlists(query: DataFrame, gallery: DataFrame, k: int, **options) -> DataFrame:
+    """Best ``k`` references per query within each gallery tile that was compared (the cheap first phase of ``search``)."""
+    return search(query, gallery, k, **options)[0]
 
 
 def shortlist(query: DataFrame, gallery: DataFrame, k: int, **options) -> DataFrame:
-    """Best ``k`` references per query over the whole gallery, with their ``position``."""
+    """Best ``k`` references per query over the whole gallery, with their ``position``.
+
+    The list is written once: what follows reads it, however often.
+    """
     partial = block_shortlists(query, gallery, k, **options)
-    return top_per_group(partial, ["query_id"], [F.col("score").desc(), F.col("ref_id")], k)
+    return pin(top_per_group(partial, ["query_id"], [F.col("score").desc(), F.col("ref_id")], k))
 
 
 def cosine(left: Column, right: Column, eps: float = 1e-12) -> Column:
@@ -180,9 +269,9 @@ def fused_scores(
     """Shortlist by cosine and score the shortlist with every matcher.
 
     A matcher maps the two embeddings of a pair to a score column; its calibration (or None)
-    turns the score into a probability. The shortlist is written once, as several readers follow.
+    turns the score into a probability.
     """
-    pairs = pin(shortlist(query, gallery, depth, vector=vector, key=key, scope=scope).select("query_id", "ref_id"))
+    pairs = shortlist(query, gallery, depth, vector=vector, key=key, scope=scope).select("query_id", "ref_id")
     rows = with_features(pairs, query, gallery, [label, vector], key)
     left, right = F.col(f"q_{vector}").cast("array<double>"), F.col(f"r_{vector}").cast("array<double>")
     scores = []
@@ -355,9 +444,11 @@ def cluster_sequences(
     makes the groups the connected components of that graph) and the group with the smallest
     mean angle is summed.
 
+    Rows without a finite vector take no part, and a sequence of only such rows gives none.
     Sequences of at most ``block_rows`` rows are one small task each. Longer ones are compared
     block by block: smallest angle, labels and mean angles are reduced inside the tasks.
     """
+    rows = rows.filter(F.coalesce(_finite(F.col(vector)), F.lit(False)))
     sizes = rows.groupBy(F.col(sequence).alias("seq")).agg(F.count(F.lit(1)).alias("n"))
     base = rows.select(F.col(sequence).alias("seq"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double")).alias("score"))
     sized = attach(base, sizes, ["seq"], F.col("key"), weight="n")
