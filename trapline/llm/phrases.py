@@ -49,20 +49,24 @@ class Words:
 
     def __init__(self, texts: pa.Array, langs: pa.Array):
         data, offsets = tokens.flat(texts)
-        self.data = data = tokens.LOWER[data]
+        data = tokens.LOWER[data]
         gap = GAP[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         self.starts = np.flatnonzero(~gap & (edge[:-1] | np.concatenate(([True], gap[:-1]))[: len(data)]))
         self.ends = np.flatnonzero(~gap & (edge[1:] | np.concatenate((gap[1:], [True]))[: len(data)])) + 1
-        self.gap = gap
-        rows = np.searchsorted(offsets, self.starts, "right") - 1
-        breaks = np.concatenate(([0], np.cumsum(BREAK[data])))[self.starts]
+        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(self.starts, offsets)))
+        breaks = np.cumsum(BREAK[data], dtype=np.int32)[self.starts]  # a word's first byte is none
         self.goes_on = (rows[1:] == rows[:-1]) & (breaks[1:] == breaks[:-1])  # of every word but the last
         coded = langs.fill_null(_UNKNOWN).dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         self.lang = np.asarray(coded.indices).astype(np.int64)[rows]
-        self.hashes = tokens.span_hashes(data, self.starts, self.ends)
+        # the different words, and the number of each word among them; only the different ones are hashed
+        sizes = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(sizes), pa.py_buffer(data[~gap])).dictionary_encode()
+        self.names, self.number = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        chars, cuts = tokens.flat(self.names)
+        self.hashes = tokens.span_hashes(chars, cuts[:-1], cuts[1:])[self.number]
         self.first = tokens.mix(self.hashes ^ lang_hashes(self.langs)[self.lang])
 
     def __len__(self) -> int:
@@ -186,17 +190,13 @@ class Sequences:
         """Count the sequences that pass."""
         if not len(words):
             return
-        # words by number, which tells them apart without hashes
-        chars = words.data[~words.gap]
-        offsets = np.concatenate(([0], np.cumsum(words.ends - words.starts))).astype(np.int64)
-        coded = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(chars))).dictionary_encode()
-        local = np.asarray(coded.indices).astype(np.int64)
+        local = words.number  # which tells words apart without hashes
         langs, ranks = self._numbers(words.langs), None
         for length, at in enumerate(words.passing(filters, self.longest), 1):
             if length == 1:  # only frequent words get a number
                 some = np.unique(local[at])
-                number = np.zeros(len(coded.dictionary), np.int64)
-                number[some] = self._numbers(coded.dictionary.take(pa.array(some)).to_pylist())
+                number = np.zeros(len(words.names), np.int64)
+                number[some] = self._numbers(words.names.take(pa.array(some)).to_pylist())
                 base, code = len(number), words.lang[at] * len(number) + local[at]
             else:
                 code = ranks[at] * base + local[at + length - 1]
@@ -343,8 +343,9 @@ def collocations(documents: DataFrame, longest: int = WORDS, least: int = LEAST,
     rows = documents.select("text", "lang")
     filters, frequent, totals = [], [], None
     for length in range(1, longest + 1):
-        counted = kept(hash_counts(rows, spark.sparkContext.broadcast(list(filters)), length), f"hashes{length}")
+        counted = hash_counts(rows, spark.sparkContext.broadcast(list(filters)), length)
         if length == 1:
+            counted = kept(counted, "words")  # read twice
             totals = counted.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
         many = kept(counted.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), f"frequent{length}")
         frequent.append((many, many.count()))
