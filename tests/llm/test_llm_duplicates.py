@@ -40,6 +40,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["ascending", "descending", "shuffled", "comb"])
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch, shape):
+    written = []
+    monkeypatch.setattr(components, "kept", lambda df, name, keep=components.kept: written.append(name) or keep(df, name))
+    n = 1000
+    order = list(range(n)) if shape != "descending" else list(range(n))[::-1]
+    if shape == "shuffled":
+        random.Random(1).shuffle(order)
+    links = [(order[i], order[i + 1]) for i in range(n - 1)] if shape != "comb" else [(2 * i, 2 * i + 2) for i in range(n // 2 - 1)] + [(2 * i, 2 * i + 1) for i in range(n // 2)]
+    got = components.components(spark.createDataFrame(links, "a long, b long").coalesce(1))
+    assert got.filter("component = 0").count() == n
+    assert written.count("moves") <= 24
+
+
 class Asked:
     """Verifies by a list of links, and notes what it was asked; nothing can be ruled out by bitmaps."""
 

@@ -65,6 +65,18 @@ def test_stages_against_brute_force(spark, folder):
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= set(left) - bad
 
 
+def test_stages_keep_what_they_cannot_judge(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key long"
+    texts = [f"a clean document of several words number {i} and nothing else at all" for i in range(20)]
+    docs = spark.createDataFrame([(i, t, None, "a", 1, 5) for i, t in enumerate(texts)] + [(30, "12 34", None, "a", 1, 5)], schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, str(tmp_path)).collect()) == list(range(20))
+    apart = ["one text about a fox that sleeps", "another text, on owls and their nests", "one text about a fox that sleeps"]
+    docs = spark.createDataFrame([(1, t, None, "a", 1, 5) for t in apart] + [(2, apart[1], None, "a", 1, 5), (1, None, None, "a", 1, 5), (1, None, None, "a", 1, 5)], schema)
+    left = corpus_pipeline.join_near_duplicates(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in left.collect()) == [(1, ""), (1, apart[1]), (1, apart[0])]
+
+
 def test_pipeline(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     rows = got.collect()

@@ -14,27 +14,35 @@ from trapline.llm.tables import kept
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node in ``links`` (``a``, ``b``).
 
-    Distributed union-find by contraction: in each round every node moves to the smallest of its
-    neighbours and itself, and links are drawn between the places moved to, until none is left.
-    The smallest neighbour is found with map-side combining, and the joins are plain ones between
-    stored tables, so a node with very many links is split by the adaptive skew join. Rounds grow
-    with the logarithm of the longest chain. No links: no rows.
+    Distributed union-find by contraction: in each round every node moves to the one of its
+    neighbours and itself that comes first in an order by hash, another one each round, and links
+    are drawn between the places moved to, until none is left. In such orders the nodes of any
+    graph, a long chain with ascending numbers too, shrink by a share each round, so rounds grow
+    with the logarithm of the nodes. The first neighbour is found with map-side combining, and the
+    joins are plain ones between stored tables, so a node with very many links is split by the
+    adaptive skew join. No links: no rows.
     """
     links = kept(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    first = True
+    nodes, rounds = None, 0
     while not links.isEmpty():
+        rounds += 1
+        placed = lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = kept(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "moves")
-        if first:
-            nodes, first = moves.select("node", F.col("to").alias("component")), False
+        first = ends.groupBy("a").agg(F.min(placed("b")).alias("b"))
+        moves = kept(first.select(F.col("a").alias("node"), F.least("b", placed("a"))["n"].alias("to")), "moves")
+        if nodes is None:
+            nodes = moves.select("node", F.col("to").alias("component"))
         else:
             hop = moves.select(F.col("node").alias("component"), "to")
             nodes = nodes.join(hop, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         own, other = (moves.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b"))
         moved = links.join(own, "a").join(other, "b").filter("a_to <> b_to")
         links = kept(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "links")
-    return kept(nodes, "components")
+    if nodes is None:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    nodes = kept(nodes, "places")
+    least = nodes.groupBy("component").agg(F.min("node").alias("least"))  # map-side
+    return kept(nodes.join(least, "component").select("node", F.col("least").alias("component")), "components")
 
 
 def _different(rows: DataFrame) -> DataFrame:
