@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # rows go to Python in batches of so many bytes, so that long texts and vectors don't pile up in a worker
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
