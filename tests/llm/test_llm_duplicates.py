@@ -366,6 +366,24 @@ def test_documents_without_passages(spark):
     assert decontaminate.passages(docs.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_rows_of_one_id_that_hit_one_alignment(spark, order):
+    item = [f"b{i}" for i in range(20)]
+    chance = item[:6] + [f"x{i}" for i in range(14)]  # meets a seed at the same shift, and is no passage
+    for key in (None, 7):
+        rows = [(key, " ".join(chance)), (key, " ".join(item))][::order]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+        got = decontaminate.passages(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+        assert [tuple(r) for r in got.collect()] == [(key, 1, 20, 20)]
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    item = " ".join(f"b{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "clean text", 5, 6, "a"), (2, item, 7, 8, "b")], "doc_id long, text string, key int, _key int, _llm_key string")
+    left = decontaminate.without_passages(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "clean text", 5, 6, "a")]
+
+
 def test_decontamination_runs_no_python(spark, folder):
     docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.passages(docs, benchmark)._jdf.queryExecution().toString()

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapline.llm.tables import free_name
+
 MASKS = ("111011", "110100010001")
 # A passage is a stretch of so many words, or the whole of a shorter benchmark item.
 WINDOW = 20
@@ -74,17 +76,18 @@ def passages(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items, laid = index(benchmark)
     chunks = max(1, -(-laid.count() // broadcast_seeds))
-    docs = documents.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_words")).filter(F.size("_words") >= min(map(len, MASKS)))
-    found = None
+    # rows of one id may have different texts, so a hit belongs to an id and a text
+    docs = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), words(F.col(text_col)).alias("_words")).filter(F.size("_words") >= min(map(len, MASKS)))
+    alignment, found = ["_id", "_text", "item", "_shift"], None
     for chunk in range(chunks):
         some = laid if chunks == 1 else laid.filter(F.pmod(F.xxhash64("item", "item_at"), F.lit(chunks)) == chunk)
-        placed = docs.select("_id", "_words", F.explode(places(F.col("_words"))).alias("_at"))
-        hits = placed.select("_id", "_words", "_at", F.explode(seeds(F.col("_words"), F.col("_at"))).alias("seed")).join(F.broadcast(some), "seed")  # bounded above
+        placed = docs.select("_id", "_text", "_words", F.explode(places(F.col("_words"))).alias("_at"))
+        hits = placed.select("_id", "_text", "_words", "_at", F.explode(seeds(F.col("_words"), F.col("_at"))).alias("seed")).join(F.broadcast(some), "seed")  # bounded above
         shift = F.col("_at") - F.col("item_at")
         skipped = F.greatest(-shift, F.lit(0))
-        hits = hits.select("_id", "item", shift.alias("_shift"), F.slice("_words", F.greatest(shift, F.lit(0)) + 1, F.col("n") - skipped).alias("_part"))
-        hits = hits.groupBy("_id", "item", "_shift").agg(F.first("_part").alias("_part"))
-        found = hits if found is None else found.union(hits).groupBy("_id", "item", "_shift").agg(F.first("_part").alias("_part"))
+        hits = hits.select("_id", "_text", "item", shift.alias("_shift"), F.slice("_words", F.greatest(shift, F.lit(0)) + 1, F.col("n") - skipped).alias("_part"))
+        hits = hits.groupBy(*alignment).agg(F.first("_part").alias("_part"))  # all of them are equal
+        found = hits if found is None else found.union(hits).groupBy(*alignment).agg(F.first("_part").alias("_part"))
     skipped = F.greatest(-F.col("_shift"), F.lit(0))
     equal = F.transform(F.col("item_words"), lambda w, i: F.coalesce(F.get(F.col("_part"), i - F.col("_skip")) == w, F.lit(False)).cast("int"))
     within = lambda o: F.aggregate(F.slice(F.col("_equal"), o + 1, window_of(F.col("n"))), F.lit(0), lambda total, e: total + e)
@@ -96,6 +99,7 @@ def passages(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_passages(documents: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """The documents that hold no passage of ``benchmark``, with all their columns; repeated rows stay or go together."""
-    keyed = documents.withColumn("_llm_key", F.xxhash64("doc_id", "text"))
-    bad = passages(keyed, benchmark, "_llm_key", "text", broadcast_seeds).select("_llm_key").distinct()
-    return keyed.join(bad, "_llm_key", "left_anti").drop("_llm_key")
+    key = free_name(documents, "key")
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    bad = passages(keyed, benchmark, key, "text", broadcast_seeds).select(key).distinct()
+    return keyed.join(bad, key, "left_anti").select(*documents.columns)

@@ -24,6 +24,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name`` after as many underscores as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def least_hashed(rows: DataFrame, by: str, id_col: str, n: int) -> DataFrame:
     """Of each class ``by`` the ``n`` rows whose ids have the smallest hashes, as ``by`` and ``id_col``.
 
