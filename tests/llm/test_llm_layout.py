@@ -140,6 +140,14 @@ def test_repeated_documents(spark):
         assert counts.get(r["doc_id"], 0) in ({0} if not r["taken"] else {r["taken"] // r["size"], r["taken"] // r["size"] + 1})
 
 
+def test_repeated_documents_keep_columns_of_any_name(spark):
+    names = ["mix_key", "_mix_key", "mix_times", "mix_copies", "mix_copy", "_llm_key", "_llm_copies"]
+    docs = mixed_corpus(spark)[1].withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    got = mixing.repeated(docs, block_words=16)
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.select(*names).distinct().collect()] == [tuple(range(len(names)))]
+
+
 def test_slots_are_not_broadcast(spark):
     _, docs = mixed_corpus(spark, 50)
     plan = mixing.mix(docs)[1]._jdf.queryExecution().executedPlan().toString()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trapline.llm.tables import free_name
 from trapline.llm.tokens import mix as scramble
 from trapline.operators.ordered import running_sum
 
@@ -156,8 +157,9 @@ def repeated(documents: DataFrame, **parameters) -> DataFrame:
     A row of which the mix takes 1.4 times the words comes once or twice, by a hash of its id and
     text. Rows equal in id, source and text share their words and come equally often.
     """
-    keyed = documents.withColumn("_llm_key", F.xxhash64("doc_id", "source", "text"))
-    found = taken(*mix(keyed, "_llm_key", **parameters)).groupBy(F.col("key").alias("_llm_key")).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_llm_times"))
-    chance = F.pmod(F.xxhash64(F.lit(SEED), "_llm_key"), F.lit(1_000_003)) / 1_000_003
-    times = found.filter("_llm_times > 0").select("_llm_key", F.floor(F.col("_llm_times") + chance).cast("int").alias("_llm_copies")).filter("_llm_copies > 0")
-    return keyed.join(times, "_llm_key").withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_copies")))).drop("_llm_key", "_llm_copies", "_llm_copy")
+    key, share, copies, copy = (free_name(documents, name) for name in ("mix_key", "mix_times", "mix_copies", "mix_copy"))
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "source", "text"))
+    found = taken(*mix(keyed, key, **parameters)).groupBy(F.col("key").alias(key)).agg(F.try_divide(F.sum("taken"), F.sum("size")).alias(share))
+    chance = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1_000_003)) / 1_000_003
+    times = found.filter(F.col(share) > 0).select(key, F.floor(F.col(share) + chance).cast("int").alias(copies)).filter(F.col(copies) > 0)
+    return keyed.join(times, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*documents.columns)
