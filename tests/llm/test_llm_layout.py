@@ -206,6 +206,20 @@ def test_neighbours_of_odd_rows(spark):
     assert searched(spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)) == {}
 
 
+def test_neighbours_in_double_precision(spark):
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(400, 8)) * np.where(np.arange(400) % 50 == 7, 1e12, np.where(np.arange(400) % 50 == 9, 1e-30, 1.0))[:, None]
+    matrix[123, 0] = 1e150  # finite, though not in 32 bits
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(matrix)], SCHEMA.replace("float", "double"))
+    got, hits = searched(frame, shard_rows=300), 0
+    assert set(got) == set(range(0, 400, 20))
+    for i, rows in got.items():
+        scores = {j: float(np.dot(matrix[i], matrix[j])) for j in range(400) if j != i}
+        assert all(s == pytest.approx(scores[j], rel=1e-12) for _, j, s in rows)  # 32-bit floats are off by 1e-7
+        hits += len({j for _, j, _ in rows} & set(sorted(scores, key=lambda j: (-scores[j], j))[:20]))
+    assert hits >= 0.95 * 20 * len(got)
+
+
 def test_pruned_graph_reaches_every_point():
     points = graph.augmented(np.random.default_rng(1).normal(size=(1500, 16)).astype(np.float32))
     edges, start = graph.build(points)

@@ -22,6 +22,8 @@ from trapline.llm.tables import kept
 SHARD_ROWS, BLOCK_ROWS = 8_192, 4_096
 # Out-edges of a vector, beams of building and searching, and the relaxation of pruning.
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 48, 96, 1.2
+# Vectors of a shard are alike in size: their largest components are within a factor of two to the power of so much.
+BAND = 16
 # Vectors whose neighbours are searched at once, and nodes that a search expands at once.
 BATCH, EXPAND = 256, 4
 
@@ -120,6 +122,11 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alph
     return graph, start
 
 
+def scaled(vectors: np.ndarray, band: int) -> np.ndarray:
+    """Vectors of a band in 32-bit floats, with components of at most one. A power of two loses no digits, and no order of products."""
+    return np.ldexp(vectors, -BAND * (band + 1)).astype(np.float32)
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, not empty, all components finite, one of them not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -134,53 +141,64 @@ def nearest(
 
     ``queries`` is the condition on ``vectors`` that picks the queries; a query's own row is no
     candidate. Returns query_id, rank (from 1), vec_id and score (inner product in double
-    precision), ties to the smaller id. Vectors that are null, empty, zero or hold null or
+    precision of the vectors as they are), ties to the smaller id. Vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor rows without id; vectors of another length meet only
     their like. A repeated row counts once.
 
     Equal vectors are one node that knows its k + 1 smallest ids, so copies cost nothing and crowd
-    nothing out. Shards are cut by hash; one task holds the graph of one shard and one block of
+    nothing out. Shards are cut by size of the vectors, so that no vector vanishes beside a larger
+    one in the graph's 32-bit floats, and by hash; one task holds the graph of one shard and one block of
     queries. Each query gets k candidates from each shard, cut to k at the end.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"), queries.alias("is_query"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), queries.alias("is_query"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).distinct().withColumn("dim", F.size("embedding"))
     copies = rows.select("vec_id", "embedding", "dim").withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    nodes = kept(copies.groupBy("embedding", "dim").agg(F.collect_list("vec_id").alias("ids")), "vectors")
+    band = F.floor(F.log2(F.array_max(F.transform("embedding", F.abs))) / BAND).cast("int").alias("band")
+    nodes = kept(copies.groupBy("embedding", "dim", band).agg(F.collect_list("vec_id").alias("ids")), "vectors")
     asked = rows.filter("is_query")
-    shards, blocks = (max(1, math.ceil(n / size)) for n, size in ((nodes.count(), shard_rows), (asked.count(), block_rows)))
+    # doubles have exponents for some 130 bands
+    sizes = {r["band"]: r["n"] for r in nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect()}
+    shards, shard = 0, F.lit(None).cast("int")
+    for one, n in sizes.items():
+        count = math.ceil(n / shard_rows)
+        place = (F.lit(shards) + F.pmod(F.xxhash64("embedding"), F.lit(count))).cast("int")
+        shard, shards = F.when(F.col("band") == one, place).otherwise(shard), shards + count
+    shards, blocks = max(1, shards), max(1, math.ceil(asked.count() / block_rows))
 
     def built(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(least=[min(x) for x in group["ids"]]).sort_values("least")
-        x = np.stack(group["embedding"].to_numpy()).astype(np.float32)
-        graph, start = build(augmented(x), degree, alpha=alpha) if len(x) > beam else (np.empty((0, degree), np.int64), 0)
+        x, own = np.stack(group["embedding"].to_numpy()), int(group["band"].iloc[0])
+        graph, start = build(augmented(scaled(x, own)), degree, alpha=alpha) if len(x) > beam else (np.empty((0, degree), np.int64), 0)
         ids = [np.sort(np.asarray(i, np.int64)) for i in group["ids"]]
         lengths = np.array([len(i) for i in ids], np.int32)
-        return pd.DataFrame([[group["dim"].iloc[0], group["shard"].iloc[0], start, x.tobytes(), graph.astype(np.int32).tobytes(), np.concatenate(ids).tobytes(), lengths.tobytes()]])
+        return pd.DataFrame([[group["dim"].iloc[0], group["shard"].iloc[0], own, start, x.tobytes(), graph.astype(np.int32).tobytes(), np.concatenate(ids).tobytes(), lengths.tobytes()]])
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
-        x = np.stack(group["embedding"].to_numpy()).astype(np.float32)
-        return pd.DataFrame([[group["dim"].iloc[0], group["block"].iloc[0], group["vec_id"].to_numpy().tobytes(), x.tobytes()]])
+        x = np.stack(group["embedding"].to_numpy())
+        bands = group["band"].to_numpy(np.int32)
+        return pd.DataFrame([[group["dim"].iloc[0], group["block"].iloc[0], group["vec_id"].to_numpy().tobytes(), x.tobytes(), bands.tobytes()]])
 
     def searched(graphs: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
         for g in graphs.itertuples():
-            x = np.frombuffer(g.vectors, np.float32).reshape(-1, g.dim)
+            x = np.frombuffer(g.vectors, np.float64).reshape(-1, g.dim)
             edges = np.frombuffer(g.edges, np.int32).reshape(-1, degree).astype(np.int64)
             ids, lengths = np.frombuffer(g.ids, np.int64), np.frombuffer(g.lengths, np.int32)
             first = np.concatenate(([0], np.cumsum(lengths)))
-            points = augmented(x)
+            points = augmented(scaled(x, g.band))
             for q in asking.itertuples():
                 query_ids = np.frombuffer(q.query_ids, np.int64)
-                queries = np.frombuffer(q.vectors, np.float32).reshape(-1, g.dim)
+                queries = np.frombuffer(q.vectors, np.float64).reshape(-1, g.dim)
+                alike = scaled(queries, np.frombuffer(q.bands, np.int32)[:, None])
                 for i in range(0, len(queries), BATCH):
                     some = queries[i : i + BATCH]
                     if len(edges):
-                        found, _ = beam_search(points, edges, g.start, np.column_stack((some, np.zeros(len(some), np.float32))), beam)
+                        found, _ = beam_search(points, edges, g.start, np.column_stack((alike[i : i + BATCH], np.zeros(len(some), np.float32))), beam)
                     else:
                         found = np.tile(np.arange(len(x)), (len(some), 1))
-                    scores = np.einsum("bnd,bd->bn", x[found].astype(np.float64), some.astype(np.float64))
+                    scores = np.einsum("bnd,bd->bn", x[found], some)
                     scores[found < 0] = -np.inf
                     for query, nodes_found, near in zip(query_ids[i : i + BATCH], found, scores, strict=True):
                         # of equal scores all are taken, as their order is by id
@@ -195,10 +213,10 @@ def nearest(
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    parts = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
-    graphs = kept(parts.groupBy("dim", "shard").applyInPandas(built, "dim int, shard int, start int, vectors binary, edges binary, ids binary, lengths binary"), "graphs")
-    asked = asked.select("vec_id", "embedding", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asking = asked.groupBy("dim", "block").applyInPandas(packed, "dim int, block int, query_ids binary, vectors binary")
+    parts = nodes.withColumn("shard", shard)
+    graphs = kept(parts.groupBy("dim", "shard").applyInPandas(built, "dim int, shard int, band int, start int, vectors binary, edges binary, ids binary, lengths binary"), "graphs")
+    asked = asked.select("vec_id", "embedding", "dim", band, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    asking = asked.groupBy("dim", "block").applyInPandas(packed, "dim int, block int, query_ids binary, vectors binary, bands binary")
     # a stated set of queries meets every shard, block by block
     graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asking = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
