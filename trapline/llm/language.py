@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +22,14 @@ UNKNOWN = "und"
 
 RESULT = "lang_pred string, score double"
 
-
-@functools.cache
-def _letters() -> np.ndarray:
-    """Which code points are letters."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+# Which code points are letters, a bit each; as a value, so that it travels with the functions that read it.
+LETTERS = np.packbits(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000), bitorder="little")
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the n-grams of a text: lower case, words of letters with one space around each."""
     chars = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    letter = _letters()[chars]
+    letter = (LETTERS[chars >> 3] >> (chars & 7).astype(np.uint8) & 1).astype(bool)
     if not letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     chars = np.where(letter, chars, 32).astype(np.int64)
