@@ -1,9 +1,12 @@
 """Operators that judge each text or url by itself, and the models they learn."""
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from trapline.llm import language, pseudo_likelihood, toxicity, urls
@@ -97,6 +100,15 @@ def test_language_against_dictionaries(spark):
         assert got[0] == expected[0] and got[1] == pytest.approx(expected[1])
 
 
+def test_language_functions_travel_by_value(spark):
+    """A fresh interpreter without the package reads what a worker is sent."""
+    packed = cloudpickle.dumps((language.grams, language.Profiles({"xx": [ord("a")]})))
+    code = "import pickle, sys; f, p = pickle.load(sys.stdin.buffer); assert 'trapline' not in sys.modules; print(f('ab1 \u00e9')[0].tolist()[:2], p.predict('a!'))"
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", input=packed, capture_output=True, timeout=60)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.startswith(b"[97, 98] ('xx', ")
+
+
 def test_language_of_odd_rows(spark):
     rows = [(0, None, "en"), (1, "", "en"), (2, "42 + 1 = 43", "en"), (3, "the thing and the other thing", "en"), (4, LONG, "en"), (5, "der die das und", "de"), (5, "der die das und", "de"), (None, "the word", "en"), (6, "der", None)]
     schema = "doc_id long, text string, lang string, lang_pred string, score int"
@@ -179,6 +191,27 @@ def test_toxicity_of_odd_rows(spark):
     assert {r["score"] for r in one_class} == {0.5}
 
 
+def test_scores_agree_over_samples(spark):
+    rng = random.Random(4)
+    plain, bad = [f"w{i}" for i in range(300)], [f"bad{i}" for i in range(12)]
+    rows = []
+    for i in range(3000):
+        toxic = i % 20 == 0
+        words = [rng.choice(plain) for _ in range(30)]
+        for _ in range(rng.choice([1, 2, 3]) if toxic else rng.random() < 0.15):
+            words[rng.randrange(30)] = rng.choice(bad)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic"), spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    every, some = toxicity.learn(docs, labels), toxicity.learn(docs, labels, sample=600)
+    weights = {r["toxic"]: r["weight"] for r in toxicity.sampled(docs, labels, 600).collect()}
+    assert weights == {0: 4.75, 1: 1.0}
+    # without weights the means are 0.079 and 0.153, and the text of one toxic word goes from 0.30 to 0.70
+    means = [sum(model.score(t) for _, t, _ in rows) / len(rows) for model in (every, some)]
+    assert abs(means[0] - means[1]) < 0.02
+    one = " ".join(plain[:29] + bad[:1])
+    assert abs(every.score(one) - some.score(one)) < 0.05
+
+
 def test_passages_hold_the_toxic_words(spark):
     model = toxicity.Model({"idiot": 3.0, "scum": 3.0}, 0.25, 1.0, 0.01)
     text = "a " * 40 + "idiot b scum " + "a " * 40 + "scum"

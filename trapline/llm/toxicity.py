@@ -131,13 +131,14 @@ def fit_law(best: list[tuple[float, int]]) -> tuple[float, float]:
     return rate, math.exp(min(rate * place, 50.0))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Bias and slope of y on x, with a small ridge on the slope, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Bias and slope of y on x, each example counting ``weight`` times (once), with a small ridge on the slope, by Newton steps."""
+    weight = np.ones_like(x) if weight is None else weight
     design, w = np.column_stack([np.ones_like(x), x]), np.zeros(2)
     ridge = np.diag([1e-6, 1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge, design.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(design.T @ (design * (weight * p * (1 - p))[:, None]) + ridge, design.T @ (weight * (y - p)) - ridge @ w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -145,10 +146,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sampled(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``text`` and ``toxic`` of at most ``sample`` labelled documents of either class, by the smallest hashes of their ids."""
+    """``text``, ``toxic`` and ``weight`` of at most ``sample`` labelled documents of either class, by the smallest hashes of their ids.
+
+    ``weight`` is how many labelled documents of its class a sampled one stands for.
+    """
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = least_hashed(marked, "toxic", "doc_id", sample)  # at most twice the sample
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null").select("text", "toxic")
+    sizes = marked.groupBy("toxic").agg(F.greatest(F.count(F.lit(1)) / sample, F.lit(1.0)).alias("weight"))
+    picked = least_hashed(marked, "toxic", "doc_id", sample).join(F.broadcast(sizes), "toxic")  # at most twice the sample, and two rows
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter("text is not null").select("text", "toxic", "weight")
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior: float = PRIOR, caution: float = CAUTION, drift: float = DRIFT) -> Model:
@@ -158,6 +163,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior:
     zero come to the driver; the law and the map are fitted on one number or two per sampled
     document. Half of the sample (by hash of the text) gives the token scores for the other half
     and the other way round, so that the law and the map see scores of texts that weren't counted.
+    Token scores and the law compare shares within a class and don't depend on how common a class
+    is. The map does: there each example counts for the labelled documents it stands for, so that
+    a class thinned by ``sample`` keeps its natural share.
     Without labelled documents of both classes every text scores 0.5.
     """
     rows = sampled(documents, labels, sample).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
@@ -194,13 +202,13 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, prior:
             out.append([float(len(words)), *sorted((s for s, _, _ in segments(scores, len(words), drift)), reverse=True)])
         return pd.Series(out)
 
-    examples = [(r.toxic, r.seen[0], r.seen[1:]) for r in rows.select("toxic", seen("text", "half").alias("seen")).collect()]
-    if len({t for t, _, _ in examples}) < 2:
+    examples = [(r.toxic, r.weight, r.seen[0], r.seen[1:]) for r in rows.select("toxic", "weight", seen("text", "half").alias("seen")).collect()]
+    if len({e[0] for e in examples}) < 2:
         return Model(odds, drift)
-    rate, size = fit_law([(best[0] if best else 0.0, n) for toxic, n, best in examples if not toxic])
+    rate, size = fit_law([(best[0] if best else 0.0, n) for toxic, _, n, best in examples if not toxic])
     law = Model(odds, drift, rate, size)
-    x = np.array([math.log1p(law.evidence([(size * max(n, 1) * math.exp(-rate * s), 0, 0) for s in best])) for _, n, best in examples])
-    bias, slope = fit_logistic(x, np.array([t for t, _, _ in examples], float))
+    x = np.array([math.log1p(law.evidence([(size * max(n, 1) * math.exp(-rate * s), 0, 0) for s in best])) for _, _, n, best in examples])
+    bias, slope = fit_logistic(x, *(np.array(c, float) for c in list(zip(*examples, strict=True))[:2]))
     return Model(odds, drift, rate, size, bias, max(slope, 0.0))
 
 
@@ -239,7 +247,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, sample: int = SAMPL
     """doc_id, held_out, score and predicted (1 from 0.7 on) of every document.
 
     Learns from the labels of documents that aren't held out. A null id is held out neither way
-    (null). Every row is scored by itself, without a shuffle; repeated rows stay.
+    (null). Every row is scored by itself, without a shuffle; repeated rows stay. Null and empty
+    texts score lowest, and a very long text is read whole in one linear scan.
     """
     model = learn(documents, labels.filter(~held_out()), sample)
     rows = documents.select("doc_id", held_out().alias("held_out"), score(F.col("text"), model).alias("score"))
