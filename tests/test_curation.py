@@ -1,12 +1,14 @@
 """Merges, imports, files and streams."""
 
 import datetime as dt
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from trapline.operators import access, media, merge
 from trapline.session import scratch_path
-from trapline.sources import files, gallery
+from trapline.sources import files, gallery, paged, similarities
 from trapline.streaming import online
 
 
@@ -205,3 +207,50 @@ def test_identity_import_rejects_ambiguous_keys(spark):
     got = {r["id"]: (r["name"], r["sex"], r["coat_type"], r["status"]) for r in table.collect()}
     assert got == {1: ("A", "U", "U", "unchanged"), 2: ("B", "U", "U", "unchanged"), 3: ("C", "F", "M", "updated"), 4: ("D", None, "N", "created")}
     assert [r["_key"] for r in rejected.collect()] == ["B1"]
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_stored_pages(spark, ranges):
+    path, order = scratch_path(spark, "paged"), [F.col("at").desc_nulls_last(), F.col("id")]
+    rows = [(i, None if i % 9 == 0 else i * 37 % 100) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, at int")
+    paged.write(df, path, order, ranges)
+    ordered = [i for i, at in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    ids = lambda found: [r["id"] for r in found.collect()]
+    assert paged.count(spark, path) == 500
+    for start, end in ((0, 500), (0, 1), (123, 124), (60, 200), (490, 700), (500, 510), (-5, 3), (10, 10), (20, 10)):
+        assert ids(paged.read(spark, path, df.schema, order, start, end)) == ordered[max(start, 0) : max(end, 0)]
+    for number, first in ((1, 0), (17, 480), (18, 0), (0, 0), (-3, 0), (9, 240)):
+        assert ids(paged.page(spark, path, df.schema, order, number, 30)) == ordered[first : first + 30]
+
+
+def test_deep_page_reads_one_range(spark):
+    path, df = scratch_path(spark, "paged"), spark.range(10_000)
+    paged.write(df, path, [F.col("id")], 20)
+    (place,) = spark.read.parquet(f"{path}/ranges").filter("start <= 9000 and start + n > 9010").collect()
+    deep = paged.page(spark, path, df.schema, [F.col("id")], 901, 10)
+    assert [r["id"] for r in deep.collect()] == list(range(9000, 9010))
+    (pruned,) = re.findall(r"PartitionFilters: \[(.*?)\]", deep._jdf.queryExecution().executedPlan().toString())
+    assert f"(page_range#" in pruned and f"= {place['page_range']})" in pruned
+    assert spark.read.parquet(f"{path}/rows").filter(F.col("page_range") == place["page_range"]).count() == place["n"] < 1500
+
+
+def test_stored_pages_of_an_empty_table(spark):
+    path, df = scratch_path(spark, "paged"), spark.range(0)
+    paged.write(df, path, [F.col("id")])
+    assert paged.count(spark, path) == 0 and paged.page(spark, path, df.schema, [F.col("id")], 3, 10).collect() == []
+
+
+def test_saved_similarities_need_no_shuffle(spark):
+    path, name = scratch_path(spark, "similarities"), "similarities_test"
+    pairs = [(q, 100 + r, (q * r % 7) / 7) for q in range(30) for r in range(10)] + [(99, 100, 0.5)]
+    sides = spark.createDataFrame([(i, i % 5, f"p{i}") for i in [*range(30), *range(100, 109)]], "ref_id long, identity long, path string")
+    similarities.save(spark.createDataFrame(pairs, "query_id long, ref_id long, score double"), sides, sides, path, name, ["identity", "path"], 4)
+    schema = spark.table(name).schema
+    assert schema.names == ["query_id", "ref_id", "score", "q_identity", "q_path", "r_identity", "r_path"]
+    spark.sql(f"drop table {name}")  # an outside table: its files stay, as for another session
+    back = similarities.load(spark, path, name, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema), 4)
+    known = lambda i: (i % 5, f"p{i}") if i < 30 or 100 <= i < 109 else (None, None)
+    assert {tuple(r) for r in back.collect()} == {(q, r, s, *known(q), *known(r)) for q, r, s in pairs}
+    best = back.groupBy("query_id").agg(F.max("score").alias("best"))
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString() and best.count() == 31

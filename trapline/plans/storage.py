@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from trapline.functions import text as X
 from trapline.operators.scan import path_columns
 from trapline.plans.registry import query
+from trapline.plans.reid import SHORT, roles, shortlisted
 from trapline.session import scratch_path
-from trapline.sources import files, gallery
+from trapline.sources import files, gallery, paged, similarities
 from trapline.streaming import online, upsert
 
 CSV_SCHEMA = ("media_id long, original_path string, content string, read_error string, n_chars long")
@@ -76,6 +77,34 @@ def _(t):
     return kind(gallery.page(rows, 20, 40), "page").unionByName(kind(gallery.delete(t.spark, path, 2), "rest")).unionByName(kind(picked, "picked"))
 
 
+@query(
+    "src6_stored_row_range",
+    """with o as (select ref_id, identity, path, row_number() over (order by ref_id) as rn, count(*) over () as n from gallery)
+       select ref_id, identity, path from o where rn > n - 25 and rn <= n - 5""",
+)
+def _(t):
+    """A range of rows near the end of the gallery, from a table stored in key order."""
+    path, order = scratch_path(t.spark, "paged"), [F.col("ref_id")]
+    rows = t.gallery.select("ref_id", "identity", "path")
+    paged.write(rows, path, order)
+    n = paged.count(t.spark, path)
+    return paged.read(t.spark, path, rows.schema, order, n - 25, n - 5)
+
+
+@query(
+    "top_2_stored_page",
+    """with o as (select media_id, owner_id, row_number() over (order by captured_at desc nulls last, media_id) - 1 as place, count(*) over () as n from shots)
+       select media_id, owner_id from o where place // 24 = (n // 24) // 2""",
+)
+def _(t):
+    """The page in the middle of all media, from a table stored in display order."""
+    path, order = scratch_path(t.spark, "paged"), [F.col("captured_at").desc_nulls_last(), F.col("media_id")]
+    rows = t.shots.select("media_id", "owner_id", "captured_at")
+    paged.write(rows, path, order)
+    middle = paged.count(t.spark, path) // 24 // 2 + 1
+    return paged.page(t.spark, path, rows.schema, order, middle, 24).select("media_id", "owner_id")
+
+
 @query("src7_embedding_json", "select ref_id, cast(embedding[1] as double) as first, cast(embedding[64] as double) as last, 2e0 as key_y, 600 as width from gallery")
 def _(t):
     parsed = gallery_rows(t).select("ref_id", gallery.from_json(F.col("embedding")).alias("f"))
@@ -116,6 +145,21 @@ def _(t):
     return files.load_features(t.spark, path).select("ref_id", "identity", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").alias("dims"))
 
 
+@query(
+    "src11_similarity_save",
+    f"{SHORT} select query_id, max(score) as best, arg_min(ref_id, position) as best_ref, arg_min(identity, position) as best_identity, any_value(query_identity) as identity, count(*) as kept from k group by 1",
+)
+def _(t):
+    """The shortlist is saved with the metadata of both sides, read back and grouped by query where it lies."""
+    path = scratch_path(t.spark, "similarities")
+    name = "similarities_" + path.rsplit("-", 1)[1]
+    similarities.save(shortlisted(t), *roles(t), path, name, ["identity", "sequence_id"])
+    rows = similarities.load(t.spark, path, name)
+    best = F.max_by(F.struct("ref_id", "r_identity"), F.struct("score", -F.col("ref_id")))
+    found = rows.groupBy("query_id").agg(F.max("score").alias("best"), best.alias("_b"), F.first("q_identity").alias("identity"), F.count(F.lit(1)).alias("kept"))
+    return found.select("query_id", "best", F.col("_b.ref_id").alias("best_ref"), F.col("_b.r_identity").alias("best_identity"), "identity", "kept")
+
+
 @query("src12_latest_spreadsheet", "select media_id, lang from uploads")
 def _(t):
     """Two spreadsheets lie in the folder; the one whose path sorts last is read."""
