@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from trapline.operators import fuzzy, geojoin
@@ -25,6 +26,27 @@ def random_names(seed, n=70):
     return [(i, name, i % 2, rng.randint(0, 3), None) for i, name in enumerate(sorted(names))]
 
 
+def test_distances_of_many_pairs():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abßé ") for _ in range(n)) for n in [1, 2, 3, 5, 8, 13, 31, 63, 64, 64, 65, 90, 200]]
+    lengths = np.array([len(x) for x in texts], np.int32)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    some = np.minimum(lengths[a], lengths[b]) <= fuzzy.WORD
+    got = fuzzy._distances(fuzzy._code_points(texts, lengths), lengths, a[some], b[some])
+    assert got.tolist() == [edit_distance(texts[i], texts[j]) for i, j in zip(a[some], b[some], strict=True)]
+
+
+def test_long_names_and_letters_beyond_ascii(spark):
+    rng = random.Random(6)
+    change = lambda text, n: "".join(rng.choice("xy") if i in set(rng.sample(range(len(text)), n)) else c for i, c in enumerate(text))
+    long = "".join(rng.choice("abcdefghij") for _ in range(150))
+    texts = [long, change(long, 20), change(long, 75), "山川湖海", "山川湖泊", "straße am see", "strasse am see", "дом у реки", "дом у горы", "x" * 60, "x" * 66, "x" * 80]
+    frame = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, tenant int, name string")
+    got = {(r["id_1"], r["id_2"], r["distance"]) for r in fuzzy.similar_texts(frame, "tenant", "id", "name").collect()}
+    pairs = [(i, j, edit_distance(texts[i], texts[j])) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    assert got == {(i, j, d) for i, j, d in pairs if d < (len(texts[i]) + len(texts[j])) / 4}
+
+
 SCHEMA = "id long, name string, tenant int, n_media long, code string"
 
 

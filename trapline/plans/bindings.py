@@ -113,8 +113,8 @@ VIEWS: dict[str, str] = {
     "names": """
         select min(doc_id) as id, name, min(doc_id) % 2 as workgroup_id, count(*) as n_media,
           case when min(doc_id) % 3 = 0 then null else concat('B', cast(min(doc_id) // 2 as varchar)) end as code
-        from (select doc_id, lower(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2))) as name from {documents} where lang = 'en') as n
-        where length(name) > 3 and bit_length(name) = 8 * length(name) group by name""",
+        from (select doc_id, lower(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2))) as name from {documents}) as n
+        where length(name) > 3 group by name""",
     "files": """
         select p_partkey as media_id, concat('IMG_', upper(p_name), '.jpg') as original_filename,
           p_partkey % 2 as workgroup_id
