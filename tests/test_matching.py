@@ -158,3 +158,86 @@ def test_nearby(spark):
     got = {r["id"]: r["nearby"] for r in geojoin.nearby_counts(df).collect()}
     assert got == {i: sum(near(point[i], p) for p in point.values()) if i in point else 0 for i, _ in rows}
     assert {r["id"] for r in geojoin.localities_near(df, 200).collect()} == {i for i, p in point.items() if near(p, (0.0, 0.0))}
+
+
+def test_patterns_in_shards_and_blocks(spark):
+    """A stem that all files and patterns share gathers nothing: a file meets every shard once, and no group exceeds its share."""
+    files = spark.createDataFrame([(i, f"Panthera_{i:04d}_Panthera.JPG", i % 3 and 1) for i in range(900)] + [(900, None, 1), (901, "", 1), (902, "Panthera_0001", None)], "media_id long, filename string, tenant int")
+    identities = spark.createDataFrame([(f"i{i}", f"panthera_{i:04d}", "panthera" if i % 2 else None, 1) for i in range(400)] + [("none", None, None, 1), ("all", "panthera", "", 1)], "identity string, name string, code string, tenant int")
+    got = {(r["media_id"], r["identity"]): round(r["score"], 3) for r in fuzzy.names_in_filenames(files, identities, shard_patterns=100, block_files=50).collect()}
+    mine = [i for i in range(900) if i % 3]
+    expected = {(i, f"i{j}"): 0.1 for i in mine for j in range(1, 400, 2)} | {(i, "all"): 0.1 for i in mine}
+    expected |= {(i, f"i{i}"): 0.2 if i % 2 else 0.1 for i in mine if i < 400}
+    assert got == expected
+    patterns = fuzzy._patterns(identities)
+    text = files.selectExpr("tenant", "media_id", "lower(filename) as _text").filter("tenant = 1 and _text is not null")
+    dealt, spread = fuzzy.placed_files(text, patterns, 100, 50)
+    shards = -(-patterns.count() // 100)
+    assert dealt.count() == text.count() * shards
+    for placed, share in ((dealt, 50), (spread, 100)):
+        assert placed.groupBy("tenant", "_shard", "_block").count().agg({"count": "max"}).first()[0] < 2 * share
+
+
+def test_nothing_to_match(spark):
+    files, identities = "media_id long, filename string, tenant int", "identity string, name string, code string, tenant int"
+    empty = lambda schema: spark.createDataFrame([], schema)
+    assert fuzzy.names_in_filenames(empty(files), empty(identities)).isEmpty()
+    assert fuzzy.names_in_filenames(spark.createDataFrame([(1, "a", 1)], files), empty(identities)).isEmpty()
+    place = "id long, location string"
+    one = spark.createDataFrame([(1, "1.0,2.0"), (2, None)], place)
+    assert {(r["closest_area_id"], r["area_distance"]) for r in geojoin.nearest_area(one, empty(place)).collect()} == {(None, None)}
+    assert geojoin.nearest_area(empty(place), one).isEmpty() and geojoin.nearby_counts(empty(place)).isEmpty()
+    odd = spark.createDataFrame([(1, "NaN,1.0"), (2, "Infinity,1.0"), (3, "1.0,1.0")], place)
+    assert {r["id"]: r["closest_area_id"] for r in geojoin.nearest_area(odd, odd).collect()} == {1: None, 2: None, 3: 3}
+    assert {r["id"]: r["nearby"] for r in geojoin.nearby_counts(odd).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+@pytest.mark.parametrize("tile", [20, 200])
+def test_nearest_of_many_areas(spark, tile):
+    """Areas in a dense town and far ones, points far from every area: tiles stay of like size and the answers exact."""
+    rng = np.random.default_rng(tile)
+    areas = np.round(np.concatenate((rng.normal(0, 0.05, (900, 2)), rng.uniform(-80, 80, (300, 2)), np.stack((np.full(100, 7.0), np.linspace(-9, 9, 100)), 1))), 3)
+    points = np.round(np.concatenate((rng.normal(0, 0.1, (300, 2)), rng.uniform(-80, 80, (100, 2)), rng.uniform(1e6, 2e6, (20, 2)))), 3)
+    frame = lambda a: spark.createDataFrame([(i, f"{x},{y}") for i, (x, y) in enumerate(a.tolist())], "id long, location string")
+    got = {r["id"]: (r["closest_area_id"], r["area_distance"]) for r in geojoin.nearest_area(frame(points), frame(areas), tile).collect()}
+    far = np.sqrt((points[:, None, 0] - areas[None, :, 0]) ** 2 + (points[:, None, 1] - areas[None, :, 1]) ** 2)
+    assert got == {i: (int(far[i].argmin()), float(far[i].min())) for i in range(len(points))}
+    spots = geojoin.with_coordinates(frame(areas)).selectExpr("lat as _alat", "lon as _alon", "id as _area").dropDuplicates(["_alat", "_alon"])
+    sizes = [r["count"] for r in geojoin._tiled(spots, tile).groupBy("_tile").count().collect()]
+    assert max(sizes) < 3 * tile and len(sizes) <= 3 * 1300 / tile
+
+
+def test_packed_places_look_into_few_leaves():
+    rng = np.random.default_rng(1)
+    places_ = rng.uniform(0, 1, (20_000, 2))
+    tree = geojoin._Packed(places_[:, 0], places_[:, 1], np.arange(20_000))
+    x, y = rng.uniform(0, 1, (2, 50))
+    best, found = tree.nearest(x, y)
+    far = np.sqrt((x[:, None] - places_[:, 0]) ** 2 + (y[:, None] - places_[:, 1]) ** 2)
+    assert (best == far.min(1)).all() and (found == far.argmin(1)).all()
+    assert (geojoin._box_distance(x, y, tree.boxes) <= best[:, None]).sum(1).max() <= 9  # of 313 leaves
+
+
+def test_nearby_counts_of_a_town(spark):
+    """100,000 places of one town: sums instead of pairs."""
+    rng = np.random.default_rng(4)
+    xy = rng.normal(0, 0.06, (100_000, 2))
+    xy[:1000] = np.round(xy[:1000], 1)  # whole multiples of the radius apart
+    df = spark.createDataFrame([(i, f"{x!r},{y!r}") for i, (x, y) in enumerate(xy.tolist())], "id long, location string")
+    counts = geojoin.nearby_counts(df)
+    got = {r["id"]: r["nearby"] for r in counts.select("id", "nearby").collect()}
+    some = np.concatenate((np.arange(300), rng.integers(0, 100_000, 700)))
+    for i in some.tolist():
+        assert got[i] == int((np.sqrt((xy[i, 0] - xy[:, 0]) ** 2 + (xy[i, 1] - xy[:, 1]) ** 2) < 0.1).sum())
+    assert len(got) == 100_000
+
+
+def test_offsets_of_cells():
+    inner, border = geojoin._around(4)
+    assert (0, 0) in inner and not set(inner) & set(border)
+    both = set(border) | {(-x, -y) for x, y in border}
+    rng = np.random.default_rng(9)
+    a, b = rng.uniform(-9, 9, (2, 20_000, 2))
+    near = np.hypot(*(a - b).T) < 4
+    apart = [tuple(x) for x in (np.floor(b) - np.floor(a)).astype(int).tolist()]
+    assert all(n for n, o in zip(near, apart, strict=True) if o in inner) and all(o in both or o in inner for n, o in zip(near, apart, strict=True) if n)
