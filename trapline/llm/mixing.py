@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trapline.llm.tables import free_name
+from trapline.llm.tables import free_name, small_table
 from trapline.llm.tokens import mix as scramble
 from trapline.operators.ordered import running_sum
 
@@ -117,7 +117,7 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     blocks = [-(-n // block_words) for n in totals]
     quotas = [min(MOST_TIMES * b, round(goal * b / n)) if n else 0 for goal, b, n in zip(goals, blocks, totals, strict=True)]
     before = [sum(totals[:i]) for i in range(len(totals))]
-    table = spark.createDataFrame(list(zip(names, range(len(names)), totals, goals, before, strict=True)), "_name string, source_no int, source_size long, target double, _before long")
+    table = small_table(spark, list(zip(names, range(len(names)), totals, goals, before, strict=True)), "_name string, source_no int, source_size long, target double, _before long")
     rows = laid.join(table, F.col("source").eqNullSafe(F.col("_name"))).select(
         "key", "size", "source_no", "source_size", "target", (F.col("upto") - F.col("size") - F.col("_before")).alias("start"), (F.col("upto") - F.col("_before")).alias("end")
     )
@@ -125,7 +125,7 @@ def mix(documents: DataFrame, key: str = "doc_id", text: str = "text", source: s
     for shard, counts in enumerate(draw_counts(quotas, shard_slots, seed)):
         draws += [(shard, i, blocks[i], int(given[i]), int(given[i] + c - 1)) for i, c in enumerate(counts.tolist()) if c]
         given += counts
-    drawn = spark.createDataFrame(draws, "shard int, source_no int, blocks long, first long, last long")
+    drawn = small_table(spark, draws, "shard int, source_no int, blocks long, first long, last long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = drawn.repartition(parts, "shard", "source_no").select("shard", "source_no", "blocks", F.explode(F.sequence("first", "last")).alias("slot"))
     slots = slots.select("shard", "source_no", "slot", _block("slot", "source_no", "blocks", F.lit(seed)).alias("block"))

@@ -7,6 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trapline.llm.tables import small_table
 from trapline.operators.ordered import row_number_in_group
 
 # Bundles of small groups per shard; also the number of pieces per shard over which a group counts as large.
@@ -51,8 +52,8 @@ def schedule(rows: DataFrame, group: str, size: str, shards: int, bundles_per_sh
     )
     placed = longest_first({(bool(r.is_alone), r.alone is None, r.alone or 0, r.bundle if r.bundle is not None else -1): r["size"] for r in items}, shards)
     spark = rows.sparkSession
-    alone = spark.createDataFrame([(None if null else key, shard) for (is_alone, null, key, _), shard in placed.items() if is_alone], "_a_group long, _a_shard int")
-    bundled = spark.createDataFrame([(key, shard) for (is_alone, _, _, key), shard in placed.items() if not is_alone], "_b_bundle long, _b_shard int")
+    alone = small_table(spark, [(None if null else key, shard) for (is_alone, null, key, _), shard in placed.items() if is_alone], "_a_group long, _a_shard int")
+    bundled = small_table(spark, [(key, shard) for (is_alone, _, _, key), shard in placed.items() if not is_alone], "_b_bundle long, _b_shard int")
     # both tables are bounded by parts
     out = rows.withColumn("_bundle", F.pmod(F.coalesce(F.xxhash64(F.col(group)), F.lit(0)), F.lit(parts)))
     out = out.join(F.broadcast(alone), F.col(group).eqNullSafe(F.col("_a_group")), "left")

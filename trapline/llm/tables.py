@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trapline.session import scratch_path
 
@@ -44,3 +47,11 @@ def least_hashed(rows: DataFrame, by: str, id_col: str, n: int) -> DataFrame:
     likely = hashed.filter((F.col("_at") / 2.0**64 + 0.5) * F.col("_size") <= 1.5 * n + 100)
     order = Window.partitionBy(by).orderBy("_at")
     return likely.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).select(by, id_col)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver holds. It is handed over as Arrow, so no Python worker starts on the executors for it."""
+    kind = T.StructType.fromDDL(schema)
+    columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+    arrays = [pa.array(list(values), to_arrow_type(field.dataType)) for values, field in zip(columns, kind, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=kind.names), kind)
