@@ -286,6 +286,20 @@ def test_every_word_has_a_probability_of_its_own(spark):
     assert len({round(v, 6) for i, v in by_id.items() if i >= 10}) == 3 and by_id[11] < by_id[10] < max(by_id[i] for i in range(10))
 
 
+def test_every_position_is_trained_on_once(spark):
+    lengths = np.array([0, 1, 2, 3, 50, 1])
+    for rounds in (1, 2, 3):  # each position has one turn, and long texts are dealt evenly
+        taken = pseudo_likelihood.turns(lengths, rounds)
+        assert len(taken) == 57 and set(taken) <= set(range(rounds)) and np.ptp(np.bincount(taken[6:56], minlength=rounds)) <= 1
+    # equal texts of two words: positions that are left out of one are left out of all
+    texts = [f"{a}{b} {b}{a}" for a in "abcd" for b in "efgh"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 60)], "doc_id long, text string").coalesce(1)
+    words = sorted({w for t in texts for w in t.split()})
+    network = pseudo_likelihood.train(docs, words, step=8)
+    per_token = [r["per_token"] for r in pseudo_likelihood.score(docs.limit(16), network, words).collect()]
+    assert len(per_token) == 16 and min(per_token) > -1.5  # -3.5 by chance
+
+
 def test_training_raises_the_likelihood(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     words = pseudo_likelihood.vocabulary(docs)

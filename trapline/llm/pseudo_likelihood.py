@@ -6,7 +6,7 @@ frequent words is one, the other words that are seen often enough are dealt by t
 classes of one symbol each, and all words that are left are one symbol. A word's probability is that of
 its symbol by the network times that of the word among the words of the symbol: by its count in a
 class, by its spelling among the words that are left. The network is trained in numpy, in every task
-on the documents of the task, and the tasks' parameters are averaged after each round.
+on all positions of the documents of the task, and the tasks' parameters are averaged after each round.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm.tables import kept, small_batches
-from trapline.llm.tokens import mix
 
 # Words that are symbols (symbol 0 is any word without another), words on each side, and hidden units.
 VOCABULARY, SIDE, HIDDEN = 255, 2, 16
@@ -32,12 +31,12 @@ VOCABULARY, SIDE, HIDDEN = 255, 2, 16
 CLASSES, ENDING, WORD_PARTS = 128, 3, 200_000
 # Pairs of characters that the spelling keeps counts of, and the weight of single characters against them.
 PAIRS, BACK = 200_000, 10.0
-# One in so many positions of every document is trained on, in steps of STEP examples, for ROUNDS averages.
-ONE_IN, STEP, ROUNDS, RATE = 16, 256, 2, 0.1
+# Every position is trained on once, in steps of STEP examples; each of the ROUNDS averages takes its share of the positions of every document.
+STEP, ROUNDS, RATE = 256, 2, 0.1
 # A task reports the words that it has counted when it knows so many.
 COUNT_AT = 200_000
-# Tokens that are scored at once.
-CHUNK = 4_096
+# Tokens that are scored at once: their logits stay in the processor's cache.
+CHUNK = 512
 
 
 def words_of(text: str | None) -> list[str]:
@@ -113,16 +112,12 @@ class Lexicon:
     def of(words: list[str] | Lexicon) -> Lexicon:
         return words if isinstance(words, Lexicon) else Lexicon({w: i + 1 for i, w in enumerate(words)}, len(words))
 
-    def ids(self, text: str | None) -> np.ndarray:
-        found = ids_of(text, self.numbers)
-        return self.symbols[found] if len(self.symbols) else found
-
     def read(self, text: str | None) -> tuple[np.ndarray, float, list[str]]:
         """The symbols of a text, the log-probability of its known words within them, and the words to be spelled."""
-        found = ids_of(text, self.numbers)
+        words = words_of(text)
+        found = numbers_of(words, self.numbers)
         if not len(self.symbols):
             return found, 0.0, []
-        words = words_of(text) if (found == 0).any() else []
         return self.symbols[found], float(self.within[found].sum()), [words[i] for i in np.flatnonzero(found == 0)]
 
 
@@ -194,82 +189,141 @@ class Network:
             total += self.embed[place][around[:, place]]
         return np.tanh(total)
 
+    def weights(self) -> tuple[np.ndarray, bool]:
+        """Output weights with the bias below them, and whether no logit can overflow: hidden values are within 1."""
+        whole = np.vstack((self.out, self.bias))
+        return whole, bool(np.abs(whole).sum(axis=0).max() <= 60)
+
     def log_probabilities(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        logits = np.column_stack((self.hidden(around), np.ones(len(ids), np.float32))) @ np.vstack((self.out, self.bias))
+        weights, bounded = self.weights()
+        logits = np.column_stack((self.hidden(around), np.ones(len(ids), np.float32))) @ weights
         own = logits[np.arange(len(ids)), ids]
         most = 0.0
-        if (np.abs(self.out).sum(axis=0) + np.abs(self.bias)).max() > 80:  # hidden values are within 1: else no logit overflows
+        if not bounded:
             most = logits.max(axis=1)
             logits -= most[:, None]
-        return own - most - np.log(np.exp(logits, out=logits).sum(axis=1))
+        return own - most - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
 
     def train(self, around: np.ndarray, ids: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
         """One step of Adagrad on the mean negative log-probability of the hidden words."""
         n = len(ids)
         h = self.hidden(around)
-        logits = h @ self.out + self.bias
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), ids] -= 1
-        p /= n
-        back = (p @ self.out.T) * (1 - h * h)
-        embed = np.zeros_like(self.embed)
-        for place in range(len(self.embed)):
-            order = np.argsort(around[:, place], kind="stable")
-            word = around[order, place]
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            embed[place][word[first]] = np.add.reduceat(back[order], first, axis=0)
-        for part, square, gradient in zip(self.parts(), squares, (embed, back.sum(axis=0), h.T @ p, p.sum(axis=0)), strict=True):
+        with_one = np.column_stack((h, np.ones(n, np.float32)))
+        weights, bounded = self.weights()
+        p = with_one @ weights
+        if not bounded:
+            p -= p.max(axis=1, keepdims=True)
+        total = np.exp(p, out=p) @ np.ones(p.shape[1], np.float32)
+        p[np.arange(n), ids] -= total
+        share = (1 / (total * n))[:, None]  # the softmax is never divided out: its few factors are
+        back = (p @ self.out.T) * (share * (1 - h * h))
+        outer = (with_one * share).T @ p
+        places, size, hidden = self.embed.shape
+        rows = (around + np.arange(places) * size).ravel().astype(np.min_scalar_type(places * size))
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        last = np.flatnonzero(np.concatenate((rows[1:] != rows[:-1], [True])))
+        sums = np.cumsum(back.T.astype(np.float64).take(order // places, axis=1), axis=1)[:, last]
+        embed, met = np.diff(sums, axis=1, prepend=0).T.astype(np.float32), rows[last].astype(np.int64)
+        # embeddings that weren't met have no gradient, and stay
+        square, part = squares[0].reshape(-1, hidden), self.embed.reshape(-1, hidden)
+        square[met] = now = square[met] + embed * embed
+        part[met] -= rate * embed / np.sqrt(now + 1e-8)
+        for part, square, gradient in zip(self.parts()[1:], squares[1:], (back.sum(axis=0), outer[:-1], outer[-1]), strict=True):
             square += gradient * gradient
             part -= rate * gradient / np.sqrt(square + 1e-8)
 
 
-def ids_of(text: str | None, numbers: dict[str, int]) -> np.ndarray:
-    words = words_of(text)
+def numbers_of(words: list[str], numbers: dict[str, int]) -> np.ndarray:
     return np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
 
 
-def train(documents: DataFrame, words: list[str] | Lexicon, rounds: int = ROUNDS, one_in: int = ONE_IN, step: int = STEP, hidden: int = HIDDEN) -> Network:
-    """Fit the network on one in ``one_in`` positions of every document.
+def ids_of(text: str | None, numbers: dict[str, int]) -> np.ndarray:
+    return numbers_of(words_of(text), numbers)
+
+
+def encode(documents: DataFrame, words: list[str] | Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, the ``symbols`` of the whole text (32-bit numbers one after another) and ``fixed``, the log-probability of its words within them."""
+    known = Lexicon.of(words)
+    kind = documents.select(id_col).schema[0].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every, within, spell = map(list, zip(*map(known.read, batch.column("text").to_pylist()), strict=True)) if len(batch) else ([], [], [])
+            fixed = np.array(within, np.float64)
+            if flat := [w for some in spell for w in some]:
+                fixed += np.bincount(np.repeat(np.arange(len(every)), [len(some) for some in spell]), known.spelling.log_probabilities(flat), len(every))
+            symbols = pa.array([x.astype(np.int32).tobytes() for x in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), symbols, pa.array(fixed)], ["id", "symbols", "fixed"])
+
+    rows = small_batches(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return rows.mapInArrow(read, f"id {kind}, symbols binary, fixed double")
+
+
+def unpacked(symbols: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts of a batch one after another, and the lengths of the texts."""
+    _, starts, data = symbols.cast(pa.large_binary()).buffers()
+    offsets = np.frombuffer(starts, np.int64)[symbols.offset : symbols.offset + len(symbols) + 1] if len(symbols) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    return whole.view(np.int32), np.diff(offsets) // 4
+
+
+def padded(flat: np.ndarray, lengths: np.ndarray, network: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with what stands for beyond a text between them, where each token is in that, and the places around a token."""
+    side, beyond = len(network.embed) // 2, network.embed.shape[1] - 1
+    at = np.arange(len(flat)) + np.repeat(side * np.arange(1, len(lengths) + 1), lengths)
+    out = np.full(len(flat) + side * (len(lengths) + 1), beyond)
+    out[at] = flat
+    return out, at, np.array([*range(-side, 0), *range(1, side + 1)])
+
+
+def turns(lengths: np.ndarray, parts: int) -> np.ndarray:
+    """For every token of texts of these lengths the one of ``parts`` turns that takes it, by its place and the length of its text."""
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return (place + np.repeat(lengths, lengths)) % parts
+
+
+def train(documents: DataFrame, words: list[str] | Lexicon, rounds: int = ROUNDS, one_in: int = 1, step: int = STEP, hidden: int = HIDDEN) -> Network:
+    """Fit the network on one in ``one_in`` positions of every document, by default on all of them; see ``fit``."""
+    return fit(encode(documents, words, "text"), Lexicon.of(words).size, rounds, one_in, step, hidden)
+
+
+def fit(encoded: DataFrame, size: int, rounds: int = ROUNDS, one_in: int = 1, step: int = STEP, hidden: int = HIDDEN) -> Network:
+    """Fit the network of ``size`` symbols on all positions of the ``encoded`` texts, each in one of the rounds.
 
     Each task starts from the last average, makes its steps and returns its parameters with the
     number of its examples; Spark averages them by that weight, so what is gathered grows with the
-    input and the driver sees one network. Which positions are taken depends on the text alone.
+    input and the driver sees one network. Which round takes a position depends on the text alone.
     """
-    known = Lexicon.of(words)
-    network = Network.start(known.size, hidden=hidden)
+    network = Network.start(size, hidden=hidden)
     for turn in range(rounds):
         begin = network
 
         def learn(batches: Iterator[pa.RecordBatch], begin: Network = begin, turn: int = turn) -> Iterator[pa.RecordBatch]:
             own = begin.filled(begin.vector())
             squares = [np.zeros_like(p) for p in own.parts()]
-            waiting, size, seen = [], 0, 0
+            around, wanted, seen = np.empty((0, len(own.embed)), np.int64), np.empty(0, np.int64), 0
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    ids = known.ids(text)
-                    if not len(ids):
-                        continue
-                    places = np.arange(len(ids), dtype=np.uint64)
-                    mark = np.uint64(int(ids.sum()) * 2_654_435_761 + len(ids) + (turn << 32))
-                    at = np.flatnonzero(mix(places + mark) % np.uint64(one_in) == 0)
-                    waiting.append((own.around(ids, at), ids[at]))
-                    size += len(at)
-                    if size >= step:
-                        around, wanted = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                        upto = len(wanted) // step * step
-                        for i in range(0, upto, step):
-                            own.train(around[i : i + step], wanted[i : i + step], squares)
-                        seen += upto
-                        waiting, size = [(around[upto:], wanted[upto:])], len(wanted) - upto
-            if size:
-                own.train(*(np.concatenate(x) for x in zip(*waiting, strict=True)), squares)
-                seen += size
+                flat, lengths = unpacked(batch.column("symbols"))
+                text, at, places = padded(flat, lengths, own)
+                at = at[turns(lengths, rounds * one_in) == turn]
+                i = 0
+                while i < len(at):
+                    some = at[i : i + step - len(wanted)]
+                    i += len(some)
+                    around, wanted = np.concatenate((around, text[some[:, None] + places])), np.concatenate((wanted, text[some]))
+                    if len(wanted) == step:
+                        own.train(around, wanted, squares)
+                        seen += step
+                        around, wanted = around[:0], wanted[:0]
+            if len(wanted):
+                own.train(around, wanted, squares)
+                seen += len(wanted)
             if seen:
                 values = own.vector()
                 yield pa.RecordBatch.from_pydict({"place": np.arange(len(values)), "total": values.astype(np.float64) * seen, "weight": np.full(len(values), float(seen))})
 
-        parts = documents.select("text").mapInArrow(learn, "place long, total double, weight double")
+        parts = encoded.select("symbols").mapInArrow(learn, "place long, total double, weight double")
         means = parts.groupBy("place").agg((F.sum("total") / F.sum("weight")).alias("mean")).orderBy("place").collect()  # the network's size
         if means:
             network = network.filled(np.array([r["mean"] for r in means]))
@@ -282,36 +336,31 @@ def score(documents: DataFrame, network: Network, words: list[str] | Lexicon, id
     A null, empty or blank text has 0 tokens, the sum 0 and no mean. Each row is scored by itself,
     a long text in chunks of positions; repeated rows stay.
     """
-    known = Lexicon.of(words)
-    kind = documents.select(id_col).schema[0].dataType.simpleString()
+    return score_encoded(encode(documents, words, id_col, text_col), network, id_col)
+
+
+def score_encoded(encoded: DataFrame, network: Network, id_col: str = "doc_id") -> DataFrame:
+    """As ``score``, of texts that are ``encoded`` already."""
+    kind = encoded.select("id").schema[0].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every, within, spell = map(list, zip(*map(known.read, batch.column("text").to_pylist()), strict=True)) if len(batch) else ([], [], [])
-            sums, i = np.array(within, np.float64), 0
-            if flat := [w for some in spell for w in some]:
-                sums += np.bincount(np.repeat(np.arange(len(every)), [len(some) for some in spell]), known.spelling.log_probabilities(flat), len(every))
-            while i < len(every):  # short texts together, a long one alone and in chunks
-                j, size = i, 0
-                while j < len(every) and (j == i or size + len(every[j]) <= CHUNK):
-                    size += len(every[j])
-                    j += 1
-                ids = np.concatenate(every[i:j])
-                around = np.concatenate([network.around(x) for x in every[i:j]]) if size else np.empty((0, len(network.embed)), np.int64)
-                logs = np.concatenate([network.log_probabilities(around[k : k + CHUNK], ids[k : k + CHUNK]) for k in range(0, size, CHUNK)]) if size else np.empty(0)
-                owner = np.repeat(np.arange(i, j), [len(x) for x in every[i:j]])
-                sums += np.bincount(owner, logs, len(every))
-                i = j
-            n = np.array([len(x) for x in every], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(sums)], [id_col, "n_tokens", "log_probability"])
-
-    rows = small_batches(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    out = rows.mapInArrow(scored, f"`{id_col}` {kind}, n_tokens long, log_probability double")
+            flat, lengths = unpacked(batch.column("symbols"))
+            text, at, places = padded(flat, lengths, network)
+            logs = np.empty(len(at))
+            for i in range(0, len(at), CHUNK):
+                some = at[i : i + CHUNK]
+                logs[i : i + CHUNK] = network.log_probabilities(text[some[:, None] + places], text[some])
+            sums = np.asarray(batch.column("fixed")) + np.bincount(np.repeat(np.arange(len(lengths)), lengths), logs, len(lengths))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lengths), pa.array(sums)], [id_col, "n_tokens", "log_probability"])
+
+    out = encoded.mapInArrow(scored, f"`{id_col}` {kind}, n_tokens long, log_probability double")
     return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_probability") / F.col("n_tokens")))
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
-    """Train on all documents and score them: doc_id, n_tokens, log_probability, per_token."""
+    """Train on all documents and score them: doc_id, n_tokens, log_probability, per_token. Texts are looked up once."""
     rows = small_batches(documents.select("doc_id", "text"))
     words = lexicon(rows)
-    return score(rows, train(rows, words), words)
+    encoded = kept(encode(rows, words), "encoded")
+    return score_encoded(encoded, fit(encoded, words.size))
