@@ -40,6 +40,15 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_to_the_smallest_nodes_go_in_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "kept", lambda df, name, keep=components.kept: written.append(name) or keep(df, name))
+    links = [(hub, n) for hub in (0, 5_000, 9_000) for n in range(hub + 1, hub + 3_000)]
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["component"]: r["count"] for r in got.groupBy("component").count().collect()} == {0: 3_000, 5_000: 3_000, 9_000: 3_000}
+    assert written.count("moves") == 1
+
+
 @pytest.mark.parametrize("shape", ["ascending", "descending", "shuffled", "comb"])
 def test_rounds_grow_with_the_logarithm(spark, monkeypatch, shape):
     written = []

@@ -15,10 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node in ``links`` (``a``, ``b``).
 
     Distributed union-find by contraction: in each round every node moves to the one of its
-    neighbours and itself that comes first in an order by hash, another one each round, and links
-    are drawn between the places moved to, until none is left. In such orders the nodes of any
-    graph, a long chain with ascending numbers too, shrink by a share each round, so rounds grow
-    with the logarithm of the nodes. The first neighbour is found with map-side combining, and the
+    neighbours and itself that comes first in an order, another one each round, and links
+    are drawn between the places moved to, until none is left. The first order is that of the nodes,
+    in which all links to the smallest node of a bucket or component go at once. The others are by
+    hash: in such orders the nodes of any graph, a long chain with ascending numbers too, shrink by
+    a share each round, so rounds grow with the logarithm of the nodes. The first neighbour is found with map-side combining, and the
     joins are plain ones between stored tables, so a node with very many links is split by the
     adaptive skew join. No links: no rows.
     """
@@ -26,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     nodes, rounds = None, 0
     while not links.isEmpty():
         rounds += 1
-        placed = lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        placed = lambda c: F.struct((F.xxhash64(F.lit(rounds), c) if rounds > 1 else F.lit(0)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         ends = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = ends.groupBy("a").agg(F.min(placed("b")).alias("b"))
         moves = kept(first.select(F.col("a").alias("node"), F.least("b", placed("a"))["n"].alias("to")), "moves")
@@ -98,8 +99,9 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
         else:
             pairs = close_pairs(open_rows, verify.sketches(), percent)
         new = kept(verify(kept(pairs.distinct(), "pairs")).select("a", "b"), "verified")
-        links = new if links is None else links.union(new)
-        found = components(links)
+        if found is not None:  # what is connected already needs its links no more
+            links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(new if links is None else links.union(new))
         if step < rounds:
             rest = open_rows.filter("node <> hub").select("key", "node")
             rows = rest.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
