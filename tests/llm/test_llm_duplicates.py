@@ -124,6 +124,35 @@ def test_close_pairs_against_all_pairs(spark, block):
     assert linked and linked <= found <= met and len(found) < len(met) / 2
 
 
+@pytest.mark.parametrize("block", [2_048, 50])
+def test_close_pairs_with_sets_give_few_links(spark, block):
+    rng = np.random.default_rng(4)
+    base = tokens.mix(np.arange(80, dtype=np.uint64))
+    # pairs of a group share some three quarters of their members: most are near the threshold, on both sides
+    sets = [np.sort(base[rng.random(80) < 0.86]) for _ in range(150)] + [np.sort(tokens.mix(base + np.uint64(k))) for k in range(10)]
+    sketches = spark.createDataFrame([(n, len(s), bitmaps.bitmap(s), s.tobytes()) for n, s in enumerate(sets)], "node long, n long, bitmap binary, members binary")
+    rows = spark.createDataFrame([(1, n, n if n % 9 else 0) for n in range(160)], "key long, node long, component long")
+    read = lambda members: [np.frombuffer(x, np.uint64) for x in members]
+    found = [tuple(r) for r in bitmaps.close_pairs(rows, sketches, 75, block, read).collect()]
+    linked = {(a, b) for a, b in itertools.combinations(range(160), 2) if (a % 9 or b % 9) and bitmaps.enough(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 75)}
+    same = [(0, n) for n in range(0, 160, 9)]
+    assert set(found) <= linked and len(linked) > 1_000 and len(found) < (160 if block > 160 else 160 * 10)
+    assert united(range(160), [*found, *same]) == united(range(160), [*linked, *same])
+
+
+def test_bitmaps_of_many_pairs_as_of_one():
+    rng = np.random.default_rng(5)
+    sets = [tokens.mix(rng.integers(0, 400, n).astype(np.uint64)) for n in rng.integers(1, 300, 60)]
+    sets = [np.unique(s) for s in sets]
+    pairs = [(i, j) for i in range(60) for j in range(60)]
+    n, m = (np.array([len(sets[p[k]]) for p in pairs]) for k in (0, 1))
+    maps = [[bitmaps.bitmap(sets[p[k]]) for p in pairs] for k in (0, 1)]
+    expected = [k for k in range(len(pairs)) if bitmaps.enough(bitmaps.most_common(maps[0][k], maps[1][k], n[k], m[k]), n[k], m[k], 75)]
+    assert lines.possibly_alike(n, m, *maps, 75).tolist() == expected
+    texts = ["ab".encode(), "täglich eine Zeile".encode(), b"aaaaaaaaaaaaaaaa", b"\xff short", b"a longer line of some words"] * 3
+    assert all(np.array_equal(a, np.unique(lines.shingles(b))) for a, b in zip(lines.line_sets(texts), texts, strict=True))
+
+
 # ---- jaccard join ---------------------------------------------------------------------------
 
 

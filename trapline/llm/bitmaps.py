@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +57,24 @@ def possible(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], percen
         yield a + i, b
 
 
-def close_pairs(rows: DataFrame, sketches: DataFrame, percent: int, block_sets: int = BLOCK_SETS) -> DataFrame:
+def common_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of ``others`` shares with ``own`` (sorted, distinct, not empty)."""
+    members = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, members), len(own) - 1)
+    return np.bincount(np.repeat(np.arange(len(others)), [len(x) for x in others]), own[at] == members, len(others)).astype(np.int64)
+
+
+def close_pairs(rows: DataFrame, sketches: DataFrame, percent: int, block_sets: int = BLOCK_SETS, sets: Callable[[list[bytes]], list[np.ndarray]] | None = None) -> DataFrame:
     """Pairs (``a`` < ``b``) of nodes that share a ``key``, are in different components and may share enough.
 
     ``rows`` has key, node and component, ``sketches`` node, n and bitmap. The nodes of a key are
     compared in blocks of bounded size inside tasks, and only what the bitmaps leave comes out. A
     node goes to as many tasks as its key has blocks. A pair that shares many keys comes out where
     it meets first, as far as the ``FIRST_KEYS`` smallest keys of both tell.
+
+    With ``sets``, which makes the sets (sorted and distinct, none empty) of what is in a column
+    ``members`` of ``sketches``, pairs are compared exactly, and of a block's links only those come
+    out that connect something anew: fewer than it has nodes, however many pairs are close.
     """
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_sets).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -71,11 +82,35 @@ def close_pairs(rows: DataFrame, sketches: DataFrame, percent: int, block_sets:
     placed = rows.select("key", "node", "component").join(sizes, "key").withColumn("own", own).join(sketches.join(firsts, "node"), "node")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    names = ["key", "i", "j", "own", "node", "component", "n", "bitmap", "firsts"]
+    names = ["key", "i", "j", "own", "node", "component", "n", "bitmap", "firsts"] + ["members"] * (sets is not None)
     dealt = placed.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compared(key: int, group: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        own, node, component, n, maps, firsts = group
+        own, node, component, n, maps, firsts, *members = group
+        if len(np.unique(component)) < 2:
+            return
+        made: dict[int, np.ndarray] = {}
+        label = np.unique(component, return_inverse=True)[1]
+
+        def linked(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Of the pairs of rows those that are links and connect what wasn't connected in this block."""
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                x, others = a[start], b[start:end]
+                others = others[label[others] != label[x]]
+                if not len(others):
+                    continue
+                if fresh := [i for i in (x, *others.tolist()) if i not in made]:
+                    made.update(zip(fresh, sets([members[0][i] for i in fresh]), strict=True))
+                common = common_counts(made[x], [made[i] for i in others.tolist()])
+                others = others[100 * common >= percent * (n[x] + n[others] - common)]
+                labels, first = np.unique(label[others], return_index=True)
+                if len(first):
+                    label[np.isin(label, labels)] = label[x]
+                    yield np.full(len(first), node[x]), node[others[first]]
+
         before = np.array([[*x, *[key] * (FIRST_KEYS - len(x))] for x in firsts], np.int64)  # keys below this one count
         length = np.array([len(x) for x in maps])
         sides = {}
@@ -94,7 +129,10 @@ def close_pairs(rows: DataFrame, sketches: DataFrame, percent: int, block_sets:
                     for k in range(0, len(a), AT_ONCE // 512):
                         x, y = a[k : k + AT_ONCE // 512], b[k : k + AT_ONCE // 512]
                         met = ((before[x][:, :, None] == before[y][:, None, :]) & (before[x] < key)[:, :, None]).any(axis=(1, 2))
-                        yield node[x[~met]], node[y[~met]]
+                        if not members:
+                            yield node[x[~met]], node[y[~met]]
+                        elif not met.all():
+                            yield from linked(x[~met], y[~met])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] | None = None
@@ -114,7 +152,7 @@ def close_pairs(rows: DataFrame, sketches: DataFrame, percent: int, block_sets:
 
         for batch in batches:
             objects = lambda c: np.array([*batch.column(c).to_pylist(), None], object)[:-1]
-            columns = [objects(c) if c in ("bitmap", "firsts") else np.asarray(batch.column(c)) for c in names]
+            columns = [objects(c) if c in ("bitmap", "firsts", "members") else np.asarray(batch.column(c)) for c in names]
             if waiting is not None:
                 columns = [np.concatenate(x) for x in zip(waiting, columns, strict=True)]
             step = done(columns, False)

@@ -69,8 +69,8 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
 
     ``buckets`` has ``key`` and ``node`` (long), rows may repeat; ``verify`` takes distinct pairs (``a``, ``b``) and
     returns those that are links, of at least ``percent`` % of common members; ``verify.sketches()``
-    gives the sizes and bitmaps of the nodes' sets, and ``verify.prepare``, if there, gets the nodes
-    of all buckets of more than one node first. ``known`` are links (``a``, ``b``) to begin with. Nodes without a
+    gives the sizes and bitmaps of the nodes' sets (with ``verify.sets``, if there, also what that makes
+    the sets of), and ``verify.prepare``, if there, gets the nodes of all buckets of more than one node first. ``known`` are links (``a``, ``b``) to begin with. Nodes without a
     link are left out.
 
     Pairs inside a component needn't be looked at. In each of ``rounds`` rounds the smallest node
@@ -78,9 +78,9 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
     bucket with all its pairs settled; buckets whose nodes are all in one component are finished.
     A group of n near copies costs about n comparisons that way. What is left after the rounds
     (nodes that share a key but no link) is compared by bitmaps inside tasks, and what these can't
-    rule out is verified, so no link is lost.
+    rule out is verified, in the same tasks if the sets are at hand, so no link is lost.
     """
-    links, found = known, None
+    links, found, sets = known, None, getattr(verify, "sets", None)
     rows = _once(buckets.select("key", "node")).withColumn("component", F.col("node"))
     for step in range(rounds + 1):
         bucket = Window.partitionBy("key")
@@ -97,8 +97,9 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], percen
         if step < rounds:
             pairs = open_rows.filter("hub_component <> component").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         else:
-            pairs = close_pairs(open_rows, verify.sketches(), percent)
-        new = kept(verify(kept(pairs.distinct(), "pairs")).select("a", "b"), "verified")
+            pairs = close_pairs(open_rows, verify.sketches(), percent, sets=sets)
+        pairs = kept(pairs.distinct(), "pairs")
+        new = pairs if step == rounds and sets else kept(verify(pairs).select("a", "b"), "verified")
         if found is not None:  # what is connected already needs its links no more
             links = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(new if links is None else links.union(new))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.llm import tokens
-from trapline.llm.bitmaps import bitmap, enough, most_common
+from trapline.llm.bitmaps import bitmap, folded
 from trapline.llm.components import connect
 from trapline.llm.tables import kept, small_batches
 
@@ -106,13 +106,44 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return keys
 
 
-def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Hashes and bytes of the lines that a task meets for the first time, without empty ones."""
+def line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingles of every line. No line is empty."""
+    sets: list[np.ndarray] = []
+    sizes = np.cumsum([len(line) + 1 for line in lines])
+    while (i := len(sets)) < len(lines):
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + PIECE_CHARS)))
+        found, first, last = packed_shingles(lines[i:j])
+        for start, end in zip(first.tolist(), last.tolist(), strict=True):
+            own = np.sort(found[start:end])
+            new = own[1:] != own[:-1]
+            sets.append(own if new.all() else own[np.concatenate(([True], new))])
+    return sets
+
+
+def possibly_alike(n: np.ndarray, m: np.ndarray, p: list[bytes], q: list[bytes], percent: int) -> np.ndarray:
+    """Numbers of the pairs of sets (n and m members, bitmaps p and q) that bitmaps don't rule out."""
+    most = np.minimum(n, m)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(p, q, strict=True)], np.int64).reshape(-1, 2)
+    for left, right in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == (left, right)).all(axis=1))
+        x, y = (np.frombuffer(b"".join([maps[i] for i in at]), np.uint8).reshape(len(at), size) for maps, size in ((p, left), (q, right)))
+        size = min(left, right)
+        apart = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(axis=1, dtype=np.int64)
+        most[at] = np.minimum(most[at], (n[at] + m[at] - apart) // 2)
+    return np.flatnonzero(100 * most >= percent * (n + m - most))
+
+
+def _fresh(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Hashes and bytes of the lines that a task meets for the first time, without empty ones; of those with ``wanted`` (sorted) hashes, if given."""
     seen: set[int] = set()
     for batch in batches:
         for _, data, starts, ends, hashes, _ in lines_of(batch):
             ids, lines = [], []
             raw = data.tobytes()
+            if wanted is not None:
+                own = hashes.view(np.int64)
+                met = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own if len(wanted) else np.zeros(len(own), bool)
+                starts, ends, hashes = starts[met], ends[met], hashes[met]
             for start, end, h in zip(starts.tolist(), ends.tolist(), hashes.view(np.int64).tolist(), strict=True):
                 if end > start and h not in seen:
                     seen.add(h)
@@ -131,24 +162,29 @@ class Verifier:
     def prepare(self, nodes: DataFrame) -> None:
         """Keep the lines of ``nodes`` (one column, ``doc_id``) with the sizes and bitmaps of their sets."""
 
+        ids, wanted = kept(nodes.withColumnRenamed("doc_id", "id"), "met"), None
+        if ids.count() <= BROADCAST_IDS:  # else the lines are shuffled
+            wanted = nodes.sparkSession.sparkContext.broadcast(np.sort(np.asarray(ids.toArrow().column("id"), np.int64)))
+
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, lines in _fresh(batches):
+            for ids, lines in _fresh(batches, None if wanted is None else wanted.value):
                 yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "line": pa.array(lines, pa.binary())})
 
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sets = [np.unique(shingles(line)) for line in batch.column("line").to_pylist()]
+                sets = line_sets(batch.column("line").to_pylist())
                 columns = [batch.column("id"), batch.column("line"), pa.array(map(len, sets), pa.int64()), pa.array(map(bitmap, sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "line", "n", "bitmap"])
 
-        ids = kept(nodes.withColumnRenamed("doc_id", "id"), "met")
-        if ids.count() <= BROADCAST_IDS:  # else the lines are shuffled
-            ids = F.broadcast(ids)
-        met = self.rows.select("text").mapInArrow(read, "id long, line binary").join(ids, "id", "left_semi")
+        met = self.rows.select("text").mapInArrow(read, "id long, line binary")
+        if wanted is None:
+            met = met.join(ids, "id", "left_semi")
         self.lines = kept(met.dropDuplicates(["id"]).mapInArrow(sketch, "id long, line binary, n long, bitmap binary"), "lines")
 
+    sets = staticmethod(line_sets)
+
     def sketches(self) -> DataFrame:
-        return self.lines.select(F.col("id").alias("node"), "n", "bitmap")
+        return self.lines.select(F.col("id").alias("node"), "n", "bitmap", F.col("line").alias("members"))
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -157,13 +193,15 @@ class Verifier:
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for n, m, p, q, x, y in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
-                    if possible := enough(most_common(p, q, n, m), n, m, percent):
-                        both = np.sort(np.concatenate((np.unique(shingles(x)), np.unique(shingles(y)))))
-                        possible = enough(int((both[1:] == both[:-1]).sum()), n, m, percent)
-                    keep.append(possible)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                n, m = (np.asarray(batch.column(c)) for c in names[:2])
+                at = possibly_alike(n, m, *[batch.column(c).to_pylist() for c in names[2:4]], percent)
+                close = batch.take(pa.array(at))
+                x, y = (close.column(c).to_pylist() for c in names[4:])
+                lines = list({*x, *y})  # the smallest line of a bucket is in many pairs
+                sets = dict(zip(lines, line_sets(lines), strict=True))
+                both = [np.sort(np.concatenate((sets[i], sets[j]))) for i, j in zip(x, y, strict=True)]
+                common = np.array([np.count_nonzero(s[1:] == s[:-1]) for s in both], np.int64)
+                yield close.select(["a", "b"]).filter(pa.array(100 * common >= percent * (n[at] + m[at] - common)))
 
         return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *names).mapInArrow(alike, "a long, b long")
 
