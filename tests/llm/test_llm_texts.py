@@ -3,8 +3,10 @@
 import random
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -242,6 +244,62 @@ def test_gradients_of_the_network():
             assert np.sign(step[place]) == -np.sign(slope)
 
 
+def test_a_step_against_plain_sums():
+    rng = np.random.default_rng(1)
+    for n, hidden in ((128, 4), (128, 3), (70, 4)):  # with and without whole blocks and pairs of columns
+        network = pseudo_likelihood.Network.start(9, 2, hidden)
+        ids = rng.integers(0, 10, n)
+        around = network.around(ids)
+        embed, base, out, bias = (p.astype(np.float64) for p in network.parts())
+        grads = [np.zeros_like(p) for p in (embed, base, out, bias)]
+        for words, own in zip(around, ids, strict=True):
+            h = np.tanh(base + sum(embed[k][w] for k, w in enumerate(words)))
+            p = np.exp(h @ out + bias)
+            p = p / p.sum() - (np.arange(10) == own)
+            back = (out @ p) * (1 - h * h)
+            for k, w in enumerate(words):
+                grads[0][k][w] += back / n
+            for grad, more in zip(grads[1:], (back, np.outer(h, p), p), strict=True):
+                grad += more / n
+        squares = [np.ones_like(p) for p in network.parts()]
+        network.train(around, ids, squares, rate=0.5)
+        for new, old, square, grad in zip(network.parts(), (embed, base, out, bias), squares, grads, strict=True):
+            assert square == pytest.approx(1 + grad * grad, abs=1e-5)
+            assert new == pytest.approx(old - 0.5 * grad / np.sqrt(1 + grad * grad), abs=1e-5)
+
+
+def test_texts_are_read_together_as_alone():
+    spaces = "".join(f"a{chr(c)}b" for c in range(0x110000) if chr(c).isspace() or c in (0, 0x200B, 0x180E, 0xFEFF))
+    texts = ["first", None, "", " \u3000\x1c", " the cat\tTHE \n", "\u0130ST \u03a3\u0391\u03a3 x\0y \U0010ffff\u4e00q", spaces, "cat rare words"]
+    for some in (texts, texts[1:4], []):
+        words, lengths = pseudo_likelihood.words_of_all(pa.array(["cut", *some], pa.string()).slice(1))
+        assert words.to_pylist() == [w for t in some for w in pseudo_likelihood.words_of(t)]
+        assert lengths.tolist() == [len(pseudo_likelihood.words_of(t)) for t in some]
+    pairs = np.unique(np.concatenate([before << 21 | char for before, char, _ in [pseudo_likelihood.spelled(["rare", "words", "here"])]]))
+    spelling = pseudo_likelihood.Spelling(pairs, np.arange(1.0, len(pairs) + 1))
+    known = pseudo_likelihood.Lexicon({"the": 1, "cat": 2, "a": 3}, 2, np.array([0, 1, 2, 2]), np.log([1.0, 1.0, 0.25, 0.75]), spelling)
+    symbols, lengths, fixed = known.read(pa.array(texts))
+    assert symbols.tolist() == [known.symbols[i] for t in texts for i in pseudo_likelihood.ids_of(t, known.numbers)]
+    for text, got in zip(texts, fixed, strict=True):
+        expected = 0.0
+        for word in pseudo_likelihood.words_of(text):
+            number = known.numbers.get(word, 0)
+            before, char, _ = pseudo_likelihood.spelled([word])
+            expected += known.within[number] if number else spelling.log_pairs(before, char).sum()
+        assert got == pytest.approx(expected, abs=1e-9)
+
+
+def test_words_are_counted_whole_when_a_task_knows_too_many(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "COUNT_AT", 30)
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(20)) for i in range(300)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = {r["word"]: r["n"] for r in pseudo_likelihood.word_counts(docs).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == Counter(w for t in texts for w in pseudo_likelihood.words_of(t))
+
+
 def test_probabilities_sum_to_one():
     network = pseudo_likelihood.Network.start(4, 2, 3)
     ids = np.array([1, 2, 3, 0, 4])

@@ -12,13 +12,14 @@ on all positions of the documents of the task, and the tasks' parameters are ave
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,31 +32,50 @@ VOCABULARY, SIDE, HIDDEN = 255, 2, 16
 CLASSES, ENDING, WORD_PARTS = 128, 3, 200_000
 # Pairs of characters that the spelling keeps counts of, and the weight of single characters against them.
 PAIRS, BACK = 200_000, 10.0
+# Most frequent characters whose pairs are looked up in a table.
+TABLE = 255
 # Every position is trained on once, in steps of STEP examples; each of the ROUNDS averages takes its share of the positions of every document.
 STEP, ROUNDS, RATE = 256, 2, 0.1
 # A task reports the words that it has counted when it knows so many.
 COUNT_AT = 200_000
-# Tokens that are scored at once: their logits stay in the processor's cache.
-CHUNK = 512
+# Tokens that are scored at once: their logits stay in the processor's cache. Products of matrices take BLOCK of them each.
+CHUNK, BLOCK = 512, 64
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+def words_of_all(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, each text's as by ``words_of``, and the number of words of each."""
+    split = pc.utf8_split_whitespace(pa.array([text.lower() if text else "" for text in texts.to_pylist()], pa.string()))
+    words, owner = split.flatten(), pc.list_parent_indices(split)
+    if len(words) and pc.min(pc.binary_length(words)).as_py() == 0:  # white space at the ends of a text, or no text
+        some = pc.greater(pc.binary_length(words), 0)
+        words, owner = words.filter(some), owner.filter(some)
+    return words, np.bincount(np.asarray(owner), minlength=len(texts))
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """Every ``word`` of all documents and how often it is seen (``n``), counted in tasks and summed by Spark."""
 
+    def summed(found: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        if not found:
+            return []
+        whole = pa.Table.from_batches(found).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return whole.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-        flush = lambda: pa.RecordBatch.from_pydict({"word": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+        found, size = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(words_of(text))
-                if len(found) > COUNT_AT:
-                    yield flush()
-                    found.clear()
-        yield flush()
+            found.append(pa.RecordBatch.from_arrays(words_of_all(batch.column("text"))[0].value_counts().flatten(), ["word", "n"]))
+            size += len(found[-1])
+            if size > 2 * COUNT_AT:
+                found = summed(found)
+                if (size := sum(map(len, found))) > COUNT_AT:
+                    yield from found
+                    found, size = [], 0
+        yield from summed(found)
 
     return documents.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -65,9 +85,11 @@ def vocabulary(documents: DataFrame, size: int = VOCABULARY) -> list[str]:
     return [r.word for r in word_counts(documents).orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spelled(words: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all characters of all words: the character before (0 at the start), the character (0 at the end), and the number of the word."""
-    chars = np.frombuffer("\0".join(["", *(w.replace("\0", "\1") for w in words), ""]).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    every = pc.replace_substring(pa.array(words, pa.string()), "\0", "\1")
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(every)], every), "\0")[0].as_py()
+    chars = np.frombuffer((f"\0{joined}\0" if len(every) else "\0").encode("utf-32-le"), np.uint32).astype(np.int64)
     return chars[:-1], chars[1:], np.cumsum(chars[:-1] == 0) - 1
 
 
@@ -91,11 +113,29 @@ class Spelling:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, n[at], 0.0)
 
-    def log_probabilities(self, words: list[str]) -> np.ndarray:
-        before, char, owner = spelled(words)
+    def log_pairs(self, before: np.ndarray, char: np.ndarray) -> np.ndarray:
         alone = (self._of(self.chars, self.n_chars, char) + 1 / 0x110000) / (self.n.sum() + 1)
         p = (self._of(self.pairs, self.n, before << 21 | char) + BACK * alone) / (self._of(self.before, self.n_before, before) + BACK)
-        return np.bincount(owner, np.log(p), len(words))
+        return np.log(p)
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every character, 0 for all but the most frequent, and ``log_pairs`` of those by both numbers. Made in the tasks."""
+        top = np.union1d(self.chars[np.argsort(-self.n_chars, kind="stable")[:TABLE]], [0])
+        number = np.zeros(0x110000, np.int16)
+        number[top] = np.arange(1, len(top) + 1)
+        logs = np.zeros((len(top) + 1, len(top) + 1))
+        logs[1:, 1:] = self.log_pairs(np.repeat(top, len(top)), np.tile(top, len(top))).reshape(len(top), len(top))
+        return number, logs
+
+    def log_probabilities(self, words: list[str] | pa.Array) -> np.ndarray:
+        before, char, owner = spelled(words)
+        number, logs = self.table
+        first, second = number[before], number[char]
+        every = logs[first, second]
+        if len(rare := np.flatnonzero((first == 0) | (second == 0))):
+            every[rare] = self.log_pairs(before[rare], char[rare])
+        return np.bincount(owner, every, len(words))
 
 
 @dataclass
@@ -112,13 +152,23 @@ class Lexicon:
     def of(words: list[str] | Lexicon) -> Lexicon:
         return words if isinstance(words, Lexicon) else Lexicon({w: i + 1 for i, w in enumerate(words)}, len(words))
 
-    def read(self, text: str | None) -> tuple[np.ndarray, float, list[str]]:
-        """The symbols of a text, the log-probability of its known words within them, and the words to be spelled."""
-        words = words_of(text)
-        found = numbers_of(words, self.numbers)
+    @cached_property
+    def known(self) -> tuple[pa.Array, np.ndarray]:
+        """All known words, and their numbers after the 0 of the others. Made in the tasks."""
+        return pa.array(self.numbers.keys(), pa.string()), np.array([0, *self.numbers.values()], np.int64)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of all texts one after another, the lengths of the texts, and the log-probabilities of their words within the symbols."""
+        words, lengths = words_of_all(texts)
+        known, numbers = self.known
+        at = pc.index_in(words, value_set=known)
+        found = numbers[np.asarray(at.fill_null(-1)) + 1]
         if not len(self.symbols):
-            return found, 0.0, []
-        return self.symbols[found], float(self.within[found].sum()), [words[i] for i in np.flatnonzero(found == 0)]
+            return found, lengths, np.zeros(len(lengths))
+        logs = self.within[found]
+        if at.null_count:
+            logs[np.asarray(at.is_null())] += self.spelling.log_probabilities(words.filter(at.is_null()))
+        return self.symbols[found], lengths, np.bincount(np.repeat(np.arange(len(lengths)), lengths), logs, len(lengths))
 
 
 def lexicon(documents: DataFrame, size: int = VOCABULARY, classes: int = CLASSES, parts: int = WORD_PARTS) -> Lexicon:
@@ -137,7 +187,7 @@ def lexicon(documents: DataFrame, size: int = VOCABULARY, classes: int = CLASSES
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before, char, owner = spelled(batch.column("word").to_pylist())
+            before, char, owner = spelled(batch.column("word"))
             found, at = np.unique(before << 21 | char, return_inverse=True)
             yield pa.RecordBatch.from_pydict({"pair": found, "n": np.bincount(at, np.asarray(batch.column("n"), np.float64)[owner], len(found))})
 
@@ -183,11 +233,14 @@ class Network:
         places = (*range(side), *range(side + 1, 2 * side + 1))
         return np.stack([padded[k : k + len(ids)] if at is None else padded[at + k] for k in places], 1)
 
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.base + self.embed[0][around[:, 0]]
-        for place in range(1, len(self.embed)):
-            total += self.embed[place][around[:, place]]
-        return np.tanh(total)
+    def rows(self, around: np.ndarray) -> np.ndarray:
+        """By place, the rows of all embeddings one after another that the words around have."""
+        places, size, _ = self.embed.shape
+        return np.ascontiguousarray(around.T) + size * np.arange(places)[:, None]
+
+    def hidden(self, rows: np.ndarray) -> np.ndarray:
+        every = self.embed.reshape(-1, self.embed.shape[2])
+        return np.tanh(self.base + every.take(rows, axis=0, mode="clip").sum(axis=0))
 
     def weights(self) -> tuple[np.ndarray, bool]:
         """Output weights with the bias below them, and whether no logit can overflow: hidden values are within 1."""
@@ -196,7 +249,8 @@ class Network:
 
     def log_probabilities(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         weights, bounded = self.weights()
-        logits = np.column_stack((self.hidden(around), np.ones(len(ids), np.float32))) @ weights
+        h = self.hidden(self.rows(around))
+        logits = (blocks(np.column_stack((h, np.ones(len(ids), np.float32)))) @ weights).reshape(len(ids), -1)
         own = logits[np.arange(len(ids)), ids]
         most = 0.0
         if not bounded:
@@ -207,39 +261,46 @@ class Network:
     def train(self, around: np.ndarray, ids: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
         """One step of Adagrad on the mean negative log-probability of the hidden words."""
         n = len(ids)
-        h = self.hidden(around)
+        rows = self.rows(around)
+        h = self.hidden(rows)
         with_one = np.column_stack((h, np.ones(n, np.float32)))
         weights, bounded = self.weights()
-        p = with_one @ weights
+        p = (blocks(with_one) @ weights).reshape(n, -1)
         if not bounded:
             p -= p.max(axis=1, keepdims=True)
         total = np.exp(p, out=p) @ np.ones(p.shape[1], np.float32)
         p[np.arange(n), ids] -= total
         share = (1 / (total * n))[:, None]  # the softmax is never divided out: its few factors are
-        back = (p @ self.out.T) * (share * (1 - h * h))
-        outer = (with_one * share).T @ p
+        back = (blocks(p) @ np.ascontiguousarray(self.out.T)).reshape(n, -1) * (share * (1 - h * h))
+        outer = (blocks(with_one * share).transpose(0, 2, 1) @ blocks(p)).sum(axis=0)
         places, size, hidden = self.embed.shape
-        rows = (around + np.arange(places) * size).ravel().astype(np.min_scalar_type(places * size))
+        rows = rows.ravel().astype(np.min_scalar_type(places * size))
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         last = np.flatnonzero(np.concatenate((rows[1:] != rows[:-1], [True])))
-        sums = np.cumsum(back.T.astype(np.float64).take(order // places, axis=1), axis=1)[:, last]
-        embed, met = np.diff(sums, axis=1, prepend=0).T.astype(np.float32), rows[last].astype(np.int64)
+        # each column is summed on its own, as a part of a complex number two of them at a time
+        of_row = back.astype(np.float64).take(order % n, axis=0).view(np.float64 if hidden % 2 else np.complex128)
+        sums = np.cumsum(of_row, axis=0).take(last, axis=0).view(np.float64)
+        sums[1:] -= sums[:-1].copy()
+        embed, met = sums.astype(np.float32), rows[last].astype(np.int64)
         # embeddings that weren't met have no gradient, and stay
         square, part = squares[0].reshape(-1, hidden), self.embed.reshape(-1, hidden)
-        square[met] = now = square[met] + embed * embed
-        part[met] -= rate * embed / np.sqrt(now + 1e-8)
+        now = square.take(met, axis=0) + embed * embed
+        square[met] = now
+        part[met] = part.take(met, axis=0) - rate * embed / np.sqrt(now + 1e-8)
         for part, square, gradient in zip(self.parts()[1:], squares[1:], (back.sum(axis=0), outer[:-1], outer[-1]), strict=True):
             square += gradient * gradient
             part -= rate * gradient / np.sqrt(square + 1e-8)
 
 
-def numbers_of(words: list[str], numbers: dict[str, int]) -> np.ndarray:
-    return np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
+def blocks(rows: np.ndarray) -> np.ndarray:
+    """The rows in blocks of ``BLOCK``, or in one if they don't fill them: products of small blocks stay in the processor's cache."""
+    return rows.reshape(-1, BLOCK, rows.shape[1]) if len(rows) % BLOCK == 0 else rows[None]
 
 
 def ids_of(text: str | None, numbers: dict[str, int]) -> np.ndarray:
-    return numbers_of(words_of(text), numbers)
+    words = words_of(text)
+    return np.fromiter(map(numbers.get, words, repeat(0)), np.int64, len(words))
 
 
 def encode(documents: DataFrame, words: list[str] | Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,11 +310,10 @@ def encode(documents: DataFrame, words: list[str] | Lexicon, id_col: str = "doc_
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every, within, spell = map(list, zip(*map(known.read, batch.column("text").to_pylist()), strict=True)) if len(batch) else ([], [], [])
-            fixed = np.array(within, np.float64)
-            if flat := [w for some in spell for w in some]:
-                fixed += np.bincount(np.repeat(np.arange(len(every)), [len(some) for some in spell]), known.spelling.log_probabilities(flat), len(every))
-            symbols = pa.array([x.astype(np.int32).tobytes() for x in every], pa.binary())
+            flat, lengths, fixed = known.read(batch.column("text"))
+            offsets = np.concatenate(([0], np.cumsum(lengths * 4)))
+            buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat.astype(np.int32))]
+            symbols = pa.Array.from_buffers(pa.large_binary(), len(lengths), buffers).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), symbols, pa.array(fixed)], ["id", "symbols", "fixed"])
 
     rows = small_batches(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
@@ -311,7 +371,8 @@ def fit(encoded: DataFrame, size: int, rounds: int = ROUNDS, one_in: int = 1, st
                 while i < len(at):
                     some = at[i : i + step - len(wanted)]
                     i += len(some)
-                    around, wanted = np.concatenate((around, text[some[:, None] + places])), np.concatenate((wanted, text[some]))
+                    more, ids = text[some[:, None] + places], text[some]
+                    around, wanted = (np.concatenate((around, more)), np.concatenate((wanted, ids))) if len(wanted) else (more, ids)
                     if len(wanted) == step:
                         own.train(around, wanted, squares)
                         seen += step
