@@ -38,8 +38,8 @@ TABLE = 255
 STEP, ROUNDS, RATE = 256, 2, 0.1
 # A task reports the words that it has counted when it knows so many.
 COUNT_AT = 200_000
-# Tokens that are scored at once: their logits stay in the processor's cache. Products of matrices take BLOCK of them each.
-CHUNK, BLOCK = 512, 64
+# Tokens that are scored at once: their logits stay in the processor's cache. Products of matrices take BLOCK tokens or COLUMNS symbols each.
+CHUNK, BLOCK, COLUMNS = 512, 64, 192
 
 
 def words_of(text: str | None) -> list[str]:
@@ -239,8 +239,11 @@ class Network:
         return np.ascontiguousarray(around.T) + size * np.arange(places)[:, None]
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
-        every = self.embed.reshape(-1, self.embed.shape[2])
-        return np.tanh(self.base + every.take(rows, axis=0, mode="clip").sum(axis=0))
+        met = self.embed.reshape(-1, self.embed.shape[2]).take(rows, axis=0, mode="clip")
+        total = self.base + met[0]
+        for more in met[1:]:
+            total += more
+        return np.tanh(total)
 
     def weights(self) -> tuple[np.ndarray, bool]:
         """Output weights with the bias below them, and whether no logit can overflow: hidden values are within 1."""
@@ -250,7 +253,7 @@ class Network:
     def log_probabilities(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         weights, bounded = self.weights()
         h = self.hidden(self.rows(around))
-        logits = (blocks(np.column_stack((h, np.ones(len(ids), np.float32)))) @ weights).reshape(len(ids), -1)
+        logits = (blocks(with_ones(h)) @ weights).reshape(len(ids), -1)
         own = logits[np.arange(len(ids)), ids]
         most = 0.0
         if not bounded:
@@ -263,7 +266,7 @@ class Network:
         n = len(ids)
         rows = self.rows(around)
         h = self.hidden(rows)
-        with_one = np.column_stack((h, np.ones(n, np.float32)))
+        with_one = with_ones(h)
         weights, bounded = self.weights()
         p = (blocks(with_one) @ weights).reshape(n, -1)
         if not bounded:
@@ -272,7 +275,8 @@ class Network:
         p[np.arange(n), ids] -= total
         share = (1 / (total * n))[:, None]  # the softmax is never divided out: its few factors are
         back = (blocks(p) @ np.ascontiguousarray(self.out.T)).reshape(n, -1) * (share * (1 - h * h))
-        outer = (blocks(with_one * share).transpose(0, 2, 1) @ blocks(p)).sum(axis=0)
+        shared = (with_one * share).T
+        outer = np.concatenate([shared @ p[:, i : i + COLUMNS] for i in range(0, p.shape[1], COLUMNS)], axis=1)
         places, size, hidden = self.embed.shape
         rows = rows.ravel().astype(np.min_scalar_type(places * size))
         order = np.argsort(rows, kind="stable")
@@ -293,6 +297,13 @@ class Network:
             part -= rate * gradient / np.sqrt(square + 1e-8)
 
 
+def with_ones(h: np.ndarray) -> np.ndarray:
+    """Hidden values and the 1 that the bias is multiplied by."""
+    out = np.ones((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1] = h
+    return out
+
+
 def blocks(rows: np.ndarray) -> np.ndarray:
     """The rows in blocks of ``BLOCK``, or in one if they don't fill them: products of small blocks stay in the processor's cache."""
     return rows.reshape(-1, BLOCK, rows.shape[1]) if len(rows) % BLOCK == 0 else rows[None]
