@@ -253,13 +253,14 @@ class Network:
     def log_probabilities(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
         weights, bounded = self.weights()
         h = self.hidden(self.rows(around))
-        logits = (blocks(with_ones(h)) @ weights).reshape(len(ids), -1)
-        own = logits[np.arange(len(ids)), ids]
-        most = 0.0
-        if not bounded:
-            most = logits.max(axis=1)
-            logits -= most[:, None]
-        return own - most - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
+        logits = with_ones(h) @ weights
+        at = np.arange(len(ids)), ids
+        if bounded:  # a ratio: the difference of two logarithms is coarse where a word is nearly certain
+            p = np.exp(logits, out=logits)
+            return np.log(p[at].astype(np.float64) / (p @ np.ones(p.shape[1], np.float32)))
+        logits -= logits.max(axis=1)[:, None]
+        own = logits[at]
+        return own - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
 
     def train(self, around: np.ndarray, ids: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
         """One step of Adagrad on the mean negative log-probability of the hidden words."""
