@@ -2,11 +2,14 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 
 from pyspark.sql import functions as F
 from trapline.operators import archive_import as I
+from trapline.operators import merge
+from trapline.session import pin
 
 MEDIA = (
     "id long, archive_id long, path string, original_filename string, media_type string, captured_at timestamp, locality_id long, taxon_id long, identity_id long, "
@@ -90,3 +93,27 @@ def test_sheet(spark, before):
     assert rows_of(after.taxa, "name") == [("fox",), ("lynx",), ("wolf",)]
     assert rows_of(after.identities.fillna(""), "id", "name", "code", "coat_type") == [(5, "Ada II", "A1", "S"), (6, "Ada", "", "S"), (7, "Bea", "B1", "S"), (8, "Eve", "", "M")]
     assert rows_of(after.localities, "id", "name", "location") == [(3, "ridge", "1.0,2.0"), (4, "new place", "48.123,48.123")]
+
+
+def sent_whole(df):
+    """Keys of the joins that send one side to all tasks; what crosses ranges has a row per range."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [k for k in re.findall(r"Broadcast(?:HashJoin|NestedLoopJoin) (\[[^\]]*\])?", plan) if "_range" not in k]
+
+
+def test_lookups_never_hold_a_dimension_on_the_driver(spark, before):
+    """Stored tables are small files, of which Spark would send all rows, eight times each for the salts."""
+    identities = pin(before.identities)
+    rows = pin(spark.createDataFrame([(1, "Ada", 0), (2, "Bea", 0), (3, None, 1)], "k long, called string, tenant long"))
+    found = I.ids_of(rows, identities, {"name": "called", "owner_workgroup_id": "tenant"}, "found", F.col("k"))
+    assert sent_whole(found) == [] and rows_of(found, "k", "found") == [(1, 5), (2, None), (3, None)]
+    made = merge.get_or_create(identities, rows.select(F.col("called").alias("name"), F.col("tenant").alias("owner_workgroup_id")), ["name", "owner_workgroup_id"])
+    assert sent_whole(made) == [] and rows_of(made, "id", "name") == [(5, "Ada"), (6, "Ada"), (7, "Bea"), (8, "Bea")]
+
+
+def test_sheet_never_holds_a_table_on_the_driver(spark, before):
+    own = I.Archive(**{n: pin(t.filter("archive_id = 1") if n == "media" else t) for n, t in before.tables().items()})
+    sheet = pin(spark.createDataFrame([("a", 1, "wolf", "A1", "Ada", "ridge", "1.5"), ("b", 2, "fox", None, "Cleo", "top", None)], "`original path` string, row int, predicted_category string, code string, unique_name string, `locality name` string, lat string"))
+    after = I.update_from_sheet(own, sheet.withColumn("lon", F.col("lat")), "row", F.lit(0).cast("long"), F.lit(4).cast("long"))
+    assert {n: sent_whole(t) for n, t in after.tables().items()} == dict.fromkeys(after.tables(), [])
+    assert rows_of(after.media, "id", "taxon_id", "identity_id", "locality_id") == [(1, 3, 5, 3), (2, 1, 8, 4)]

@@ -2,7 +2,8 @@
 
 Names are looked up once per distinct key, missing keys get new ids in one allocation per table,
 and all returned tables agree on them: new keys are numbered over ranges that are written to the
-shared folder, so ids stay the same for every reader.
+shared folder, so ids stay the same for every reader. Tables that grow with the data are joined by
+``merge``: stored tables are far smaller than their rows, and Spark would send them through the driver.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def ids_of(rows: DataFrame, dimension: DataFrame, on: dict[str, str], out: str,
     """
     name = next(iter(on))
     keys = dimension.filter(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(*on).agg(F.min("id").alias(out)).withColumnsRenamed(on)
-    return attach(rows, keys, list(on.values()), spread_by)
+    return attach(rows, keys, list(on.values()), spread_by, shuffled=True)
 
 
 def _last_rows(incoming: DataFrame, captured: Column) -> DataFrame:
@@ -185,9 +186,9 @@ def update_from_sheet(before: Archive, sheet: DataFrame, position: str, owner_wo
     text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
     final = last_given(named.withColumns({c: text(c) for c in SHEET_FIELDS}), ["original_path"], position)
     order = named.groupBy("original_path").agg(F.max(position).alias("_last"))
-    final = final.join(order, "original_path")
+    final = final.join(order.hint("merge"), "original_path")
     files = before.media.select(F.col("id").alias("_id"), F.col("original_filename").alias("original_path"))
-    matched = pin(final.join(files, "original_path").withColumns({"workgroup": owner_workgroup_id, "owner": owner_id, "by_name": F.when(F.col("code").isNull(), F.col("unique_name"))}))
+    matched = pin(final.join(files.hint("merge"), "original_path").withColumns({"workgroup": owner_workgroup_id, "owner": owner_id, "by_name": F.when(F.col("code").isNull(), F.col("unique_name"))}))
     taxa = get_or_create(before.taxa, matched.select(F.col("predicted_category").alias("name")), ["name"])
     by_code = get_or_create(before.identities, matched.select("code", F.col("workgroup").alias("owner_workgroup_id")), ["code", "owner_workgroup_id"])
     identities = get_or_create(pin(by_code), matched.select(F.col("by_name").alias("name"), F.col("workgroup").alias("owner_workgroup_id")), ["name", "owner_workgroup_id"])
@@ -204,7 +205,7 @@ def update_from_sheet(before: Archive, sheet: DataFrame, position: str, owner_wo
         "captured_at": F.try_to_timestamp("datetime"), "orientation": F.upper(F.substring("orientation", 1, 1)),
     }
     update = known.select("_id", *[v.alias(f"_u_{c}") for c, v in values.items()])
-    media = before.media.join(update, F.col("id") == F.col("_id"), "left").withColumns({c: F.coalesce(f"_u_{c}", c) for c in values}).select(*before.media.columns)
+    media = before.media.join(update.hint("merge"), F.col("id") == F.col("_id"), "left").withColumns({c: F.coalesce(f"_u_{c}", c) for c in values}).select(*before.media.columns)
     return Archive(
         media, before.observations, taxa,
         _described(identities, known, "new_identity", {"name": F.when(F.col("coded").isNotNull(), F.col("unique_name")), "coat_type": F.col("coat_type")}),
@@ -216,5 +217,5 @@ def _described(dimension: DataFrame, rows: DataFrame, key: str, values: dict[str
     """The dimension with the last values that rows give to its entries, combined map-side."""
     given = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_d"), F.struct("_last", "_id").alias("_at"), *[v.alias(f"_u_{c}") for c, v in values.items()])
     last = given.groupBy("_d").agg(*[F.max_by(f"_u_{c}", F.when(F.col(f"_u_{c}").isNotNull(), F.col("_at"))).alias(f"_u_{c}") for c in values])
-    joined = dimension.join(last, F.col("id") == F.col("_d"), "left")
+    joined = dimension.join(last.hint("merge"), F.col("id") == F.col("_d"), "left")
     return joined.withColumns({c: F.coalesce(f"_u_{c}", c) for c in values}).select(*dimension.columns)

@@ -201,7 +201,7 @@ def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    fresh = wanted.join(have, match, "left_anti")
+    fresh = wanted.join(have.hint("merge"), match, "left_anti")  # a dimension grows with the data: the driver never holds it
     numbered = row_number_over_all(fresh, [F.col(k).asc_nulls_first() for k in keys], "_new")
     created = numbered.select((greatest_id(existing) + F.col("_new")).alias("id"), *keys)
     return existing.unionByName(created, allowMissingColumns=True)

@@ -14,7 +14,7 @@ HEAVY_KEYS, MOST_SALTS = 1_000, 4_096
 
 def attach(
     fact: DataFrame, summary: DataFrame, on: list[str], spread_by: Column, how: str = "left", weight: str | None = None,
-    heavy_rows: int = HEAVY_ROWS, salts: int = SALTS,
+    heavy_rows: int = HEAVY_ROWS, salts: int = SALTS, shuffled: bool = False,
 ) -> DataFrame:
     """Left (or inner) join of ``fact`` with a summary that has one row per key.
 
@@ -28,7 +28,8 @@ def attach(
     besides, are left to the adaptive skew join.
     Without it (for summaries much smaller than the fact) each summary row is repeated ``salts``
     times and the fact rows of a key are spread over as many tasks; what is still too large there
-    is split by the adaptive skew join.
+    is split by the adaptive skew join. Spark takes the copies for as small as the files they come
+    from, so a summary that grows with the data is ``shuffled``: the driver never holds it.
     """
     if weight is not None:
         return _attach_by_weight(fact, summary, on, spread_by, how, weight, heavy_rows)
@@ -39,6 +40,7 @@ def attach(
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_k_salt"),
     )
     condition = _same(on, "_k_") & (F.col("_salt") == F.col("_k_salt"))
+    copies = copies.hint("merge") if shuffled else copies
     return salted.join(copies, condition, how).drop("_salt", "_k_salt", *[f"_k_{c}" for c in on])
 
 

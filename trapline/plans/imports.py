@@ -132,7 +132,7 @@ def sheet(t):
         F.concat(F.lit("ridge "), F.col("lang")).alias("locality name"), F.concat(F.lit("48."), F.col("media_id")).alias("lat"), F.when(F.col("media_id") % 2 == 0, "13.25").alias("lon"),
         F.when(F.col("media_id") % 5 == 0, "2023-05-06 07:08:09").alias("datetime"), F.when(F.col("media_id") % 16 == 0, "M").alias("coat_type"), F.lit(" left").alias("orientation"),
     )
-    again = one.join(t.uploads.filter("lang = 'fr'").select(F.col("media_id").alias("row")), "row")
+    again = one.join(t.uploads.filter("lang = 'fr'").select(F.col("media_id").alias("row")).hint("merge"), "row")
     later = again.select(
         F.concat(F.lit(" "), F.col("original path")).alias("original path"), (F.col("row") + 1000000000).alias("row"), F.lit("late species").alias("predicted_category"),
         *[F.lit(None).cast("string").alias(c) for c in one.columns[3:-1]], F.lit("right").alias("orientation"),
