@@ -117,3 +117,15 @@ def test_sheet_never_holds_a_table_on_the_driver(spark, before):
     after = I.update_from_sheet(own, sheet.withColumn("lon", F.col("lat")), "row", F.lit(0).cast("long"), F.lit(4).cast("long"))
     assert {n: sent_whole(t) for n, t in after.tables().items()} == dict.fromkeys(after.tables(), [])
     assert rows_of(after.media, "id", "taxon_id", "identity_id", "locality_id") == [(1, 3, 5, 3), (2, 1, 8, 4)]
+
+
+def test_import_never_holds_a_table_on_the_driver(spark, before):
+    stored = I.Archive(**{n: pin(t) for n, t in before.tables().items()})
+    archives = spark.createDataFrame([(1, 4, 0, False, True, None, "ridge")], ARCHIVES)
+    box = [{"bbox": [0.0, 0.0, 10.0, 20.0], "size": [100.0, 200.0], "orientation": "right", "orientation_score": 0.9}]
+    incoming = pin(spark.createDataFrame([(1, "a", 1, "wolf", "Ada", box), (1, "n", 2, "fox", "Cleo", box)], "archive_id long, path string, position int, predicted_category string, unique_name string, detections array<struct<bbox: array<double>, size: array<double>, orientation: string, orientation_score: double>>"))
+    after, status = I.import_archives(stored, archives, incoming)
+    assert {n: sent_whole(t) for n, t in after.tables().items()} == dict.fromkeys(after.tables(), [])
+    assert rows_of(after.media.filter("archive_id = 1"), "id", "taxon_id", "identity_id") == [(1, 3, 5), (2, 1, None), (4, 1, 8)]
+    assert rows_of(after.observations, "mediafile_id", "identity_id") == [(1, 5), (2, 5), (4, 8)]
+    assert rows_of(status, "path", "status") == [("a", "found and not updated by user"), ("n", "created and not updated by user")]

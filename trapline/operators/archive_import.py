@@ -102,7 +102,7 @@ def import_archives(
     )
     rows = attach(rows, settings, ["archive_id"], F.col("path"), how="inner")
     have = before.media.select("archive_id", "path", F.col("id").alias("known_id"), F.col("updated_by").isNotNull().alias("edited"))
-    rows = rows.join(have, ["archive_id", "path"], "left")
+    rows = rows.join(have.hint("merge"), ["archive_id", "path"], "left")
     found = F.col("known_id").isNotNull()
     live = found | F.lit(create_missing)
     update = live & ~F.coalesce("edited", F.lit(False))
@@ -133,7 +133,7 @@ def import_archives(
     codes = A.orientation_code
     seen = F.array_compact(F.transform("detections", lambda d: codes(d["orientation"], d["orientation_score"], threshold, left_as_front=True))) if detected else None
     final = pin(
-        known.join(fresh, ["archive_id", "path"], "left").withColumns({
+        known.join(fresh.hint("merge"), ["archive_id", "path"], "left").withColumns({
             "media_id": F.coalesce("known_id", "new_id"), "taxon": F.coalesce("fixed", "category_id"),
             "facing": F.try_element_at(seen, F.lit(-1)) if detected else F.lit(None).cast("string"),
         })
@@ -149,7 +149,7 @@ def _media_after(media: DataFrame, final: DataFrame) -> DataFrame:
     brought = final.filter("media_id is not null").select("media_id", "update", "record", *[v.alias(f"_u_{c}") for c, v in values.items()])
     changed = {c: F.when(F.col("update"), F.coalesce(f"_u_{c}", c)).otherwise(F.col(c)) for c in values}
     changed["metadata_json"] = F.coalesce("record", "metadata_json")
-    old = media.join(brought, media["id"] == F.col("media_id"), "left").withColumns(changed).select(*media.columns)
+    old = media.join(brought.hint("merge"), media["id"] == F.col("media_id"), "left").withColumns(changed).select(*media.columns)
     created = final.filter("create").select(
         F.col("media_id").alias("id"), "archive_id", "path", F.col("original_path").alias("original_filename"), "media_type", F.col("place_id").alias("locality_id"),
         F.when(F.col("single") & F.col("extract"), True).otherwise(False).alias("identity_is_representative"), F.col("record").alias("metadata_json"), *[v.alias(c) for c, v in values.items()],
@@ -169,7 +169,7 @@ def _observations_after(before: DataFrame, final: DataFrame, mode: str, threshol
         mode, threshold,
     )
     replaced = rows.select(F.col("media_id").alias("mediafile_id"))
-    return before.join(replaced, "mediafile_id", "left_anti").unionByName(made, allowMissingColumns=True).select(*before.columns)
+    return before.join(replaced.hint("merge"), "mediafile_id", "left_anti").unionByName(made, allowMissingColumns=True).select(*before.columns)
 
 
 def update_from_sheet(before: Archive, sheet: DataFrame, position: str, owner_workgroup_id: Column, owner_id: Column) -> Archive:

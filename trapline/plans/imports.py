@@ -48,7 +48,7 @@ def incoming(t):
           named_struct('bbox', array(10e0, 20e0, 50e0, 60e0), 'size', array(100e0, 200e0), 'orientation', 'left', 'orientation_score', case when media_id % 5 = 0 then 0.1e0 else 0.8e0 end)) end""").alias("detections"),
     )
     again = t.uploads.filter("lang = 'fr'").select(F.col("original_path").alias("path"))
-    later = one.join(again, "path").withColumns({"position": F.col("position") + 1000000000, "datetime": F.lit("no time"), "predicted_category": F.lit("late")}).select(*one.columns)
+    later = one.join(again.hint("merge"), "path").withColumns({"position": F.col("position") + 1000000000, "datetime": F.lit("no time"), "predicted_category": F.lit("late")}).select(*one.columns)
     return one.unionByName(later)
 
 
