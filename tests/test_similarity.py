@@ -242,3 +242,20 @@ def test_sequences_with_null_vectors(spark):
     for block_rows in (1, 4096):
         got = {r["sequence_id"]: r["embedding"] for r in similarity.cluster_sequences(frame, block_rows=block_rows).collect()}
         assert set(got) == {1, 3} and np.allclose(got[1], [2.0, 0.1]) and got[3] == [0.0, 2.0]
+
+
+@pytest.mark.parametrize("least_rows, bundles", [(4096, 1), (10, 2)])
+def test_small_tiles_travel_in_bundles(spark, monkeypatch, least_rows, bundles):
+    """What leaves the tasks goes by the bundles, not by the 100 tiles, and the lists are those of brute force."""
+    monkeypatch.setattr(similarity, "LEAST_ROWS", least_rows)
+    q, g = data(6, 30), data(7, 300)
+    g[100:] = np.round(g[100:])  # a few equal vectors
+    for matcher in (similarity.cosine_matrix, lambda a, b: similarity.cosine_matrix(a, b)):
+        found, compared = similarity.search(vectors(spark, q), vectors(spark, g), 4, block_rows=3, matcher=matcher)
+        rows = found.collect()
+        assert len(rows) <= 30 * 4 * (1 + bundles)  # from the nearest tile, and from each bundle
+        scores = similarity.cosine_matrix(q.astype(float), g.astype(float))
+        for i in range(30):
+            mine = sorted({(-round(r["score"], 9), r["ref_id"]) for r in rows if r["query_id"] == i})[:4]
+            assert mine == sorted((-round(x, 9), j) for j, x in enumerate(scores[i]))[:4]
+    assert compared.count() >= 10 * 100  # every pair of tiles, as the second matcher has no bound

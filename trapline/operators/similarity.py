@@ -3,7 +3,8 @@
 Searching compares every query with every gallery vector of its organisation, as the task demands,
 but never as a join of rows: both sides are packed into tiles of bounded size and similar direction,
 pairs of tiles that can't hold any of the best are left out, each other pair is compared in one
-task, and only the best ``k`` references per query and tile leave it.
+task, and only the best ``k`` references per query leave it. Small tiles travel in bundles: a pair
+of bundles is one task, so neither the copies of vectors nor the lists that leave tasks grow with the number of tiles.
 """
 
 from __future__ import annotations
@@ -128,10 +129,21 @@ def packed_tiles(
     return placed.groupBy("scope", "tile").applyInPandas(pack, schema)
 
 
-def tile_pairs(left: DataFrame, right: DataFrame, prune: bool) -> DataFrame:
-    """scope, qt, gt of all pairs of tiles of a scope, with ``bound``, which no cosine in the pair exceeds, and their ``place`` for the query tile, nearest centre first."""
+def _bundles(tiles: DataFrame, tile_bytes: int) -> int:
+    """In how many bundles the tiles of a side travel: of about ``tile_bytes`` at most, and enough of them for the tasks of a shuffle."""
+    size = tiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("dim")), F.lit(0)).alias("cells")).first()
+    wanted = math.ceil(math.sqrt(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, math.ceil(8 * size.cells / tile_bytes), min(wanted, size.n // LEAST_ROWS))
+
+
+def tile_pairs(left: DataFrame, right: DataFrame, prune: bool, bundles: tuple[int, int] | None = None) -> DataFrame:
+    """scope, qt, gt of all pairs of tiles of a scope, with ``bound``, which no cosine in the pair exceeds, and their ``place`` for the query tile, nearest centre first.
+
+    ``qb`` and ``gb`` are the bundles of both tiles, by hash; without ``bundles``, how many there are of each side, a tile is its own.
+    """
     summary = lambda tiles, name: tiles.select("scope", F.col("tile").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("centre", "radius", "zero", "n")])
     pairs = summary(left, "qt").join(summary(right, "gt"), "scope")
+    bundle = [F.pmod(F.xxhash64(t), F.lit(n)).alias(b) for t, b, n in zip(("qt", "gt"), ("qb", "gb"), bundles)] if bundles else [F.col("qt").alias("qb"), F.col("gt").alias("gb")]
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), A.dot(F.col("qt_centre"), F.col("gt_centre")))))
     # the angle between two vectors is at least that of the centres less both radii
     least = F.greatest(F.lit(0.0), angle - F.col("qt_radius") - F.col("gt_radius") - 1e-6)
@@ -139,36 +151,52 @@ def tile_pairs(left: DataFrame, right: DataFrame, prune: bool) -> DataFrame:
     bound = F.when(F.col("qt_zero") | F.col("gt_zero"), F.greatest(bound, F.lit(0.0))).otherwise(bound)
     order = Window.partitionBy("scope", "qt").orderBy("angle", "gt")
     placed = pairs.withColumns({"angle": angle if prune else F.lit(0.0), "bound": bound if prune else F.lit(float("inf"))}).withColumn("place", F.row_number().over(order))
-    return placed.select("scope", "qt", "gt", "bound", "place", F.col("qt_n").alias("queries"))
+    return placed.select("scope", "qt", "gt", *bundle, "bound", "place", F.col("qt_n").alias("queries"))
 
 
-def _unpacked(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    row = side.iloc[0]
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["matrix"], np.float64).reshape(-1, row["dim"])
+def _unpacked(side: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Ids and matrix of every tile."""
+    return [np.frombuffer(x, np.int64) for x in side["ids"]], [np.frombuffer(x, np.float64).reshape(-1, n) for x, n in zip(side["matrix"], side["dim"])]
 
 
 def _compared(left: DataFrame, right: DataFrame, pairs: DataFrame, k: int, matcher: Matcher) -> DataFrame:
-    """scope, qt, query_id, ref_id and score of the best ``k`` references of every query in each pair of tiles."""
-    pair = ["scope", "qt", "gt"]
-    asking = left.select("scope", F.col("tile").alias("qt"), *_PACKED).join(pairs.select(*pair), ["scope", "qt"])
-    offered = right.select("scope", F.col("tile").alias("gt"), *_PACKED).join(pairs.select(*pair), ["scope", "gt"])
+    """scope, qt, query_id, ref_id and score of the best ``k`` references of every query in the pairs of tiles of each pair of bundles."""
+    met = pairs.groupBy("scope", "qt", "qb", "gb").agg(F.collect_list("gt").alias("met"))
+    asking = left.select("scope", F.col("tile").alias("qt"), *_PACKED).join(met, ["scope", "qt"])
+    offered = right.select("scope", F.col("tile").alias("gt"), *_PACKED).join(pairs.select("scope", "gt", "qb", "gb").distinct(), ["scope", "gt"])
+    offered = offered.select(*[F.col(c).alias(c) for c in offered.columns])  # columns of its own
     return _best_of_tiles(asking, offered, k, matcher)
 
 
 def _best_of_tiles(asking: DataFrame, offered: DataFrame, k: int, matcher: Matcher) -> DataFrame:
+    """The best ``k`` of every query among the tiles that its own has ``met``, of one pair of bundles (``qb``, ``gb``) in a task."""
+
     def compare(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         (query_ids, queries), (ref_ids, refs) = _unpacked(q), _unpacked(g)
-        found = []
-        for i in range(0, len(queries), STRIP):
-            part = []
-            for j in range(0, len(refs), STRIP):
-                scores = matcher(queries[i : i + STRIP], refs[j : j + STRIP])
-                part.append(_best(scores, query_ids[i : i + STRIP], ref_ids[j : j + STRIP], k))
-            rows = pd.concat(part).sort_values(["query_id", "score", "ref_id"], ascending=[True, False, True])
-            found.append(rows.groupby("query_id").head(k))
-        return pd.concat(found).assign(scope=q["scope"].iloc[0], qt=q["qt"].iloc[0])[["scope", "qt", "query_id", "ref_id", "score"]]
-
-    pair = ["scope", "qt", "gt"]
+        number = {tile: i for i, tile in enumerate(g["gt"])}
+        # query tiles that have met the same tiles are compared with them at once
+        alike: dict[tuple[int, ...], list[int]] = {}
+        for i, met in enumerate(q["met"]):
+            alike.setdefault(tuple(sorted(number[t] for t in met if t in number)), []).append(i)
+        found = [pd.DataFrame({"qt": [], "query_id": [], "ref_id": [], "score": []}).astype({"qt": "int64", "query_id": "int64", "ref_id": "int64"})]
+        for met, tiles in alike.items():
+            if not met:
+                continue
+            tile_of = np.repeat(q["qt"].to_numpy()[tiles], [len(query_ids[i]) for i in tiles])
+            asked, vectors = np.concatenate([query_ids[i] for i in tiles]), np.concatenate([queries[i] for i in tiles])
+            offers, others = np.concatenate([ref_ids[i] for i in met]), np.concatenate([refs[i] for i in met])
+            for i in range(0, len(asked), STRIP):
+                rows, part = np.arange(i, min(i + STRIP, len(asked))), []
+                step = STRIP * STRIP // len(rows)
+                for j in range(0, len(offers), step):
+                    scores = matcher(vectors[i : i + STRIP], others[j : j + step])
+                    part.append(_best(scores, rows, offers[j : j + step], k))
+                best = pd.concat(part).sort_values(["query_id", "score", "ref_id"], ascending=[True, False, True])
+                best = best.groupby("query_id").head(k)
+                found.append(best.assign(qt=tile_of[best["query_id"]], query_id=asked[best["query_id"]]))
+        return pd.concat(found).assign(scope=q["scope"].iloc[0] if len(q) else "")[["scope", "qt", "query_id", "ref_id", "score"]]
+
+    pair = ["scope", "qb", "gb"]
     return asking.groupBy(*pair).cogroup(offered.groupBy(*pair)).applyInPandas(compare, "scope string, qt long, query_id long, ref_id long, score double")
 
 
@@ -181,15 +209,18 @@ def search(
     With ``scope`` (an organisation) queries only meet the gallery of their own. Every query tile is
     first compared with the gallery tile of the nearest centre. Its worst k-th score is a bar; a
     pair of tiles whose bound is below it holds none of the best and isn't compared. The bound is
-    that of the cosine, so with another matcher all pairs are. Inside a pair the product is made in
-    strips, and only ``k`` rows per query leave the task.
+    that of the cosine, so with another matcher all pairs are. Inside a task the product is made in
+    strips, and only ``k`` rows per query leave it. Tiles of ``block_rows`` rows travel in bundles,
+    so the copies of a vector are as many as there are bundles of the other side, and so are the
+    lists of a query.
     """
     pivots = _pivots(query, gallery, vector, key, tile_bytes, block_rows)
     if pivots is None:  # each scope is one pair of tiles
-        left, right = (packed_tiles(side, vector, key, scope, tile_bytes).select("scope", F.col("tile").alias("qt"), F.col("tile").alias("gt"), *_PACKED) for side in (query, gallery))
-        return _best_of_tiles(left, right, k, matcher).select("query_id", "ref_id", "score"), left.select("scope", "qt", "gt").join(right.select("scope"), "scope")
+        left, right = (packed_tiles(side, vector, key, scope, tile_bytes).select("scope", *[F.col("tile").alias(c) for c in ("qt", "gt", "qb", "gb")], *_PACKED) for side in (query, gallery))
+        return _best_of_tiles(left.withColumn("met", F.array("gt")), right, k, matcher).select("query_id", "ref_id", "score"), left.select("scope", "qt", "gt").join(right.select("scope"), "scope")
     left, right = (pin(packed_tiles(side, vector, key, scope, tile_bytes, block_rows, pivots)) for side in (query, gallery))
-    pairs = pin(tile_pairs(left, right, matcher is cosine_matrix))
+    bundles = (_bundles(left, tile_bytes), _bundles(right, tile_bytes)) if block_rows else None
+    pairs = pin(tile_pairs(left, right, matcher is cosine_matrix, bundles))
     first = pairs.filter("place = 1")
     near = pin(_compared(left, right, first, k, matcher))
     kth = near.groupBy("scope", "qt", "query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
@@ -201,7 +232,7 @@ def search(
 
 
 def block_shortlists(query: DataFrame, gallery: DataFrame, k: int, **options) -> DataFrame:
-    """Best ``k`` references per query within each gallery tile that was compared (the cheap first phase of ``search``)."""
+    """Best ``k`` references per query within the compared tiles of each bundle of the gallery (the cheap first phase of ``search``)."""
     return search(query, gallery, k, **options)[0]
 
 
