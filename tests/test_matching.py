@@ -36,6 +36,48 @@ def test_distances_of_many_pairs():
     assert got.tolist() == [edit_distance(texts[i], texts[j]) for i, j in zip(a[some], b[some], strict=True)]
 
 
+def test_distances_by_masks():
+    """Words of 16, 32 and 64 letters give what letters compared one by one give."""
+    rng = random.Random(9)
+    for longest in (5, 16, 17, 32, 33, 64, 100, 140):
+        texts = ["".join(rng.choice("abcdßé山 ") for _ in range(rng.randint(1, longest))) for _ in range(40)]
+        lengths = np.array([len(x) for x in texts], np.int32)
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+        some = np.minimum(lengths[a], lengths[b]) <= fuzzy.WORD
+        codes = fuzzy._code_points(texts, lengths)
+        got = fuzzy._distances(codes, lengths, a[some], b[some], fuzzy._masks(codes, lengths))
+        assert got.tolist() == [edit_distance(texts[i], texts[j]) for i, j in zip(a[some], b[some], strict=True)]
+
+
+@pytest.mark.parametrize("letters, longest", [("abcdefgh", 12), ("ab", 3_000), ("abcdefghijklmnopqrstuvwxyz", 1_500), ("aé山ßz", 40)])
+def test_pairs_that_may_match(letters, longest):
+    """A product of matrices leaves the pairs that lengths and common letters leave, also where letters share a column."""
+    rng = random.Random(longest)
+    sides = [["".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(n)] for n in (50, 70)]
+    lengths = [np.array([len(x) for x in side], np.int32) for side in sides]
+    counts = [fuzzy._letter_counts(side, n) for side, n in zip(sides, lengths)]
+    got = [(i, j) for a, b in fuzzy._may_match(lengths[0], counts[0], lengths[1], counts[1]) for i, j in zip(a.tolist(), b.tolist())]
+    common = np.minimum(counts[0][:, None, :], counts[1][None, :, :]).sum(axis=2)
+    n, m = lengths[0][:, None], lengths[1][None, :]
+    fits = (np.abs(n - m) <= (n + m - 1) // 4) & (np.maximum(n, m) - common <= (n + m - 1) // 4)
+    assert sorted(got) == [tuple(x) for x in np.argwhere(fits).tolist()] and len(got) == len(set(got)) and got
+
+
+def test_names_are_read_once(spark):
+    """Suggestions read the names several times; what the names are made from is read for them once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    names = spark.createDataFrame(random_names(1), SCHEMA).mapInPandas(counted, SCHEMA)
+    for suggest in (fuzzy.locality_suggestions, fuzzy.identity_suggestions):
+        before = read.value
+        assert suggest(names, "tenant").count() and read.value - before == 70
+
+
 def test_long_names_and_letters_beyond_ascii(spark):
     rng = random.Random(6)
     change = lambda text, n: "".join(rng.choice("xy") if i in set(rng.sample(range(len(text)), n)) else c for i, c in enumerate(text))
